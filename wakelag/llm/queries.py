@@ -4,20 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wakelag.llm import bpe, mixing, resharding, secrets
-from wakelag.llm.common import table
+from wakelag.llm import bpe, fingerprints, langid, mixing, resharding, secrets, tokencounts, topk
+from wakelag.llm.common import held_out, table
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(table(spark, sf_dir, "documents"), bpe.default_codec()))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, langid.default_pieces())
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op5_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resharding.reshard(table(spark, sf_dir, "documents"))
 
@@ -26,9 +37,17 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.token_counts(table(spark, sf_dir, "documents"), bpe.default_codec())
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op3_secret_scan, op5_resharding, op7_mixing)}
+    return {f.__name__: f for f in (op1_bpe, op2_language_id, op3_secret_scan, op4_top_k, op5_resharding, op7_mixing, op9_token_counts, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": mixing.oracle()}
+    return {"op4_top_k": topk.ORACLE, "op7_mixing": mixing.oracle()}
