@@ -1,6 +1,6 @@
 """Operator 10: document fingerprints by content-defined chunking.
 
-A gear hash over the last 32 bytes marks chunk boundaries (FastCDC's normalised form: a strict mask up to
+A gear hash over the last 16 bytes marks chunk boundaries (FastCDC's normalised form: a strict mask up to
 the wanted length, a loose one beyond it), so an insertion moves only the chunks around it. A fingerprint
 is the set of chunk digests with their bytes; the bytes of shared digests measure containment.
 """
@@ -28,18 +28,18 @@ def _gear() -> np.ndarray:
 class Chunker:
     """Chunks of `least` to `most` bytes, about `wanted` on average. least must reach the hash's window."""
 
-    least: int = 32
-    wanted: int = 96
-    most: int = 512
+    least: int = 16
+    wanted: int = 64
+    most: int = 256
     strict_bits: int = 7
-    loose_bits: int = 5
+    loose_bits: int = 4
     digest_chars: int = 12
     gear: np.ndarray = field(default_factory=_gear, compare=False, repr=False)
 
     def hashes(self, data: np.ndarray) -> np.ndarray:
-        """At each byte the sum of gear[byte i back] << i over the window of 32, by doubling."""
+        """At each byte the sum of gear[byte i back] << i over the window of 16, by doubling."""
         h = self.gear[data]
-        for step in (1, 2, 4, 8, 16):
+        for step in (1, 2, 4, 8):
             if len(h) > step:
                 h = np.concatenate([h[:step], h[step:] + (h[:-step] << np.uint32(step))])
         return h
@@ -112,74 +112,73 @@ def fingerprint(df: DataFrame, key: str = "doc_id", text: str = "text", chunker:
     return out.withColumnsRenamed({"key": key, "text": text})
 
 
-_OUT = "key long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, role string, part int, held string"
+_OUT = "key long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+
+
+def ranges(df: DataFrame, key: str, parts: int) -> np.ndarray:
+    """Descending bounds that cut the keys into `parts` ranges of about equally many rows, from a sketch of
+    the keys alone; at most parts - 1 numbers."""
+    bounds = df.select(F.col(key).cast("long").alias("key")).approxQuantile("key", [i / parts for i in range(1, parts)], 1 / (4 * parts)) if parts > 1 else []
+    return np.unique(np.array(bounds, dtype=np.int64))
 
 
 def compare_with_next(df: DataFrame, key: str = "doc_id", text: str = "text", chunker: Chunker = Chunker(), parts: int | None = None) -> DataFrame:  # noqa: B008
     """Each row's fingerprint against that of its edited text and of the next row by descending key.
 
-    Rows are dealt by ranges of the key, so the next row is mostly in the same task; the first and last
-    rows of the ranges, two a range, are matched afterwards. Null texts are empty; null keys come last;
+    Rows are dealt by ranges of the key, so the next row is mostly in the same task; a range's last row
+    meets the first of the next in a join of one row a range. Null texts are empty; null keys come last;
     rows with equal keys follow by a hash of their text, so identical rows are each other's next. The row
     after the last is the first; a single row follows itself. Other columns of df are not read.
     """
     spark = df.sparkSession
     parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    rows = df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
-    order = [F.col("key").desc_nulls_last(), F.col("tie")]
-    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("key", "text")
+    bounds = ranges(df, key, parts)
 
-    def finish(keys: list, texts: list[str], nexts: list[str], own: list[dict], following: list[dict]) -> list[list]:
-        changed = [edited(a, b) for a, b in zip(texts, nexts, strict=True)]
-        raw = [x.encode() for x in changed]
-        new = [chunker.chunks(x) for x in raw]
-        return [
-            keys, [len(x) for x in texts], [hashlib.sha256(x).hexdigest() for x in raw], [spell(x) for x in own], [spell(x) for x in new],
-            [containment(a, b) for a, b in zip(own, new, strict=True)], [containment(a, b) for a, b in zip(own, following, strict=True)],
-        ]
+    def part_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for x in batches:
+            at = len(bounds) - np.searchsorted(bounds, x.fill_null(0).to_numpy(zero_copy_only=False), side="right")
+            at[x.is_null().to_numpy(zero_copy_only=False)] = len(bounds)
+            yield pa.array(at, type=pa.int32())
 
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string(), pa.int32(), pa.string()]
-    names = ["key", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "role", "part", "held"]
+    part_of.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    rows = df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = rows.withColumn("tie", F.xxhash64("text")).withColumn("part", F.arrow_udf(part_of, "int")(F.col("key")))
+    order = [F.col("key").desc_nulls_last(), F.col("tie")]
+    dealt = rows.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions(*order).select("key", "text")
 
-    def batch_of(columns: list[list]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(columns, kinds, strict=True)], names)
+    names = ["key", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
-    def edge(role: str, part: int, k: int | None, t: str) -> pa.RecordBatch:
-        return batch_of([[k], *[[None]] * 6, [role], [part], [t]])
+    def finish(keys: list, texts: list[str], nexts: list[str], own: list[dict], following: list[dict]) -> pa.RecordBatch:
+        raw = [edited(a, b).encode() for a, b in zip(texts, nexts, strict=True)]
+        new = [chunker.chunks(x) for x in raw]
+        near = [pa.array([containment(a, b) for a, b in zip(own, x, strict=True)], pa.float64()) for x in (new, following)]
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([len(x) for x in texts], pa.int64()), *[pa.array(x, pa.string()) for x in ([hashlib.sha256(x).hexdigest() for x in raw], list(map(spell, own)), list(map(spell, new)))], *near], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, last = TaskContext.get().partitionId(), None
+        last: tuple[list, list[str], list[dict]] = ([], [], [])
         for batch in batches:
             for piece in text_slices(batch, "text", 1 << 20):
-                keys, texts = piece.column(0).to_pylist(), piece.column(1).to_pylist()
-                own = [chunker.chunks(x.encode()) for x in texts]
-                if last is None:
-                    yield edge("first", part, keys[0], texts[0])
-                else:
-                    keys, texts, own = [last[0], *keys], [last[1], *texts], [last[2], *own]
-                last = keys[-1], texts[-1], own[-1]
+                texts = piece.column(1).to_pylist()
+                keys, texts, own = last[0] + piece.column(0).to_pylist(), last[1] + texts, last[2] + [chunker.chunks(x.encode()) for x in texts]
+                last = keys[-1:], texts[-1:], own[-1:]
                 if len(keys) > 1:
-                    done = finish(keys[:-1], texts[:-1], texts[1:], own[:-1], own[1:])
-                    n = len(keys) - 1
-                    yield batch_of([*done, ["row"] * n, [part] * n, [None] * n])
-        if last is not None:
-            yield edge("last", part, last[0], last[1])
-
-    made = cut(dealt.mapInArrow(run, _OUT))
-    firsts = made.where("role = 'first'").select("part", F.col("held").alias("after"))
-    # one row a range: which range with rows comes next (after the last the first)
+                    yield finish(keys[:-1], texts[:-1], texts[1:], own[:-1], own[1:])
+
+    # the first and last row of each range: two rows a range, so their keys are broadcast to find the texts
+    place = F.struct(F.coalesce(-F.col("key"), F.lit((1 << 63) - 1)).alias("down"), F.col("key").isNull().alias("none"), F.col("tie").alias("tie"))
+    ends = cut(rows.select("part", place.alias("place")).groupBy("part").agg(F.min("place").alias("first"), F.max("place").alias("last")))
     ring = W.orderBy("part")
-    links = firsts.select("part").withColumn("then", F.coalesce(F.lead("part").over(ring), F.min("part").over(W.partitionBy(F.lit(0)))))
-    ends = made.where("role = 'last'").select("key", "part", "held").join(links, "part").join(firsts.withColumnRenamed("part", "then"), "then").select("key", "held", "after")
+    ends = ends.withColumn("then", F.coalesce(F.lead("part").over(ring), F.min("part").over(W.partitionBy(F.lit(0)))))
+    at = rows.withColumn("place", place)
+    one = lambda end: at.join(F.broadcast(ends.select(F.col("part").alias("of"), F.col(end).alias("end"), "then")), (F.col("part") == F.col("of")) & (F.col("place") == F.col("end"))).dropDuplicates(["part"])
+    lasts = one("last").select("key", F.col("text").alias("held"), "then")
+    firsts = one("first").select(F.col("part").alias("then"), F.col("text").alias("after"))
+    joined = lasts.join(firsts, "then").select("key", "held", "after")
 
     def run_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, texts, nexts = (batch.column(i).to_pylist() for i in range(3))
             own, following = ([chunker.chunks(x.encode()) for x in y] for y in (texts, nexts))
-            done = finish(keys, texts, nexts, own, following)
-            yield batch_of([*done, ["row"] * len(keys), [0] * len(keys), [None] * len(keys)])
+            yield finish(keys, texts, nexts, own, following)
 
-    out = made.where("role = 'row'").unionByName(ends.mapInArrow(run_ends, _OUT))
-    return out.drop("role", "part", "held").withColumnRenamed("key", key)
+    return dealt.mapInArrow(run, _OUT).unionByName(joined.mapInArrow(run_ends, _OUT)).withColumnRenamed("key", key)
