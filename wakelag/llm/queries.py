@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wakelag.llm import bpe, fingerprints, langid, mixing, resharding, secrets, tokencounts, topk
+from wakelag.llm import bpe, fingerprints, jaccard, langid, mixing, resharding, secrets, tokencounts, topk
 from wakelag.llm.common import held_out, table
 
 
@@ -33,6 +33,11 @@ def op5_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resharding.reshard(table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.join(table(spark, sf_dir, "documents"), size=3, percent=90)
+    return found.select("doc_id", "n_shingles", "component_id", "class_id")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -46,7 +51,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_language_id, op3_secret_scan, op4_top_k, op5_resharding, op7_mixing, op9_token_counts, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_bpe, op2_language_id, op3_secret_scan, op4_top_k, op5_resharding, op6_jaccard_join, op7_mixing, op9_token_counts, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
