@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wakelag.llm import bpe, fingerprints, jaccard, langid, mixing, resharding, secrets, tokencounts, topk
+from wakelag.llm import bpe, fingerprints, jaccard, langid, mixing, resharding, secrets, tokencounts, topk, toxicity
 from wakelag.llm.common import held_out, table
 
 
@@ -42,6 +42,13 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    found = toxicity.score(docs.select("doc_id", "text"), net)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.token_counts(table(spark, sf_dir, "documents"), bpe.default_codec())
 
@@ -51,7 +58,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_language_id, op3_secret_scan, op4_top_k, op5_resharding, op6_jaccard_join, op7_mixing, op9_token_counts, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_bpe, op2_language_id, op3_secret_scan, op4_top_k, op5_resharding, op6_jaccard_join, op7_mixing, op8_toxicity, op9_token_counts, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
