@@ -262,9 +262,11 @@ class Model:
         return [np.fromiter(b.values(), np.float64, len(b)) @ self._table[np.fromiter(map(get, b), np.int64, len(b))] if b else None for b in bags]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        if not self.langs:
+            return [UNDETERMINED] * len(texts), [0.0] * len(texts)
         langs, probability = [], []
         for s in self.scores(texts):
-            if s is None or not self.langs:
+            if s is None:
                 langs.append(UNDETERMINED)
                 probability.append(0.0)
             else:

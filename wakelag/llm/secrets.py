@@ -211,3 +211,21 @@ def digests(scanned: DataFrame, key: str = "doc_id") -> DataFrame:
         F.sha2(span_text(base).cast("binary"), 256).alias("base_sha256"),
         span_text(F.col("spans")).alias("spans"),
     )
+
+
+def oracle(documents: str = "documents") -> str:
+    """`digests(scan(...))` in DuckDB SQL: every rule scans every text."""
+    cols, spans = [], []
+    for n, r in enumerate(RULES):
+        p = r.pattern.replace("'", "''")
+        cols += [f"regexp_extract_all(t, '{p}', 0) AS m{n}", f"regexp_extract_all(t, '{p}', {r.group}) AS v{n}", f"regexp_split_to_array(t, '{p}') AS g{n}"]
+        gaps = f"coalesce(list_sum(list_transform(g{n}[1:i], lambda x: length(x))), 0)"
+        before = f"coalesce(list_sum(list_transform(m{n}[1:i - 1], lambda x: length(x))), 0)"
+        spans.append(
+            f"list_transform(list_filter(range(1, len(m{n}) + 1), lambda i: length(v{n}[i]) >= {r.least}), lambda i: "
+            f"{{'s': CAST({gaps} + {before} AS BIGINT), 'r': {n}, 'e': CAST({gaps} + {before} + length(m{n}[i]) AS BIGINT), 'k': '{r.kind}'}})"
+        )
+    text = "array_to_string(list_transform({}, lambda x: x.k || ':' || x.s || ':' || x.e), ',')"
+    counts = ", ".join(f"CAST(len(list_filter(sp, lambda x: x.k = '{r.kind}')) AS BIGINT) AS n_{r.kind}" for r in BASE)
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM {documents}), m AS (SELECT doc_id, {", ".join(cols)} FROM d), s AS (SELECT doc_id, list_sort(list_concat({", ".join(spans)})) AS sp FROM m)
+SELECT doc_id, {counts}, sha256(coalesce({text.format(f"list_filter(sp, lambda x: x.r < {len(BASE)})")}, '')) AS base_sha256, coalesce({text.format("sp")}, '') AS spans FROM s"""

@@ -123,7 +123,7 @@ def top_k(df: DataFrame, asks: Column, k: int = 5, key: str = "vec_id", vector:
             mine = ask.where((F.size("vector") == dim) & (F.pmod(F.xxhash64("key"), F.lit(blocks)) == b)).toArrow()
             if not mine.num_rows:
                 continue
-            matrix = np.floor(scale * mine.column(1).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)).reshape(-1, dim)
+            matrix = np.floor(scale * mine.column(1).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)).reshape(mine.num_rows, dim)
             block = _Block(mine.column(0).to_numpy(), matrix, k, scale, norm * norm + dim)
             there = rows.where(F.size("vector") == dim).select("key", "vector")
             while True:
