@@ -50,6 +50,9 @@ def test_edges(docs, none):
 @pytest.mark.parametrize("k,percent,seed", [(3, 90, 0), (5, 80, 1), (2, 60, 2)])
 def test_brute_force_on_edited_copies(spark, monkeypatch, k, percent, seed):
     monkeypatch.setattr(J, "TILE_SHINGLES", 600)
+    monkeypatch.setattr(J.group_tiles, "__defaults__", (8,))
+    monkeypatch.setattr(J.host_tiles, "__defaults__", (8,))
+    monkeypatch.setattr(J, "HOST", 3)
     rng = random.Random(seed)
     word = lambda: rng.choice("abcdefghijklmnop") + rng.choice("xyz")
     shared, rows = [word() for _ in range(60)], []

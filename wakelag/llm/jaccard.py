@@ -4,8 +4,10 @@ Equal sets form classes; their smallest ids stand for them. Candidates share a s
 (a set's rarest shingles: two sets that reach the threshold can't differ in all of these). Candidates
 meet in tiles of compatible sizes, where bit counts of hashed bitmaps bound their overlap from above;
 what is left is settled by intersecting sorted arrays. Links join components. First each class is tried
-with its best candidate only; the components that this gives spare the pairs inside them, so a large
-group of near copies costs about one comparison a member, and only pairs across components remain.
+with its best candidate only; the components that this gives spare the pairs inside them. Of any two
+components that bitmaps can't keep apart the likeliest pair is tried next; where that fails, all classes
+of the smaller component visit the larger one's tiles. So a large group of near copies sends about a row
+a member and tile, never its pairs, and no two components with a link between them stay apart.
 """
 
 from __future__ import annotations
@@ -21,19 +23,23 @@ from pyspark.sql import DataFrame, functions as F
 from wakelag.llm.common import cut, text_slices
 from wakelag.llm.components import components
 
-#: Bits of a bitmap.
-BITS = 1024
+#: Bits of the smallest and largest bitmap; between, twice as many as a set has shingles, or
+#: up to the next power of two.
+LEAST_BITS, MOST_BITS = 256, 1 << 20
 #: Rows of a sample of documents that tells common shingles; it only orders prefixes, any order is exact.
-SAMPLE = 8000
+SAMPLE = 20_000
 #: Documents of the sample that make a shingle common, and how many common shingles are kept.
-COMMON, MOST_COMMON = 3, 400_000
+COMMON, MOST_COMMON = 3, 1_000_000
 #: Prefix shingles of a bucket, about; and of one step within a bucket.
 BUCKET, STEP = 400_000, 4_000_000
-#: Members of a side of a tile.
-TILE = 1024
+#: Members of a group that make their component its host.
+HOST = 8
+#: Members of a side of a tile of bitmaps; shingles of a tile of arrays, about.
+TILE, TILE_SHINGLES = 1024, 400_000
 #: Words whose hashes a worker keeps.
 CACHE = 300_000
 _PRIME = np.uint64(0x9E3779B185EBCA87)
+_PACKED = np.dtype([("h", "<u8"), ("id", "<i8"), ("n", "<i4"), ("place", "<u2")])
 _words: dict[bytes, int] = {}
 
 
@@ -66,11 +72,20 @@ def least_overlap(a, b, percent: int):
 
 
 def bitmap(h: np.ndarray) -> bytes:
-    bits = np.zeros(BITS, dtype=np.uint8)
-    bits[(h >> np.uint64(54)).astype(np.int64)] = 1
+    """The leading bits of each hash give its place, so halving a bitmap joins neighbouring bits."""
+    size = max(LEAST_BITS, min(MOST_BITS, 1 << max(0, 2 * len(h) - 1).bit_length()))
+    bits = np.zeros(size, dtype=np.uint8)
+    bits[(h >> np.uint64(65 - size.bit_length())).astype(np.int64)] = 1
     return np.packbits(bits).tobytes()
 
 
+def fold(rows: np.ndarray, size: int) -> np.ndarray:
+    """Bitmaps (rows of bytes) brought down to `size` bytes."""
+    while rows.shape[1] > size:
+        rows = np.packbits(np.unpackbits(rows, axis=1).reshape(len(rows), -1, 2).max(axis=2), axis=1)
+    return rows
+
+
 def prefix(h: np.ndarray, percent: int, common: np.ndarray) -> np.ndarray:
     """The first shingles of h, rare ones before common ones, of which a partner shares one at least; none
     where only an equal set could be a partner. common: hashes by rising order of use (sorted, with ranks)."""
@@ -133,40 +148,65 @@ def profile(df: DataFrame, size: int, percent: int, common: tuple[np.ndarray, np
     return df.mapInArrow(run, "id long, n long, k1 long, k2 long, bits binary, prefix array<long>")
 
 
-def matches(classes: DataFrame, buckets: int) -> DataFrame:
+def reach(n: np.ndarray, place: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes (low, high) of the sets that may link with a set of size n whose first shared shingle stands
+    at `place` of its order: no more than n - place shingles can be shared then."""
+    n, left = n.astype(np.int64), n.astype(np.int64) - place
+    return -(-percent * n // 100), (100 + percent) * left // percent - n
+
+
+def matches(classes: DataFrame, buckets: int, percent: int) -> DataFrame:
     """(h, leader, id): the members but one of each prefix shingle that several classes share.
 
-    Shingles travel packed by bucket. Within a bucket the first class seen of a shingle leads it; later
-    ones are passed on as they come, so a common shingle takes no more memory than a rare one.
+    Shingles travel packed by bucket, with the class's size and the shingle's place in its order. Members
+    with no other of a size that they may link with are left out; what is left may have a partner. Within
+    a bucket the first class seen of a shingle leads it; in a bucket that takes several steps later ones
+    are passed on as they come, so a common shingle takes no more memory than a rare one.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
+            lists = batch.column(2)
             h = lists.flatten().to_numpy().view(np.uint64)
             if not len(h):
                 continue
-            owner = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-            ids = batch.column(0).to_numpy()
+            lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(batch.num_rows), lengths)
+            place = np.arange(len(h)) - np.repeat(np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths)
+            rows = np.empty(len(h), dtype=_PACKED)
+            rows["h"], rows["id"], rows["n"], rows["place"] = h, batch.column(0).to_numpy()[owner], np.minimum(batch.column(1).to_numpy()[owner], 1 << 30), np.minimum(place, 65_535)
             bucket = ((h * _PRIME) >> np.uint64(33)) % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
             edges = np.flatnonzero(np.diff(bucket[order].astype(np.int64), prepend=-1))
-            rows = [(int(bucket[order[a]]), h[order[a:b]].tobytes(), ids[owner[order[a:b]]].tobytes()) for a, b in zip(edges, [*edges[1:], len(order)], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "h", "ids"])
+            out = [(int(bucket[order[a]]), rows[order[a:b]].tobytes()) for a, b in zip(edges, [*edges[1:], len(order)], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], ["bucket", "rows"])
+
+    def alone(r: np.ndarray) -> np.ndarray:
+        """Which rows, sorted by (h, n), have no other row of their shingle in reach."""
+        first = np.concatenate([[True], r["h"][1:] != r["h"][:-1]])
+        base = np.cumsum(first).astype(np.int64) << 31
+        low, high = reach(r["n"], r["place"], percent)
+        key = base + r["n"]
+        met = np.searchsorted(key, base + np.maximum(high, -1), side="right") - np.searchsorted(key, base + low)
+        return met - ((r["n"] >= low) & (r["n"] <= high)) <= 0
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, leaders = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[np.ndarray] = []
         n = 0
 
-        def step() -> Iterator[pa.RecordBatch]:
+        def step(only: bool) -> Iterator[pa.RecordBatch]:
             nonlocal known, leaders, held, n
-            h, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+            r = np.concatenate(held)
             held, n = [], 0
-            order = np.lexsort((ids, h))
-            h, ids = h[order], ids[order]
-            first = np.concatenate([[True], h[1:] != h[:-1]])
-            heads = np.flatnonzero(first)
+            if only:  # all of the bucket is here
+                r = r[np.lexsort((r["id"], r["n"], r["h"]))]
+                r = r[~alone(r)]
+            r = r[np.lexsort((r["id"], r["h"]))]
+            h, ids = r["h"].copy(), r["id"].copy()
+            if not len(h):
+                return
+            heads = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             lead = ids[heads]
             if len(known):
                 at = np.minimum(np.searchsorted(known, h[heads]), len(known) - 1)
@@ -180,22 +220,25 @@ def matches(classes: DataFrame, buckets: int) -> DataFrame:
                 k = keep[a : a + (1 << 18)]
                 if k.any():
                     yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 18)][k]) for x in (h.view(np.int64), mine, ids)], ["h", "leader", "id"])
-            known = np.concatenate([known, h[heads][~old]])
-            leaders = np.concatenate([leaders, lead[~old]])
-            order = np.argsort(known)
-            known, leaders = known[order], leaders[order]
+            if not only:
+                known = np.concatenate([known, h[heads][~old]])
+                leaders = np.concatenate([leaders, lead[~old]])
+                order = np.argsort(known)
+                known, leaders = known[order], leaders[order]
 
+        whole = True
         for batch in batches:
-            for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                held.append((np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.int64)))
-                n += len(held[-1][0])
+            for raw in batch.column(1):
+                held.append(np.frombuffer(raw.as_buffer(), dtype=_PACKED).copy())
+                n += len(held[-1])
                 if n >= STEP:
-                    yield from step()
+                    whole = False
+                    yield from step(False)
         if n:
-            yield from step()
+            yield from step(whole)
 
-    packed = classes.select("id", "prefix").mapInArrow(pack, "bucket int, h binary, ids binary")
-    return packed.repartition(buckets, "bucket").select("bucket", "h", "ids").mapInArrow(group, "h long, leader long, id long")
+    packed = classes.select("id", "n", "prefix").mapInArrow(pack, "bucket int, rows binary")
+    return packed.repartition(buckets, "bucket").mapInArrow(group, "h long, leader long, id long")
 
 
 def _room(na, nb, ba: np.ndarray, bb: np.ndarray) -> np.ndarray:
@@ -205,8 +248,20 @@ def _room(na, nb, ba: np.ndarray, bb: np.ndarray) -> np.ndarray:
     return np.minimum(na - less_a, nb - less_b)
 
 
-def _bits(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64)
+def _rows(raw: list[bytes]) -> np.ndarray:
+    """Equally long bitmaps as rows of bytes."""
+    return np.frombuffer(b"".join(raw), dtype=np.uint8).reshape(len(raw), -1)
+
+
+def rooms(na: np.ndarray, nb: np.ndarray, ba: list[bytes], bb: list[bytes]) -> np.ndarray:
+    """_room of pairs whose bitmaps may differ in length."""
+    la, lb = np.array([len(x) for x in ba]), np.array([len(x) for x in bb])
+    out = np.zeros(len(na), dtype=np.int64)
+    for x, y in {*zip(la.tolist(), lb.tolist(), strict=True)}:
+        at = np.flatnonzero((la == x) & (lb == y))
+        a, b = (fold(_rows([z[i] for i in at]), min(x, y)).view(np.uint64) for z in (ba, bb))
+        out[at] = _room(na[at], nb[at], a, b)
+    return out
 
 
 def bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -218,98 +273,225 @@ def bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-                room = _room(na, nb, _bits(batch.column(4)), _bits(batch.column(5)))
+                room = rooms(na, nb, batch.column(4).to_pylist(), batch.column(5).to_pylist())
                 keep = room >= least_overlap(na, nb, percent)
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).filter(pa.array(keep)) for i in range(2)), pa.array((room / (na + nb - room))[keep])], ["a", "b", "most"])
 
     return both.mapInArrow(run, "a long, b long, most double")
 
 
-def tiles(groups: DataFrame, percent: int, tile: int = TILE) -> DataFrame:
-    """Pairs (a, b) of the members of each group (h, members, id, n, bits, label) that carry different
-    labels and that sizes and bitmaps allow. Large groups fall into tiles of about `tile` by `tile`."""
-    side = F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / tile)).cast("int")
-    cut_up = groups.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("members") / tile) - 1).cast("int"))))
-    cut_up = cut_up.select("h", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "id", "n", "bits", "label")
-    dealt = cut_up.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "n", "id")
+def arrays(df: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(id, set): the sorted shingle array of each row (id, text) whose id may be among ids (id).
+
+    Texts stay where they are: a bitmap of the ids (16 bits an id, at most 8 MB) goes to the scan, which
+    passes on the arrays of those that it may hold.
+    """
+    bits = 1 << max(12, min(26, int(16 * ids.count()).bit_length()))
+    spot = F.pmod(F.xxhash64("id"), F.lit(bits))
+    words = ids.select(spot.alias("spot")).selectExpr("spot div 64 AS w", "shiftleft(1L, CAST(spot % 64 AS INT)) AS x").groupBy("w").agg(F.bit_or("x").alias("x")).toArrow()
+    mask = np.zeros(bits // 64, dtype=np.int64)
+    mask[words.column(0).to_numpy()] = words.column(1).to_numpy()
+    mask = mask.view(np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(1).to_numpy().astype(np.uint64)
+            asked = (mask[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
+            for piece in text_slices(batch.filter(pa.array(asked.astype(bool))), "text"):
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([shingles(t, size).tobytes() for t in piece.column(2).to_pylist()], pa.binary())], ["id", "set"])
+
+    return df.where("id is not null").withColumn("spot", spot).select("id", "spot", "text").mapInArrow(run, "id long, set binary")
+
+
+def verify(pairs: DataFrame, df: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets reach the threshold, by intersecting sorted arrays."""
+    sets = arrays(df, cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), size)
+    both = pairs.join(sets.withColumnsRenamed({"id": "a", "set": "x"}), "a").join(sets.withColumnsRenamed({"id": "b", "set": "y"}), "b").select("a", "b", "x", "y")
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [reaches(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64), percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in range(2)], ["a", "b"])
+
+    return both.mapInArrow(test, "a long, b long")
+
+
+def reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """The exact test, on sorted arrays of distinct shingles."""
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return bool(len(x) and len(y)) and 100 * shared >= percent * (len(x) + len(y) - shared)
+
+
+class _Side:
+    """One side of a tile: sets in order of size, with bitmaps sharp enough to rule out most near misses."""
+
+    def __init__(self, ids: list[int], sets: list[np.ndarray], percent: int):
+        order = np.argsort([len(s) for s in sets], kind="stable")
+        self.ids, self.sets, self.percent = [ids[i] for i in order], [sets[i] for i in order], percent
+        self.n = np.array([len(s) for s in self.sets])
+        self.shift = np.uint64(64 - max(8, min(17, int(8 * self.n.max() - 1).bit_length())))
+        self.bits = np.stack([self.draw(s) for s in self.sets])
+
+    def draw(self, h: np.ndarray) -> np.ndarray:
+        bits = np.zeros(1 << (64 - int(self.shift)), dtype=np.uint8)
+        bits[(h >> self.shift).astype(np.int64)] = 1
+        return np.packbits(bits).view(np.uint64)
+
+    def partners(self, h: np.ndarray, allowed: np.ndarray | None = None, own: np.ndarray | None = None) -> Iterator[int]:
+        """Places of the sets that reach the threshold with h, the likeliest first; only sizes of h's band
+        are looked at. allowed: may be narrowed by the caller as it goes."""
+        n = len(h)
+        low, high = np.searchsorted(self.n, -(-n * self.percent // 100)), np.searchsorted(self.n, n * 100 // self.percent, side="right")
+        y = np.arange(low, high)
+        if allowed is not None:
+            y = y[allowed[y]]
+        if not len(y):
+            return
+        room = _room(n, self.n[y], self.draw(h) if own is None else own, self.bits[y])
+        keep = room >= least_overlap(n, self.n[y], self.percent)
+        y, room = y[keep], room[keep]
+        for k in y[np.argsort(-(room / (n + self.n[y] - room)), kind="stable")].tolist():
+            if (allowed is None or allowed[k]) and reaches(h, self.sets[k], self.percent):
+                yield k
+
+
+def _tiles(df: DataFrame, keys: list[str], work, out: str = "a long, b long") -> DataFrame:
+    """work(groups' rows as (role, id, label, set) lists) over the tiles of df, one tile at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows, done = None, [], []
+
+        def put() -> pa.RecordBatch:
+            both = sorted(set(done))
+            done.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in both], pa.int64()) for i in range(2)], ["a", "b"])
+
+        for batch in batches:
+            cols = [batch.column(k).to_pylist() for k in (*keys, "role", "id", "label", "set")]
+            for *key, role, id_, label, raw in zip(*cols, strict=True):
+                if key != now:
+                    if rows:
+                        done += work(rows)
+                    now, rows = key, []
+                rows.append((role, id_, label, np.frombuffer(raw, dtype=np.uint64)))
+            if len(done) > 100_000:
+                yield put()
+        if rows:
+            done += work(rows)
+        if done:
+            yield put()
 
-    def pairs(t: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        n, ids, bits, label, side = t["n"], t["id"], t["bits"], t["label"], t["side"]
+    dealt = df.select(*keys, "role", "id", "label", "set").repartition(*keys).sortWithinPartitions(*keys, "role", "id")
+    return dealt.mapInArrow(run, out)
+
+
+def guests(pairs: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between guests (id, host) and the members (host, id, n) of the components they visit:
+    one for each guest and tile at most. A component's members stand in tiles by a hash of their id, each
+    in one; guests go to all of them."""
+    size = members.groupBy("host").agg(F.ceil(F.sum("n") / TILE_SHINGLES).alias("tiles"))
+    own = members.join(size, "host").select("host", F.pmod(F.xxhash64("id"), F.col("tiles")).alias("tile"), F.lit(0).alias("role"), "id", F.lit(0).cast("long").alias("label"))
+    come = pairs.join(size, "host").select("host", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("tile"), F.lit(1).alias("role"), "id", F.lit(0).cast("long").alias("label"))
+
+    def work(rows: list) -> list[tuple[int, int]]:
+        own = [r for r in rows if r[0] == 0]
+        if not own or len(own) == len(rows):
+            return []
+        side = _Side([r[1] for r in own], [r[3] for r in own], percent)
+        return [(r[1], side.ids[k]) for r in rows[len(own) :] for k in [next(side.partners(r[3]), None)] if k is not None]
+
+    return _tiles(own.unionByName(come).join(sets, "id"), ["host", "tile"], work)
+
+
+_TILED = ("h", "i", "j", "side", "id", "n", "bits", "label")
+
+
+def group_tiles(groups: DataFrame, tile: int = TILE) -> DataFrame:
+    """Rows of tiles for groups (h, members, id, n, bits, label): all sides of about `tile` members against
+    each other."""
+    many = F.ceil(F.col("members") / tile).cast("int")
+    d = groups.withColumn("side", F.pmod(F.xxhash64("id"), many).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), many - 1)))
+    return d.withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")}).select(*_TILED)
+
+
+def host_tiles(lodged: DataFrame, visits: DataFrame, tile: int = TILE) -> DataFrame:
+    """Rows of tiles for components (host, id, n, bits) and their visitors (host, id, n, bits, label): each
+    member in one tile, each visitor in all of them."""
+    many = lodged.groupBy("host").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    own = lodged.join(many, "host").withColumns({"i": F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"), "side": F.lit(0), "label": F.col("host")})
+    come = visits.join(many, "host").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("side", F.lit(1))
+    rows = own.select("host", "i", "side", "id", "n", "bits", "label").unionByName(come.select("host", "i", "side", "id", "n", "bits", "label"))
+    return rows.withColumn("h", F.col("host")).withColumn("j", F.col("i") + (1 << 30)).select(*_TILED)
+
+
+def rivals(tiled: DataFrame, percent: int) -> DataFrame:
+    """(p, q, a, b, most): for each tile and pair of labels p < q the two rows that may overlap most, if
+    sizes and bitmaps allow a link at all. Where a tile has two sides, only rows of different sides meet."""
+    dealt = tiled.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "n", "id")
+
+    def best(t: dict[str, np.ndarray]) -> list[tuple]:
+        n, ids, label, side, found = t["n"], t["id"], t["label"], t["side"], {}
         crossed = t["i"][0] != t["j"][0]
-        for x in range(len(n) - 1):
-            end = np.searchsorted(n, n[x] * 100 // percent, side="right")  # the band of sizes that fit
-            y = np.arange(x + 1, end)
-            y = y[(label[y] != label[x]) & ((side[y] != side[x]) | (not crossed))]
-            if len(y):
-                y = y[_room(n[x], n[y], bits[x], bits[y]) >= least_overlap(n[x], n[y], percent)]
-                yield np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
+        length = np.array([len(x) for x in t["bits"]])  # rises with n
+        for size in np.unique(length):
+            own = np.flatnonzero(length == size)
+            begin, stop = own[0], np.searchsorted(n, n[own[-1]] * 100 // percent, side="right")
+            bits = np.concatenate([fold(_rows(list(t["bits"][begin:stop][length[begin:stop] == x])), size) for x in np.unique(length[begin:stop])]).view(np.uint64)
+            for x in own:
+                y = np.arange(x + 1, np.searchsorted(n, n[x] * 100 // percent, side="right"))  # the band of sizes that fit
+                y = y[(label[y] != label[x]) & ((side[y] != side[x]) | (not crossed))]
+                if not len(y):
+                    continue
+                room = _room(n[x], n[y], bits[x - begin], bits[y - begin])
+                keep = room >= least_overlap(n[x], n[y], percent)
+                y, room = y[keep], room[keep]
+                most = room / (n[x] + n[y] - room)
+                order = np.argsort(-most, kind="stable")
+                for k in order[np.unique(label[y][order], return_index=True)[1]]:
+                    key = (min(label[x], label[y[k]]), max(label[x], label[y[k]]))
+                    if key not in found or found[key][0] < most[k]:
+                        found[key] = (most[k], min(ids[x], ids[y[k]]), max(ids[x], ids[y[k]]))
+        return [(*key, a, b, m) for key, (m, a, b) in found.items()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] | None = None
-        done: list[tuple[np.ndarray, np.ndarray]] = []
+        done: list[tuple] = []
 
-        def flush() -> pa.RecordBatch:
-            a, b = (np.concatenate(x) for x in zip(*done, strict=True))
+        def put() -> pa.RecordBatch:
+            cols = list(zip(*done, strict=True))
             done.clear()
-            both = np.unique(np.stack([a, b], axis=1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+            return pa.RecordBatch.from_arrays([*[pa.array(np.array(c, dtype=np.int64)) for c in cols[:4]], pa.array(np.array(cols[4], dtype=np.float64))], ["p", "q", "a", "b", "most"])
 
         def all_(t: dict[str, np.ndarray], final: bool) -> dict[str, np.ndarray] | None:
             new = np.flatnonzero(np.concatenate([[True], (t["h"][1:] != t["h"][:-1]) | (t["i"][1:] != t["i"][:-1]) | (t["j"][1:] != t["j"][:-1])]))
             ends = [*new[1:], len(t["h"])]
             for a, b in zip(new if final else new[:-1], ends if final else ends[:-1], strict=True):
-                done.extend(pairs({k: v[a:b] for k, v in t.items()}))
+                done.extend(best({k: v[a:b] for k, v in t.items()}))
             return None if final else {k: v[new[-1] :] for k, v in t.items()}
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            t = {k: batch.column(k).to_numpy() for k in ("h", "i", "j", "side", "id", "n", "label")} | {"bits": _bits(batch.column("bits"))}
+            t = {k: batch.column(k).to_numpy() for k in ("h", "i", "j", "side", "id", "n", "label")} | {"bits": np.array([*batch.column("bits").to_pylist(), None], dtype=object)[:-1]}
             held = all_(t if held is None else {k: np.concatenate([held[k], v]) for k, v in t.items()}, False)
-            if sum(len(x[0]) for x in done) > 100_000:
-                yield flush()
+            if len(done) > 100_000:
+                yield put()
         if held is not None:
             all_(held, True)
         if done:
-            yield flush()
+            yield put()
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "p long, q long, a long, b long, most double")
 
 
-def verify(pairs: DataFrame, df: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold, by intersecting the sorted arrays of their texts.
-
-    Texts stay where they are: a bitmap of the ids in question (16 bits an id, at most 8 MB) goes to the
-    scan, which passes on the arrays of those that it may hold.
-    """
-    needed = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    bits = 1 << max(12, min(26, int(16 * needed.count()).bit_length()))
-    spot = F.pmod(F.xxhash64("id"), F.lit(bits))
-    words = needed.select(spot.alias("spot")).selectExpr("spot div 64 AS w", "shiftleft(1L, CAST(spot % 64 AS INT)) AS x").groupBy("w").agg(F.bit_or("x").alias("x")).toArrow()
-    mask = np.zeros(bits // 64, dtype=np.int64)
-    mask[words.column(0).to_numpy()] = words.column(1).to_numpy()
-    mask = mask.view(np.uint64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column(1).to_numpy().astype(np.uint64)
-            asked = (mask[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
-            for piece in text_slices(batch.filter(pa.array(asked.astype(bool))), "text"):
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([shingles(t, size).tobytes() for t in piece.column(2).to_pylist()], pa.binary())], ["id", "set"])
-
-    sets = df.where("id is not null").withColumn("spot", F.pmod(F.xxhash64("id"), F.lit(bits))).select("id", "spot", "text").mapInArrow(run, "id long, set binary")
-    both = pairs.join(sets.withColumnsRenamed({"id": "a", "set": "x"}), "a").join(sets.withColumnsRenamed({"id": "b", "set": "y"}), "b").select("a", "b", "x", "y")
-
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in range(2)], ["a", "b"])
-
-    return both.mapInArrow(test, "a long, b long")
+def relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (id, label) with the components that links (a, b) between ids join as well."""
+    over = links.join(labels.select(F.col("id").alias("a"), F.col("label").alias("p")), "a", "left").join(labels.select(F.col("id").alias("b"), F.col("label").alias("q")), "b", "left")
+    over = components(over.select(F.coalesce("p", "a").alias("a"), F.coalesce("q", "b").alias("b")))
+    both = labels.select("id", F.col("label").alias("mid")).join(over.select(F.col("id").alias("mid"), "label"), "mid", "full")
+    return cut(both.select(F.coalesce("id", "mid").alias("id"), F.coalesce("label", "mid").alias("label")))
 
 
 def join(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -330,33 +512,69 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5,
     classes = cut(sets.join(reps, ["id", "k1", "k2"], "left_semi").select("id", "n", "bits", "prefix"))
     total = classes.agg(F.sum(F.size("prefix"))).first()[0] or 0
 
-    found = cut(matches(classes, max(1, -(-total // BUCKET))))
+    found = cut(matches(classes, max(1, -(-total // BUCKET)), percent))
     thin = classes.select("id", "n", "bits")
     best = bounded(found.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), thin, percent)
     best = cut(best.groupBy("b").agg(F.max_by("a", F.struct("most", -F.col("a"))).alias("a")))
     links = cut(verify(best.select("a", "b"), rows, size, percent))
     labels = cut(components(links))
 
-    # shingles whose classes are not all in one component yet
-    named = found.join(labels.select(F.col("id").alias("leader"), F.col("label").alias("p")), "leader", "left").join(labels.select("id", F.col("label").alias("q")), "id", "left")
-    named = cut(named.select("h", "leader", "id", F.coalesce("p", "leader").alias("p"), F.coalesce("q", "id").alias("q")))
+    # groups whose classes are not all in one component yet, but for pairs that were just tried
+    known = lambda d, id_, to: d.join(labels.select(F.col("id").alias(id_), F.col("label").alias("__l")), id_, "left").withColumn(to, F.coalesce("__l", id_)).drop("__l")
+    named = cut(known(known(found, "leader", "p"), "id", "q"))
     mixed = named.groupBy("h").agg(F.min(F.least("p", "q")).alias("low"), F.max(F.greatest("p", "q")).alias("high"), (F.count("*") + 1).alias("members"))
-    mixed = cut(mixed.where("low <> high and members > 2").select("h", "members"))
-    open_ = named.join(mixed, "h")
-    members = open_.select("h", "members", "id", F.col("q").alias("label")).unionByName(open_.select("h", "members", F.col("leader").alias("id"), F.col("p").alias("label")).distinct()).distinct()
-    more = cut(tiles(members.join(thin, "id"), percent).distinct())
-    second = named.where("p <> q").select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct()
-    second = bounded(second, thin, percent).select("a", "b")
-    tried = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = cut(verify(cut(more.unionByName(second).distinct().join(tried, ["a", "b"], "left_anti")), rows, size, percent))
-    # the second round joins components of the first
-    over = rest.join(labels.select(F.col("id").alias("a"), F.col("label").alias("p")), "a", "left").join(labels.select(F.col("id").alias("b"), F.col("label").alias("q")), "b", "left")
-    over = components(over.select(F.coalesce("p", "a").alias("a"), F.coalesce("q", "b").alias("b")))
-    labels = labels.select("id", F.col("label").alias("mid")).join(over.select(F.col("id").alias("mid"), "label"), "mid", "full")
-    labels = labels.select(F.coalesce("id", "mid").alias("first"), F.coalesce("label", "mid").alias("label"))
+    open_ = named.join(mixed.where("low <> high"), "h").join(best.select(F.col("a").alias("leader"), F.col("b").alias("id"), F.lit(True).alias("tried")), ["leader", "id"], "left")
+    open_ = open_.where("members > 2 OR tried IS NULL")
+    members = cut(open_.select("h", "id", F.col("q").alias("label")).unionByName(open_.select("h", F.col("leader").alias("id"), F.col("p").alias("label"))).distinct())
+
+    def inside(roots: DataFrame, c: str) -> DataFrame:
+        """(c, id, n): the classes of the components named in c, roots without links included."""
+        own = labels.select(F.col("label").alias(c), "id").join(roots, c, "left_semi").unionByName(roots.select(c, F.col(c).alias("id"))).distinct()
+        return own.join(thin.select("id", "n"), "id")
+
+    # a group's large component meets the others once, not once a group; the others meet group by group.
+    # Of each two components that bitmaps can't keep apart, the likeliest two classes are tried first
+    counts = members.groupBy("h", "label").agg(F.count("*").alias("m")).where(F.col("m") >= HOST)
+    placed = members.join(counts.groupBy("h").agg(F.max_by("label", F.struct("m", -F.col("label"))).alias("host")), "h", "left")
+    placed = cut(placed.where("host IS NULL OR label <> host"))
+    first = inside(placed.where("host IS NOT NULL").select("host").distinct(), "host").join(thin.select("id", "bits"), "id")
+    visitors = placed.where("host IS NOT NULL").select("id", "label", "host").distinct().join(thin, "id")
+    sizes = placed.groupBy("h").agg(F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("h", "members")
+    apart = rivals(group_tiles(placed.join(sizes, "h").join(thin, "id")).unionByName(host_tiles(first, visitors)), percent)
+    apart = cut(apart.groupBy("p", "q").agg(F.max_by(F.struct("a", "b"), F.struct("most", -F.col("a"), -F.col("b"))).alias("best")).select("p", "q", "best.a", "best.b"))
+    once = relabel(labels, cut(verify(apart.select("a", "b").distinct(), rows, size, percent)))
+    of = lambda d, c, to: d.join(once.select(F.col("id").alias(c), F.col("label").alias("__l")), c, "left").withColumn(to, F.coalesce("__l", c)).drop("__l")
+    apart = cut(of(of(apart.select("p", "q"), "p", "l"), "q", "r").where("l <> r").select("p", "q"))
+
+    # where that failed, every class of the smaller component visits the larger one's tiles
+    grown = labels.groupBy("label").agg(F.count("*").alias("m"))
+    for c in "pq":
+        apart = apart.join(grown.select(F.col("label").alias(c), F.col("m").alias(f"m{c}")), c, "left").withColumn(f"m{c}", F.coalesce(f"m{c}", F.lit(1)))
+    apart = cut(apart.select(F.when(F.col("mp") < F.col("mq"), F.col("q")).otherwise(F.col("p")).alias("host"), F.when(F.col("mp") < F.col("mq"), F.col("p")).otherwise(F.col("q")).alias("guest")).distinct())
+
+    lodged = cut(inside(apart.select("host").distinct(), "host"))
+    band = lodged.groupBy("host").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    visits = apart.join(inside(apart.select("guest").distinct(), "guest"), "guest").join(band, "host").where(f"100 * n >= {percent} * low AND 100 * high >= {percent} * n")
+    visits = cut(visits.select("id", "host").distinct())
+    sets_ = arrays(rows, cut(lodged.select("id").unionByName(visits.select("id")).distinct()), size)
+    labels = relabel(once, cut(guests(visits, lodged, sets_, percent))).withColumnRenamed("id", "first")
 
     final = cut(same.join(labels, "first", "left").select("k1", "k2", F.col("first"), F.coalesce("label", "first").alias("label")))
     out = sets.select("id", "n", "k1", "k2").join(final, ["k1", "k2"], "left")
     own = F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("id"))
     reached = F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), own.alias("class_id"), reached.alias("component_id"))
+
+
+def oracle(size: int = 3, percent: int = 90, documents: str = "documents") -> str:
+    """doc_id, n_shingles, component_id and class_id in DuckDB SQL, by counting shared shingles of all pairs."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    shingle = " || ' ' || ".join(f"w[i + {n}]" for n in range(size))
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x20\\x09-\\x0D]+') AS w FROM {documents}),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= {size} THEN list_transform(range(1, len(w) - {size} + 2), lambda i: {shingle}) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s FROM d),
+n AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM s), u AS (SELECT doc_id, unnest(s) AS x FROM s),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM u a JOIN u b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT c.a, c.b FROM c JOIN n x ON x.doc_id = c.a JOIN n y ON y.doc_id = c.b WHERE 100 * c.i >= {percent} * (x.n + y.n - c.i)),
+r AS (SELECT doc_id, doc_id AS to_ FROM s UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.to_),
+k AS (SELECT doc_id, min(to_) AS component_id FROM r GROUP BY doc_id), g AS (SELECT s, min(doc_id) AS class_id FROM s WHERE len(s) > 0 GROUP BY s)
+SELECT k.doc_id, n.n AS n_shingles, k.component_id, coalesce(g.class_id, k.doc_id) AS class_id FROM k JOIN n USING (doc_id) JOIN s USING (doc_id) LEFT JOIN g ON g.s = s.s"""
