@@ -62,4 +62,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_top_k": topk.ORACLE, "op7_mixing": mixing.oracle()}
+    return {"op3_secret_scan": secrets.oracle(), "op4_top_k": topk.ORACLE, "op6_jaccard_join": jaccard.oracle(3, 90), "op7_mixing": mixing.oracle()}
