@@ -29,6 +29,16 @@ def test_brute_force(spark, spread):
     assert sorted(map(tuple, many.collect())) == brute(rows, range(0, 1000, 50), 5)
 
 
+@pytest.mark.parametrize("buckets", [4, 64, 1024])
+def test_refining_down_to_single_scores(spark, monkeypatch, buckets):
+    monkeypatch.setattr(topk, "BUCKETS", buckets)
+    monkeypatch.setattr(topk, "ENOUGH", 0)
+    rng = np.random.default_rng(buckets)
+    rows = [(n, [float(np.float32(x)) for x in rng.normal(0, 0.3, 8)]) for n in range(3000)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    assert sorted(map(tuple, topk.top_k(d, F.col("vec_id") % 50 == 0).collect())) == brute(rows, range(0, 3000, 50), 5)
+
+
 def test_few_and_none(spark):
     d = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [-1.0, 0.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.top_k(d, F.col("vec_id") % 50 == 0).orderBy("rank").collect()] == [(0, 1, 1, 32768), (0, 2, 2, -65536)]

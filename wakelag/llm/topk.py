@@ -36,6 +36,7 @@ class _Block:
         self.width = 1
         while self.width * BUCKETS < 2 * top:
             self.width *= 2
+        self.span = BUCKETS  # buckets of the range in question; a refined one may have fewer
         self.low = np.full(len(keys), -top, dtype=np.int64)
         self.above = np.zeros(len(keys), dtype=np.int64)
         self.kept = np.full(len(keys), np.iinfo(np.int64).max)
@@ -69,7 +70,7 @@ class _Block:
         held = np.zeros(n * BUCKETS, dtype=np.int64)
         for _, s, counts in self.batches(batches):
             off = (s - self.low) // self.width
-            counts &= (off >= 0) & (off < BUCKETS)
+            counts &= (off >= 0) & (off < self.span)
             held += np.bincount((off + np.arange(n) * BUCKETS)[counts], minlength=n * BUCKETS)
         held = held.reshape(n, BUCKETS)[:, ::-1]
         # a bucket below this task's own k-th best can't hold the k-th best of all
@@ -88,7 +89,8 @@ class _Block:
         self.kept[~seen] = 0  # fewer candidates than k: all stay, the lower bound as it is
         self.done = self.width == 1 or bool((self.kept <= ENOUGH * self.k).all())
         if not self.done:
-            self.width = max(1, self.width // BUCKETS)
+            finer = max(1, self.width // BUCKETS)
+            self.width, self.span = finer, self.width // finer
 
     def best(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """This task's rows that reach the bound of their query, at most k a query by (score, id)."""
