@@ -31,6 +31,8 @@ UNKNOWN = -14.0
 #: Letters beyond which a word is scored by itself, with logarithms and in little memory; the product of
 #: so many small probabilities still is a normal double.
 LONG = 36
+#: Words of a lattice while fitting.
+PART = 4000
 #: Words whose scores a worker keeps.
 CACHE = 150_000
 UNDETERMINED = "und"
@@ -78,10 +80,10 @@ class _Lattice:
                     p = get(w[j:i])
                     if p is not None:
                         put((n, j, i, p))
-        word, j, i, piece = np.array(found, dtype=np.int64).reshape(-1, 4).T
+        word, j, i, piece = np.array(found, dtype=np.int32).reshape(-1, 4).T
         order = np.lexsort((word, i))
         self.word, self.end, self.piece = word[order], i[order], piece[order]
-        self.src, self.dst = self.first[self.word] + j[order], self.first[self.word] + self.end
+        self.src, self.dst = (self.first[self.word] + j[order]).astype(np.int32), (self.first[self.word] + self.end).astype(np.int32)
 
     def _levels(self) -> Iterator[slice]:
         at = np.flatnonzero(np.diff(self.end, prepend=-1))
@@ -217,9 +219,9 @@ class Model:
         logp = np.full((len(pieces) + 1, max(1, len(langs))), -np.log(len(pieces) + 1.0))
         logp[0] = UNKNOWN
         if langs and words:
-            lattice = _Lattice(words, index)
+            parts = [(_Lattice(words[at : at + PART], index), counts[at : at + PART]) for at in range(0, len(words), PART)]
             for _ in range(rounds):
-                used = lattice.expected(logp, counts)[1:] + SMOOTH
+                used = sum(lattice.expected(logp, n) for lattice, n in parts)[1:] + SMOOTH
                 logp[1:] = np.log(used / used.sum(axis=0))
         return cls(langs, pieces, logp)
 
