@@ -488,6 +488,8 @@ def rivals(tiled: DataFrame, percent: int) -> DataFrame:
 
 def relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
     """labels (id, label) with the components that links (a, b) between ids join as well."""
+    if links.isEmpty():
+        return labels
     over = links.join(labels.select(F.col("id").alias("a"), F.col("label").alias("p")), "a", "left").join(labels.select(F.col("id").alias("b"), F.col("label").alias("q")), "b", "left")
     over = components(over.select(F.coalesce("p", "a").alias("a"), F.coalesce("q", "b").alias("b")))
     both = labels.select("id", F.col("label").alias("mid")).join(over.select(F.col("id").alias("mid"), "label"), "mid", "full")
