@@ -92,7 +92,11 @@ def test_prefixes_share_a_shingle(n, edits, percent, seed):
         assert len(np.intersect1d(J.prefix(x, percent, common), J.prefix(y, percent, common)))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 50_000])
+def test_components(spark, monkeypatch, few):
+    from wakelag.llm import components as module
+
+    monkeypatch.setattr(module, "FEW", few)
     rng = random.Random(4)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(n, n + 1) for n in range(1000, 1100)] + [(5, 5), (None, 3)]
     got = {r["id"]: r["label"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from wakelag.llm.common import cut
 
+#: Links up to which a round is one task without an exchange; beyond, the same round is dealt out.
+FEW = 50_000
+
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, label) for the ids of links (a, b): the smallest id that links reach.
@@ -15,18 +18,20 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     folder, and only a count and a checksum reach the driver.
     """
     edges = cut(links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    if edges.isEmpty():
+    total = edges.count()
+    if not total:
         return edges.select(F.col("u").alias("id"), F.col("v").alias("label"))
-    state = None
+    few = (lambda d: d.coalesce(1)) if total <= FEW else (lambda d: d)
+    edges, state = few(edges), None
     for _ in range(rounds):
         # large star: neighbours above u go to the smallest of u's neighbourhood
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = few(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small star: u and its neighbours below go to the smallest of these
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
-        edges = cut(small.distinct())
+        edges = few(cut(few(small).distinct()))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
