@@ -63,6 +63,19 @@ def test_windows_cover_every_word():
         assert {x for s in starts for x in range(s, min(n, s + toxicity.WINDOW))} == set(range(n))
 
 
+def test_long_runs_are_seen_to_their_end():
+    fine, rude = "afinedayforawalkintheparkwithallofus", "youidiotgoawayyouidiotgoawaynow"
+    runs = [(c + fine * 2 + x + fine, int(x == rude)) for c in "bcdefghijklmnopqrst" for x in (rude, fine)]
+    net = toxicity.train(runs[2:], steps=60)
+    (toxic, _), (clean, _) = runs[:2]
+    assert net.scores([toxic])[0] > 0.5 > net.scores([clean])[0]
+    run = "".join(chr(0x4E00 + n) for n in range(500))
+    for n in (64, 65, 88, 89, 500):
+        units = toxicity.units_of("ab " + run[:n])
+        assert units[0] == "ab" and all(any(run[i : i + 5] in u for u in units) for i in range(n - 4))
+        assert toxicity.units_of(" ".join(units)) == units
+
+
 def test_toxicity_edges(docs, none):
     net = toxicity.train([("you idiot go away", 1), ("a fine day", 0)] * 20, steps=10)
     rows = toxicity.score(docs.select("doc_id", "text", "score", "label"), net).collect()

@@ -1,6 +1,7 @@
 """Operator 8: toxicity by a bidirectional gated recurrent network with attention pooling.
 
-A word enters as its own vector and as the mean vector of its character pieces. Two gated recurrent
+A word enters as its own vector and as the mean vector of its character pieces; a very long run of letters
+enters as overlapping parts. Two gated recurrent
 layers read a window of words forwards and backwards, attention pools their states, and a logistic unit
 scores the window. All overlapping windows of a text are scored; the highest one counts. Labels are of
 documents, so training takes of a toxic document the window that the network finds most toxic so far (of a bag of windows, so that a clean document's worst window counts as clean).
@@ -25,9 +26,11 @@ SAMPLE, SAMPLE_CHARS = 4000, 100_000
 #: Words of a window, and from one window's start to the next one's.
 WINDOW, STRIDE = 32, 24
 WORD_DIM, CHAR_DIM, HIDDEN, ATTEND = 8, 8, 8, 8
-#: Slots of hashed character pieces; letters of a word that these are of; training documents that give a
-#: word a vector of its own.
-SLOTS, LETTERS, MIN_DOCS = 16384, 64, 4
+#: Slots of hashed character pieces; training documents that give a word a vector of its own.
+SLOTS, MIN_DOCS = 16384, 4
+#: Letters of a run that is one word at most; longer runs (unspaced script, glued text) are cut into parts of
+#: PART letters, one every PART_STRIDE letters, that stand as words.
+LETTERS, PART, PART_STRIDE = 64, 24, 12
 STEPS, BATCH, RATE, SEED = 600, 48, 0.01, 8
 #: Windows of a document that a step looks at; the one found most toxic carries the document's label.
 BAG = 4
@@ -48,9 +51,18 @@ def starts_of(n: int) -> list[int]:
     return [0] if n <= WINDOW else [*range(0, n - WINDOW, STRIDE), n - WINDOW]
 
 
+def units_of(text: str) -> list[str]:
+    """The words of a text, runs of more than LETTERS letters as overlapping parts; no letter is left out."""
+    words = words_of(text)
+    if max(map(len, words), default=0) <= LETTERS:
+        return words
+    parts = lambda w: [w[s : s + PART] for s in [*range(0, len(w) - PART, PART_STRIDE), len(w) - PART]]
+    return [x for w in words for x in ([w] if len(w) <= LETTERS else parts(w))]
+
+
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Slots of the words' pieces of three and five characters, ends marked, and each piece's word."""
-    spelt = [f"<{w[:LETTERS]}>" for w in words]
+    spelt = [f"<{w}>" for w in words]
     codes = np.frombuffer("".join(spelt).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     owner = np.repeat(np.arange(len(words)), [len(w) for w in spelt])
     slots, of = [], []
@@ -172,7 +184,7 @@ class Network:
         """The logits of all windows of each text; None where a text has no word."""
         if not hasattr(self, "_known") or len(self._known) > CACHE:
             self._known, self._table = {}, np.zeros((0, 6 * HIDDEN), np.float32)
-        docs = [words_of(t) if t else [] for t in texts]
+        docs = [units_of(t) if t else [] for t in texts]
         fresh = list(dict.fromkeys(w for d in docs for w in d if w not in self._known))
         if fresh:
             x, _ = self.vectors(fresh)
@@ -214,7 +226,7 @@ class Network:
 
 def train(texts: list[tuple[str, int]], steps: int = STEPS) -> Network:
     """A network from (text, label); without both labels it gives the share of label 1 to every text."""
-    docs = [(words_of(t), int(y)) for t, y in texts]
+    docs = [(units_of(t), int(y)) for t, y in texts]
     docs = [(w, y) for w, y in docs if w]
     share = float(np.mean([y for _, y in docs])) if docs else 0.0
     seen = Counter(w for d, _ in docs for w in set(d))
