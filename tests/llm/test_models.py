@@ -63,6 +63,13 @@ def test_windows_cover_every_word():
         assert {x for s in starts for x in range(s, min(n, s + toxicity.WINDOW))} == set(range(n))
 
 
+def test_windows_hold_passages_whole():
+    size = toxicity.WINDOW // 2 + 1
+    for n in (33, 48, 49, 56, 500):
+        starts = toxicity.starts_of(n)
+        assert all(any(s <= at and at + size <= s + toxicity.WINDOW for s in starts) for at in range(n - size + 1))
+
+
 def test_long_runs_are_seen_to_their_end():
     fine, rude = "afinedayforawalkintheparkwithallofus", "youidiotgoawayyouidiotgoawaynow"
     runs = [(c + fine * 2 + x + fine, int(x == rude)) for c in "bcdefghijklmnopqrst" for x in (rude, fine)]

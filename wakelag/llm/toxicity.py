@@ -23,8 +23,9 @@ from wakelag.llm.langid import words_of
 
 #: Labelled documents that are learned from, about, by hash of the id; longer texts (code points) are left out.
 SAMPLE, SAMPLE_CHARS = 4000, 100_000
-#: Words of a window, and from one window's start to the next one's.
-WINDOW, STRIDE = 32, 24
+#: Words of a window, and from one window's start to the next one's; passages of up to 17 words stand whole
+#: in some window.
+WINDOW, STRIDE = 32, 16
 WORD_DIM, CHAR_DIM, HIDDEN, ATTEND = 8, 8, 8, 8
 #: Slots of hashed character pieces; training documents that give a word a vector of its own.
 SLOTS, MIN_DOCS = 16384, 4
