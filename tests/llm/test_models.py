@@ -33,6 +33,18 @@ def test_forward_sums_every_segmentation():
         assert np.allclose(model._score_run(" " + w), np.log(all_(" " + w)))
 
 
+def test_long_pieces_are_summed():
+    pieces = langid.default_pieces()
+    assert {" international", " disproportionately"} <= set(pieces)
+    model = langid.Model.fit([("x", "international law"), ("y", "inter national lawn")], pieces, rounds=2)
+    p = {s: np.exp(model.logp[n]) for n, s in enumerate(model.pieces, 1)}
+    w = " international"
+    past = [np.ones(2)]
+    for i in range(1, len(w) + 1):
+        past.append(sum((past[j] * p[w[j:i]] for j in range(i) if w[j:i] in p), np.zeros(2)))
+    assert np.allclose(model._score_words([w[1:]])[0], np.log(past[-1])) and np.allclose(model._score_run(w), np.log(past[-1]))
+
+
 def test_language_of_held_out_rows(spark):
     got = queries.op2_language_id(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id")
     r = got.where("held_out").agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("int"))).first()[0]

@@ -24,8 +24,6 @@ SAMPLE = 200
 SAMPLE_CHARS = 100_000
 ROUNDS = 3
 SMOOTH = 0.02
-#: Code points of a piece at most; rank files hold few longer ones of letters.
-PIECE = 12
 #: Log probability of a letter outside the vocabulary, alike in all languages.
 UNKNOWN = -14.0
 #: Letters beyond which a word is scored by itself, with logarithms and in little memory; the product of
@@ -49,7 +47,7 @@ def read_pieces(path: str) -> list[str]:
             except UnicodeDecodeError:
                 continue
             body = piece.removeprefix(" ")
-            if (body.isalpha() or piece == " ") and len(piece) <= PIECE:
+            if body.isalpha() or piece == " ":
                 out[piece] = None
     return list(out)
 
@@ -70,13 +68,14 @@ class _Lattice:
         lengths = np.array([len(w) for w in spelt], dtype=np.int64)
         self.first = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]]).astype(np.int64) if words else np.zeros(0, dtype=np.int64)
         self.last, self.size = self.first + lengths, int((lengths + 1).sum())
+        longest = max(map(len, index), default=1)
         found: list[int] = []  # word, j, i, piece, one after another
         get, put = index.get, found.extend
         for n, w in enumerate(spelt):
             size = len(w)
             for j in range(size):
                 put((n, j, j + 1, get(w[j], 0)))
-                for i in range(j + 2, min(j + PIECE, size) + 1):
+                for i in range(j + 2, min(j + longest, size) + 1):
                     p = get(w[j:i])
                     if p is not None:
                         put((n, j, i, p))
@@ -126,7 +125,7 @@ class _Scorer:
     BITS = 21
 
     def __init__(self, pieces: list[str], logp: np.ndarray):
-        self.p = np.exp(logp)
+        self.p, self.longest = np.exp(logp), max(map(len, pieces), default=1)
         self.keys = np.zeros(len(pieces) + 1, dtype=np.uint64)
         for length in {len(x) for x in pieces}:
             at = [n for n, x in enumerate(pieces, 1) if len(x) == length]
@@ -180,12 +179,12 @@ class _Scorer:
         alpha[0] = 1
         h = np.zeros_like(codes)
         found = []
-        for length in range(1, min(PIECE, most) + 1):
+        for length in range(1, min(self.longest, most) + 1):
             h = self._step(h[:, : most - length + 1], codes[:, length - 1 :])
             found.append(np.ascontiguousarray(self._find(h).T))
         for i in range(1, most + 1):
             alpha[i] = alpha[i - 1] * self.p[found[0][i - 1]]
-            for length in range(2, min(PIECE, i) + 1):
+            for length in range(2, min(self.longest, i) + 1):
                 piece = found[length - 1][i - length]
                 held = np.flatnonzero(piece)
                 if len(held):
@@ -235,7 +234,8 @@ class Model:
         return out
 
     def _score_run(self, run: str) -> np.ndarray:
-        """The forward algorithm over a very long run, which keeps only the last PIECE positions."""
+        """The forward algorithm over a very long run, which keeps only as many positions as the longest piece has letters."""
+        longest = self._scorer.longest
         past = [np.zeros(len(self.langs))]
         for i in range(1, len(run) + 1):
             got = []
@@ -243,7 +243,7 @@ class Model:
                 p = self._index.get(run[i - back : i])
                 if p is not None or back == 1:
                     got.append(past[-back] + self.logp[p or 0])
-            past = [*past[-PIECE + 1 :], np.logaddexp.reduce(got, axis=0)]
+            past = [*past[max(0, len(past) - longest + 1) :], np.logaddexp.reduce(got, axis=0)]
         return past[-1]
 
     def scores(self, texts: list[str | None]) -> list[np.ndarray | None]:
