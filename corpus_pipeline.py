@@ -29,10 +29,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one of the smallest id, of each group of near copies (five words, 0.8). Documents
-    without words or without an id all stay; of rows that repeat an id one stays."""
-    found = jaccard.join(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    without words or without an id all stay; of rows that repeat an id and its text one stays. Other texts
+    under one id are judged apart: id and text together are a document, named by a 64-bit hash."""
+    named = docs.where("doc_id IS NOT NULL").withColumn("__key", F.xxhash64("doc_id", F.coalesce("text", F.lit("")), F.col("text").isNull()))
+    groups = jaccard.join(named, key="__key").select("__key", "component_id").distinct()
+    found = named.select("__key", "doc_id").distinct().join(groups, "__key")
+    found = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "__key")).alias("least")).select("least.__key")
+    kept = named.join(found, "__key", "left_semi").dropDuplicates(["__key"])
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

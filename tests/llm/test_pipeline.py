@@ -43,6 +43,14 @@ def test_run_gives_the_stages_result(spark, made):
     assert sorted(map(tuple, pipeline.run(spark, SF).collect())) == sorted(map(tuple, made[-1].collect()))
 
 
+def test_texts_under_one_id_are_judged_apart(spark):
+    words = lambda c: " ".join(f"{c}{n}" for n in range(60))
+    rows = [(1, words("a")), (6, words("a") + " end"), (6, words("b")), (6, words("b")), (7, words("c")), (7, words("d")), (8, ""), (8, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = pipeline.jaccard_join(spark, d, SF).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, words("a")), (6, words("b")), (7, words("c")), (7, words("d")), (8, ""), (8, None)], key=str)
+
+
 def test_edges(spark, docs, none):
     d = docs.selectExpr("doc_id", "text", "lang", "source", "cast(length(text) AS long) AS n_chars")
     for _, stage in pipeline.STAGES:
