@@ -46,10 +46,13 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes their words, to the nearest whole number of times (0 to 3)."""
-    taken = mixing.mix(docs).where("taken > 0").withColumn("times", F.expr("(2 * taken + size) DIV (2 * size)")).where("times > 0")
-    times = taken.groupBy("doc_id").agg(F.first("times").alias("__times"))
-    copies = docs.join(times, docs["doc_id"].eqNullSafe(times["doc_id"])).select(*[docs[c] for c in docs.columns], "__times")
+    """Documents as often as the mix takes their words, to the nearest whole number of times (0 to 3). Counts
+    go by a digest of the whole row; rows alike in every column share the sum of theirs."""
+    others = [c for c in docs.columns if c != "text"]
+    rows = docs.withColumn("__row", F.md5(F.to_json(F.struct(*others, F.md5(F.col("text").cast("binary")).alias("__text"))).cast("binary")))
+    taken = mixing.mix(rows, more=("__row",)).where("taken > 0").withColumn("times", F.expr("(2 * taken + size) DIV (2 * size)")).where("times > 0")
+    times = taken.groupBy("__row").agg(F.sum("times").alias("__times"))
+    copies = rows.join(times, "__row").dropDuplicates(["__row"])
     return copies.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).select(*docs.columns)
 
 

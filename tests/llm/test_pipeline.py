@@ -1,9 +1,11 @@
 import hashlib
+from collections import Counter
 
 import pytest
 
 from tests.llm.test_jaccard import brute as near
 from tests.llm.test_secrets import brute as found
+from wakelag.llm import mixing
 
 pipeline = pytest.importorskip("corpus_pipeline")
 SF = "/root/testdata/sf0.001"
@@ -51,6 +53,16 @@ def test_texts_under_one_id_are_judged_apart(spark):
     assert sorted(map(tuple, got), key=str) == sorted([(1, words("a")), (6, words("b")), (7, words("c")), (7, words("d")), (8, ""), (8, None)], key=str)
 
 
+def test_counts_of_rows_without_an_id_are_their_own(spark):
+    rows = [(None, f"{c} " * n, "en", s, 2 * n) for n in (5, 40, 300) for c in "abc" for s in ("x", "y", None)] + [(4, "a b c", "en", "x", 5)] * 2
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    want = Counter()
+    for r in mixing.mix(d).where("size > 0").collect():
+        want[r["source"], r["size"]] += (2 * r["taken"] + r["size"]) // (2 * r["size"])
+    got = Counter((r["source"], len(r["text"].split())) for r in pipeline.mix(spark, d, SF).collect())
+    assert got == +want and len(got) > 1
+
+
 def test_edges(spark, docs, none):
     d = docs.selectExpr("doc_id", "text", "lang", "source", "cast(length(text) AS long) AS n_chars")
     for _, stage in pipeline.STAGES:

@@ -68,14 +68,14 @@ def apportion(items: DataFrame, within: list[Column], order: list[Column], weigh
     return d.groupBy(*items.columns).agg((F.first("__base") + F.sum("__won")).alias(quota))
 
 
-def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", block: int = BLOCK, shard_rows: int = SHARD_ROWS, seed: int = SEED, repeats: int = REPEATS, cycle: tuple[int, ...] = CYCLE) -> DataFrame:
-    """One row for each row of df: key, size, source_size, target, taken, source.
+def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", block: int = BLOCK, shard_rows: int = SHARD_ROWS, seed: int = SEED, repeats: int = REPEATS, cycle: tuple[int, ...] = CYCLE, more: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each row of df: key, size, source_size, target, taken, source, and the columns `more`.
 
     Null or wordless texts have size 0 and nothing is taken of them. A null source is a source of its own,
-    last in order. Rows that repeat take part one by one; ties in seeded order fall to the smaller key and
-    size, so reruns agree. An empty table gives none; other columns of df are not read.
+    last in order. Rows that repeat take part one by one; ties in seeded order fall to the smaller key, size
+    and `more`, so reruns agree. An empty table gives none; other columns of df are not read.
     """
-    docs = cut(df.select(F.col(key).alias("key"), F.col(source).alias("source"), words(F.col(text)).alias("size")))
+    docs = cut(df.select(F.col(key).alias("key"), F.col(source).alias("source"), words(F.col(text)).alias("size"), *more))
     by_source = water_level(docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")), "source", repeats, cycle)
     by_source = by_source.withColumn("seats", F.floor(F.col("total") / block)).withColumn("shards", F.ceil(F.col("rows") / shard_rows))
     by_source = apportion(by_source, [], [F.col("place")], "target", "seats", "blocks").select(F.col("source").alias("of"), "source_size", "target", "blocks", "shards")
@@ -92,13 +92,13 @@ def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str =
         full.alias("rounds"), (tokens - full * F.col("shard_size")).alias("run"),
         (F.when(F.col("shard_size") > 0, F.pmod(number(seeded(seed, F.col("of"), F.col("shard"))), F.ceil(F.col("shard_size") / block))).otherwise(0) * block).alias("first"),
     )
-    ring = W.partitionBy("of", "shard").orderBy("order", "key", "size")
+    ring = W.partitionBy("of", "shard").orderBy("order", "key", "size", *more).rowsBetween(W.unboundedPreceding, W.currentRow)  # rows alike follow each other
     docs = placed.withColumn("at", F.sum("size").over(ring) - F.col("size"))
     docs = docs.join(shards, docs["of"].eqNullSafe(F.col("__of")) & (docs["shard"] == F.col("__shard")))
     end, stop = F.col("at") + F.col("size"), F.col("first") + F.col("run")
     over = F.greatest(F.least(end, stop) - F.greatest(F.col("at"), F.col("first")), F.lit(0)) + F.greatest(F.least(end, stop - F.col("shard_size")) - F.col("at"), F.lit(0))
     taken = (F.col("rounds") * F.col("size") + over).cast("long")
-    return docs.select(F.col("key").alias(key), "size", "source_size", "target", taken.alias("taken"), F.col("of").alias(source))
+    return docs.select(F.col("key").alias(key), "size", "source_size", "target", taken.alias("taken"), F.col("of").alias(source), *more)
 
 
 def oracle(block: int = BLOCK, shard_rows: int = SHARD_ROWS, seed: int = SEED, documents: str = "documents", tail: str | None = None) -> str:
