@@ -32,6 +32,16 @@ def test_query_equals_sql(spark, con, name):
     assert plain(map(tuple, got.collect())) == plain(want)
 
 
+def test_lag_grid_is_checked_in_every_window(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    runs, bad = catalogue._runs(spark, SF), "U0_click"
+    lost = runs.where(~((F.col("x_symbol") == bad) & (F.col("lag_ms") == 600_000) & (F.col("win") == 23)))
+    monkeypatch.setattr(catalogue, "_runs", lambda *_: lost)
+    got = [r for r in catalogue.lag_grid_complete(spark, SF).collect() if r["x_symbol"] == bad]
+    assert got and all((r["n_lags"], r["has_zero"]) == (12, 1) for r in got)
+
+
 def test_contract(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(catalogue.queries()) <= set(entry.queries())
