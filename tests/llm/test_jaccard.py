@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import ROWS
 from wakelag.llm import jaccard as J
@@ -47,12 +48,13 @@ def test_edges(docs, none):
     assert J.join(none).count() == 0
 
 
-@pytest.mark.parametrize("k,percent,seed", [(3, 90, 0), (5, 80, 1), (2, 60, 2)])
-def test_brute_force_on_edited_copies(spark, monkeypatch, k, percent, seed):
+@pytest.mark.parametrize("k,percent,seed,step", [(3, 90, 0, 4_000_000), (5, 80, 1, 4_000_000), (2, 60, 2, 4_000_000), (5, 80, 3, 40), (2, 60, 4, 7)])
+def test_brute_force_on_edited_copies(spark, monkeypatch, k, percent, seed, step):
     monkeypatch.setattr(J, "TILE_SHINGLES", 600)
-    monkeypatch.setattr(J.group_tiles, "__defaults__", (8,))
-    monkeypatch.setattr(J.host_tiles, "__defaults__", (8,))
+    monkeypatch.setattr(J, "TILE", 8)
     monkeypatch.setattr(J, "HOST", 3)
+    monkeypatch.setattr(J, "PARTNERS", 3)
+    monkeypatch.setattr(J, "STEP", step)
     rng = random.Random(seed)
     word = lambda: rng.choice("abcdefghijklmnop") + rng.choice("xyz")
     shared, rows = [word() for _ in range(60)], []
@@ -92,17 +94,28 @@ def test_prefixes_share_a_shingle(n, edits, percent, seed):
         assert len(np.intersect1d(J.prefix(x, percent, common), J.prefix(y, percent, common)))
 
 
-@pytest.mark.parametrize("few", [0, 50_000])
-def test_components(spark, monkeypatch, few):
+@pytest.mark.parametrize("percent", [60, 80, 90, 99])
+def test_sets_that_may_link_stand_in_neighbouring_bands(spark, percent):
+    rows = [(n, m) for n in range(1, 400) for m in (n, max(n, n * 100 // percent))]
+    d = spark.createDataFrame(rows, "n long, m long").select((J.band(F.col("m"), percent) - J.band(F.col("n"), percent)).alias("d"))
+    assert {r["d"] for r in d.distinct().collect()} <= {0, 1}
+
+
+@pytest.mark.parametrize("chunk,parts", [(2_000_000, 1), (2_000_000, 7), (1, 5)])
+def test_components(spark, monkeypatch, chunk, parts):
     from wakelag.llm import components as module
 
-    monkeypatch.setattr(module, "FEW", few)
+    monkeypatch.setattr(module, "CHUNK", chunk)
     rng = random.Random(4)
-    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(n, n + 1) for n in range(1000, 1100)] + [(5, 5), (None, 3)]
-    got = {r["id"]: r["label"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(n, n + 1) for n in range(1000, 1100)] + [(5, 5), (None, 3)] + [(2000, 2000 + n) for n in range(1, 400)] * 2
+    rng.shuffle(links)
+    got = {r["id"]: r["label"] for r in components(spark.createDataFrame(links, "a long, b long").repartition(parts)).collect()}
     real = [(a, b) for a, b in links if a is not None and a != b]
     want = groups({x for p in real for x in p}, real)
     assert got == want
+
+
+def test_components_of_nothing(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Iterator
+import atexit
+import tempfile
+import uuid
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -11,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: White space that separates words: blank, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
+_scratch: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,15 +21,56 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from the session; a local one is set only where none is."""
+    """The folder that driver and executors share, from the session. Where none is set, a local master takes
+    a temporary folder; a cluster is refused, since its executors would not see it."""
     found = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not found.isDefined():
-        path = spark.conf.get("spark.checkpoint.dir", "") or "/tmp/wakelag-checkpoints"
-        spark.sparkContext.setCheckpointDir(path)
+        path = spark.conf.get("spark.checkpoint.dir", "")
+        if not path and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(path or tempfile.mkdtemp(prefix="wakelag-"))
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
     return found.get()
 
 
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new folder for intermediate tables below the shared one. All of them go when the program ends;
+    `drop` removes one that is no longer read."""
+    app = spark.sparkContext.applicationId
+    if app not in _scratch:
+        _scratch[app] = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+        jvm, conf, root = spark._jvm, spark._jsc.hadoopConfiguration(), _scratch[app]
+        atexit.register(lambda: _delete(jvm, conf, root))
+    return f"{_scratch[app]}/{what}-{uuid.uuid4().hex}"
+
+
+def _delete(jvm, conf, path: str) -> None:
+    try:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    except Exception:  # noqa: BLE001  the gateway may be gone at exit
+        pass
+
+
+def drop(spark: SparkSession, *paths: str) -> None:
+    for p in paths:
+        _delete(spark._jvm, spark._jsc.hadoopConfiguration(), p)
+
+
+def kept(df: DataFrame, path: str) -> DataFrame:
+    """df written to `path` as Parquet and read back: plans that follow know its size."""
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def free(name: str, taken: Sequence[str]) -> str:
+    """`name`, with underscores behind it until no column (in any case) is called so."""
+    low = {x.lower() for x in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written once to the shared folder and read back, so that later plans neither repeat nor lose it."""
     shared_dir(df.sparkSession)
@@ -64,7 +108,3 @@ def arrow_map(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch], s
                 yield step(piece)
 
     return df.mapInArrow(run, schema)
-
-
-def quoted(name: str) -> str:
-    return re.sub("'", "''", name)

@@ -12,13 +12,14 @@ a member and tile, never its pairs, and no two components with a link between th
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from wakelag.llm.common import cut, text_slices
 from wakelag.llm.components import components
@@ -34,8 +35,12 @@ COMMON, MOST_COMMON = 3, 1_000_000
 BUCKET, STEP = 400_000, 4_000_000
 #: Members of a group that make their component its host.
 HOST = 8
-#: Members of a side of a tile of bitmaps; shingles of a tile of arrays, about.
+#: Members of a side of a tile of bitmaps; shingles of a side of a tile of arrays, about.
 TILE, TILE_SHINGLES = 1024, 400_000
+#: Tasks that the rows of one shingle are dealt to where they meet what is known of it.
+SPREAD = 16
+#: Pairs of one class that a task joins at a time, about; a class with more is met by several tasks.
+PARTNERS = 1000
 #: Words whose hashes a worker keeps.
 CACHE = 300_000
 _PRIME = np.uint64(0x9E3779B185EBCA87)
@@ -264,10 +269,25 @@ def rooms(na: np.ndarray, nb: np.ndarray, ba: list[bytes], bb: list[bytes]) -> n
     return out
 
 
+def by_shingle(rows: DataFrame, each: DataFrame, how: str = "inner") -> DataFrame:
+    """rows (h, id, ...) joined to each, a row a shingle h, which stands in SPREAD tasks: so do the rows."""
+    places = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long")))
+    return rows.withColumn("__s", F.pmod(F.xxhash64("id"), F.lit(SPREAD))).join(each.withColumn("__s", places), ["h", "__s"], how).drop("__s")
+
+
+def partnered(pairs: DataFrame, table: DataFrame, c: str, by: str) -> DataFrame:
+    """pairs (c, by, ...) joined to table (c, ...), a row a class; one that many pairs name is copied to one
+    task for each PARTNERS of them. What is known of such classes has pairs / PARTNERS rows at most."""
+    many = cut(pairs.groupBy(c).agg(F.ceil(F.count("*") / PARTNERS).alias("__many")).where("__many > 1"))
+    dealt = pairs.join(many, c, "left").withColumn("__part", F.pmod(F.xxhash64(by), F.coalesce("__many", F.lit(1)))).drop("__many")
+    held = table.join(many, c, "left").withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("__many", F.lit(1)) - 1))).drop("__many")
+    return dealt.join(held, [c, "__part"]).drop("__part")
+
+
 def bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """pairs (a, b) that sizes and bitmaps allow, with the shares they may reach at most."""
     side = lambda x: classes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "na", "nb", "bitsa", "bitsb")
+    both = partnered(pairs, side("a"), "a", "b").join(side("b"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "na", "nb", "bitsa", "bitsb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -306,7 +326,7 @@ def arrays(df: DataFrame, ids: DataFrame, size: int) -> DataFrame:
 def verify(pairs: DataFrame, df: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold, by intersecting sorted arrays."""
     sets = arrays(df, cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), size)
-    both = pairs.join(sets.withColumnsRenamed({"id": "a", "set": "x"}), "a").join(sets.withColumnsRenamed({"id": "b", "set": "y"}), "b").select("a", "b", "x", "y")
+    both = partnered(pairs, sets.withColumnsRenamed({"id": "a", "set": "x"}), "a", "b").join(sets.withColumnsRenamed({"id": "b", "set": "y"}), "b").select("a", "b", "x", "y")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -387,13 +407,40 @@ def _tiles(df: DataFrame, keys: list[str], work, out: str = "a long, b long") ->
     return dealt.mapInArrow(run, out)
 
 
+def band(n: Column, percent: int) -> Column:
+    """Sets that may link stand in the same band of sizes or in neighbouring ones: a band is a little wider
+    than the threshold lets sizes differ."""
+    return F.floor(F.log(n.cast("double")) / math.log(100 / percent * 1.0001)).cast("int")
+
+
+def grid(left: DataFrame, right: DataFrame, key: str, percent: int, weight: Column, most: int) -> tuple[DataFrame, DataFrame]:
+    """left and right (key, id, n, ...) dealt to tiles (key, cell, i, j) in which they meet.
+
+    A cell is a band of left's sizes; right's rows go to the cells next to theirs too. Each side of a cell is
+    cut into pieces of about `most` of `weight` by a hash of the id, and every piece of the left meets every
+    piece of the right: a tile holds one of each, whatever the sides hold.
+    """
+    low = band(F.col("n"), percent)
+    left, right = left.withColumn("cell", low), right.withColumn("cell", F.explode(F.array(low - 1, low, low + 1)))
+    count = lambda d, to: d.groupBy(key, "cell").agg(F.greatest(F.ceil(F.sum(weight) / most), F.lit(1)).cast("int").alias(to))
+    sizes = cut(count(left, "rows_").join(count(right, "columns_"), [key, "cell"]))  # a row a cell
+    places = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long")))
+
+    def sized(d: DataFrame) -> DataFrame:
+        return d.withColumn("__s", F.pmod(F.xxhash64("id"), F.lit(SPREAD))).join(sizes.withColumn("__s", places), [key, "cell", "__s"]).drop("__s")
+
+    piece = lambda many: F.pmod(F.xxhash64("id", F.lit(1)), F.col(many)).cast("int")
+    all_ = lambda many: F.explode(F.sequence(F.lit(0), F.col(many) - 1))
+    left = sized(left).withColumn("i", piece("rows_")).withColumn("j", all_("columns_"))
+    right = sized(right).withColumn("j", piece("columns_")).withColumn("i", all_("rows_"))
+    return left.drop("rows_", "columns_"), right.drop("rows_", "columns_")
+
+
 def guests(pairs: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between guests (id, host) and the members (host, id, n) of the components they visit:
-    one for each guest and tile at most. A component's members stand in tiles by a hash of their id, each
-    in one; guests go to all of them."""
-    size = members.groupBy("host").agg(F.ceil(F.sum("n") / TILE_SHINGLES).alias("tiles"))
-    own = members.join(size, "host").select("host", F.pmod(F.xxhash64("id"), F.col("tiles")).alias("tile"), F.lit(0).alias("role"), "id", F.lit(0).cast("long").alias("label"))
-    come = pairs.join(size, "host").select("host", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("tile"), F.lit(1).alias("role"), "id", F.lit(0).cast("long").alias("label"))
+    """Links (a, b) between guests (id, host, n) and the members (host, id, n) of the components they visit:
+    one for each guest and tile at most. Both stand in tiles by their band of sizes and a hash of the id."""
+    own, come = grid(members.select("host", "id", "n"), pairs.select("host", "id", "n"), "host", percent, F.col("n"), TILE_SHINGLES)
+    role = lambda d, x: d.select("host", "cell", "i", "j", F.lit(x).alias("role"), "id", F.lit(0).cast("long").alias("label"))
 
     def work(rows: list) -> list[tuple[int, int]]:
         own = [r for r in rows if r[0] == 0]
@@ -402,34 +449,44 @@ def guests(pairs: DataFrame, members: DataFrame, sets: DataFrame, percent: int)
         side = _Side([r[1] for r in own], [r[3] for r in own], percent)
         return [(r[1], side.ids[k]) for r in rows[len(own) :] for k in [next(side.partners(r[3]), None)] if k is not None]
 
-    return _tiles(own.unionByName(come).join(sets, "id"), ["host", "tile"], work)
+    return _tiles(role(own, 0).unionByName(role(come, 1)).join(sets, "id"), ["host", "cell", "i", "j"], work)
 
 
-_TILED = ("h", "i", "j", "side", "id", "n", "bits", "label")
+_TILED = ("h", "cell", "i", "j", "side", "id", "n", "bits", "label")
+#: Added to the number of a tile's column where its sides are two kinds of rows.
+_CROSSED = 1 << 30
 
 
-def group_tiles(groups: DataFrame, tile: int = TILE) -> DataFrame:
-    """Rows of tiles for groups (h, members, id, n, bits, label): all sides of about `tile` members against
-    each other."""
-    many = F.ceil(F.col("members") / tile).cast("int")
-    d = groups.withColumn("side", F.pmod(F.xxhash64("id"), many).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), many - 1)))
-    return d.withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")}).select(*_TILED)
+def group_tiles(groups: DataFrame, percent: int, tile: int | None = None) -> DataFrame:
+    """Rows of tiles for groups (h, id, n, bits, label): in each band of sizes all pieces of about `tile`
+    members against each other, and against those of the band below."""
+    tile = tile or TILE
+    d = groups.withColumn("cell", band(F.col("n"), percent))
+    many = cut(d.groupBy("h", "cell").agg(F.ceil(F.count("*") / tile).cast("int").alias("many")))
+    below = many.select("h", (F.col("cell") + 1).alias("cell"), F.col("many").alias("under"))
+    above = many.select("h", (F.col("cell") - 1).alias("cell"), F.col("many").alias("over"))
+    known = many.join(below, ["h", "cell"], "left").join(above, ["h", "cell"], "left")
+    places = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long")))
+    d = d.withColumn("__s", F.pmod(F.xxhash64("id"), F.lit(SPREAD))).join(known.withColumn("__s", places), ["h", "cell", "__s"])
+    d = d.withColumn("piece", F.pmod(F.xxhash64("id", F.lit(1)), F.col("many")).cast("int"))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    same = d.withColumn("other", numbers("many")).withColumns({"i": F.least("piece", "other"), "j": F.greatest("piece", "other"), "side": F.col("piece")})
+    upper = d.where("under IS NOT NULL").withColumn("other", numbers("under")).withColumns({"i": F.col("piece"), "j": F.col("other") + _CROSSED, "side": F.lit(0)})
+    lower = d.where("over IS NOT NULL").withColumn("i", numbers("over")).withColumns({"j": F.col("piece") + _CROSSED, "side": F.lit(1), "cell": F.col("cell") + 1})
+    return same.select(*_TILED).unionByName(upper.select(*_TILED)).unionByName(lower.select(*_TILED))
 
 
-def host_tiles(lodged: DataFrame, visits: DataFrame, tile: int = TILE) -> DataFrame:
-    """Rows of tiles for components (host, id, n, bits) and their visitors (host, id, n, bits, label): each
-    member in one tile, each visitor in all of them."""
-    many = lodged.groupBy("host").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
-    own = lodged.join(many, "host").withColumns({"i": F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"), "side": F.lit(0), "label": F.col("host")})
-    come = visits.join(many, "host").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("side", F.lit(1))
-    rows = own.select("host", "i", "side", "id", "n", "bits", "label").unionByName(come.select("host", "i", "side", "id", "n", "bits", "label"))
-    return rows.withColumn("h", F.col("host")).withColumn("j", F.col("i") + (1 << 30)).select(*_TILED)
+def host_tiles(lodged: DataFrame, visits: DataFrame, percent: int, tile: int | None = None) -> DataFrame:
+    """Rows of tiles for components (host, id, n, bits) and their visitors (host, id, n, bits, label)."""
+    own, come = grid(lodged, visits, "host", percent, F.lit(1), tile or TILE)
+    rows = own.withColumns({"side": F.lit(0), "label": F.col("host")}).unionByName(come.withColumn("side", F.lit(1)), allowMissingColumns=True)
+    return rows.withColumn("h", F.col("host")).withColumn("j", F.col("j") + _CROSSED).select(*_TILED)
 
 
 def rivals(tiled: DataFrame, percent: int) -> DataFrame:
     """(p, q, a, b, most): for each tile and pair of labels p < q the two rows that may overlap most, if
     sizes and bitmaps allow a link at all. Where a tile has two sides, only rows of different sides meet."""
-    dealt = tiled.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "n", "id")
+    dealt = tiled.repartition("h", "cell", "i", "j").sortWithinPartitions("h", "cell", "i", "j", "n", "id")
 
     def best(t: dict[str, np.ndarray]) -> list[tuple]:
         n, ids, label, side, found = t["n"], t["id"], t["label"], t["side"], {}
@@ -465,7 +522,7 @@ def rivals(tiled: DataFrame, percent: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([*[pa.array(np.array(c, dtype=np.int64)) for c in cols[:4]], pa.array(np.array(cols[4], dtype=np.float64))], ["p", "q", "a", "b", "most"])
 
         def all_(t: dict[str, np.ndarray], final: bool) -> dict[str, np.ndarray] | None:
-            new = np.flatnonzero(np.concatenate([[True], (t["h"][1:] != t["h"][:-1]) | (t["i"][1:] != t["i"][:-1]) | (t["j"][1:] != t["j"][:-1])]))
+            new = np.flatnonzero(np.concatenate([[True], (t["h"][1:] != t["h"][:-1]) | (t["cell"][1:] != t["cell"][:-1]) | (t["i"][1:] != t["i"][:-1]) | (t["j"][1:] != t["j"][:-1])]))
             ends = [*new[1:], len(t["h"])]
             for a, b in zip(new if final else new[:-1], ends if final else ends[:-1], strict=True):
                 done.extend(best({k: v[a:b] for k, v in t.items()}))
@@ -474,7 +531,7 @@ def rivals(tiled: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            t = {k: batch.column(k).to_numpy() for k in ("h", "i", "j", "side", "id", "n", "label")} | {"bits": np.array([*batch.column("bits").to_pylist(), None], dtype=object)[:-1]}
+            t = {k: batch.column(k).to_numpy() for k in ("h", "cell", "i", "j", "side", "id", "n", "label")} | {"bits": np.array([*batch.column("bits").to_pylist(), None], dtype=object)[:-1]}
             held = all_(t if held is None else {k: np.concatenate([held[k], v]) for k, v in t.items()}, False)
             if len(done) > 100_000:
                 yield put()
@@ -516,7 +573,8 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5,
 
     found = cut(matches(classes, max(1, -(-total // BUCKET)), percent))
     thin = classes.select("id", "n", "bits")
-    best = bounded(found.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), thin, percent)
+    tried = cut(found.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
+    best = bounded(tried, thin, percent)
     best = cut(best.groupBy("b").agg(F.max_by("a", F.struct("most", -F.col("a"))).alias("a")))
     links = cut(verify(best.select("a", "b"), rows, size, percent))
     labels = cut(components(links))
@@ -525,7 +583,7 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5,
     known = lambda d, id_, to: d.join(labels.select(F.col("id").alias(id_), F.col("label").alias("__l")), id_, "left").withColumn(to, F.coalesce("__l", id_)).drop("__l")
     named = cut(known(known(found, "leader", "p"), "id", "q"))
     mixed = named.groupBy("h").agg(F.min(F.least("p", "q")).alias("low"), F.max(F.greatest("p", "q")).alias("high"), (F.count("*") + 1).alias("members"))
-    open_ = named.join(mixed.where("low <> high"), "h").join(best.select(F.col("a").alias("leader"), F.col("b").alias("id"), F.lit(True).alias("tried")), ["leader", "id"], "left")
+    open_ = by_shingle(named, cut(mixed.where("low <> high"))).join(best.select(F.col("a").alias("leader"), F.col("b").alias("id"), F.lit(True).alias("tried")), ["leader", "id"], "left")
     open_ = open_.where("members > 2 OR tried IS NULL")
     members = cut(open_.select("h", "id", F.col("q").alias("label")).unionByName(open_.select("h", F.col("leader").alias("id"), F.col("p").alias("label"))).distinct())
 
@@ -537,12 +595,12 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5,
     # a group's large component meets the others once, not once a group; the others meet group by group.
     # Of each two components that bitmaps can't keep apart, the likeliest two classes are tried first
     counts = members.groupBy("h", "label").agg(F.count("*").alias("m")).where(F.col("m") >= HOST)
-    placed = members.join(counts.groupBy("h").agg(F.max_by("label", F.struct("m", -F.col("label"))).alias("host")), "h", "left")
+    placed = by_shingle(members, counts.groupBy("h").agg(F.max_by("label", F.struct("m", -F.col("label"))).alias("host")), "left")
     placed = cut(placed.where("host IS NULL OR label <> host"))
     first = inside(placed.where("host IS NOT NULL").select("host").distinct(), "host").join(thin.select("id", "bits"), "id")
     visitors = placed.where("host IS NOT NULL").select("id", "label", "host").distinct().join(thin, "id")
-    sizes = placed.groupBy("h").agg(F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("h", "members")
-    apart = rivals(group_tiles(placed.join(sizes, "h").join(thin, "id")).unionByName(host_tiles(first, visitors)), percent)
+    torn = placed.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("h")
+    apart = rivals(group_tiles(by_shingle(placed.select("h", "id", "label"), torn).join(thin, "id"), percent).unionByName(host_tiles(first, visitors, percent)), percent)
     apart = cut(apart.groupBy("p", "q").agg(F.max_by(F.struct("a", "b"), F.struct("most", -F.col("a"), -F.col("b"))).alias("best")).select("p", "q", "best.a", "best.b"))
     once = relabel(labels, cut(verify(apart.select("a", "b").distinct(), rows, size, percent)))
     of = lambda d, c, to: d.join(once.select(F.col("id").alias(c), F.col("label").alias("__l")), c, "left").withColumn(to, F.coalesce("__l", c)).drop("__l")
@@ -555,9 +613,9 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5,
     apart = cut(apart.select(F.when(F.col("mp") < F.col("mq"), F.col("q")).otherwise(F.col("p")).alias("host"), F.when(F.col("mp") < F.col("mq"), F.col("p")).otherwise(F.col("q")).alias("guest")).distinct())
 
     lodged = cut(inside(apart.select("host").distinct(), "host"))
-    band = lodged.groupBy("host").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    visits = apart.join(inside(apart.select("guest").distinct(), "guest"), "guest").join(band, "host").where(f"100 * n >= {percent} * low AND 100 * high >= {percent} * n")
-    visits = cut(visits.select("id", "host").distinct())
+    sizes = lodged.groupBy("host").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    visits = apart.join(inside(apart.select("guest").distinct(), "guest"), "guest").join(sizes, "host").where(f"100 * n >= {percent} * low AND 100 * high >= {percent} * n")
+    visits = cut(visits.select("id", "host", "n").distinct())
     sets_ = arrays(rows, cut(lodged.select("id").unionByName(visits.select("id")).distinct()), size)
     labels = relabel(once, cut(guests(visits, lodged, sets_, percent))).withColumnRenamed("id", "first")
 
