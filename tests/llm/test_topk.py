@@ -32,7 +32,6 @@ def test_brute_force(spark, spread):
 @pytest.mark.parametrize("buckets", [4, 64, 1024])
 def test_refining_down_to_single_scores(spark, monkeypatch, buckets):
     monkeypatch.setattr(topk, "BUCKETS", buckets)
-    monkeypatch.setattr(topk, "ENOUGH", 0)
     rng = np.random.default_rng(buckets)
     rows = [(n, [float(np.float32(x)) for x in rng.normal(0, 0.3, 8)]) for n in range(3000)]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
@@ -46,11 +45,37 @@ def test_few_and_none(spark):
 
 
 def test_large_numbers(spark):
-    d = spark.createDataFrame([(0, [3e9, 1.0]), (1, [3e9, 2.0]), (2, [3e9, 1.0])], "vec_id long, embedding array<double>")
+    d = spark.createDataFrame([(0, [3e6, 1.0]), (1, [3e6, 2.0]), (2, [3e6, 1.0])], "vec_id long, embedding array<double>")
     got = topk.top_k(d, F.col("vec_id") == 0).collect()
     assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"])] == [1, 2]
 
 
+def test_scores_up_to_the_range_of_a_long(spark):
+    """Products near 2**63 keep their order; the smallest differences count; huge but orthogonal vectors take part."""
+    big = float((1 << 45) + 8)
+    rows = [(0, [2.0, 0.0]), (1, [big, 0.0]), (2, [big - 4, 0.0]), (3, [-big, 5.0]), (4, [0.0, 1e301]), (5, [big, 1.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(d, F.col("vec_id") == 0, scale=256.0).orderBy("rank").collect()
+    whole = lambda x: int(np.floor(256 * x))
+    want = sorted(((-sum(whole(a) * whole(b) for a, b in zip(rows[0][1], v)), i) for i, v in rows[1:]))
+    assert [(r["vec_id"], r["score"]) for r in got] == [(i, -s) for s, i in want] and want[0][0] < -(1 << 62)
+
+
+def test_scores_beyond_a_long_raise(spark):
+    for x, y in ((1e301, 1.0), (3e9, 3e9)):
+        d = spark.createDataFrame([(0, [x]), (1, [y])], "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match="beyond the range of a long"):
+            topk.top_k(d, F.col("vec_id") == 0).collect()
+
+
+def test_a_block_is_bounded_in_histograms(spark):
+    rng = np.random.default_rng(1)
+    rows = [(n, [float(np.float32(x)) for x in rng.normal(0, 1, 2)]) for n in range(300)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = topk.top_k(d, F.col("vec_id") % 50 == 0, histogram_bytes=2 * 8 * topk.BUCKETS)
+    assert sorted(map(tuple, got.collect())) == brute(rows, range(0, 300, 50), 5)
+
+
 def test_query_equals_sql(spark):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()

@@ -1,8 +1,8 @@
 """Operator 4: exact top-k inner-product search by distributed histogram selection.
 
 Every candidate is scored against a block of queries. Global histograms of the scores locate, for each
-query, the bucket that holds the k-th best one; refining that bucket gives its value. A last pass keeps
-the scores that reach it and breaks ties by the smaller id. What a task sends is bounded by k a query.
+query, the bucket that holds the k-th best one; that bucket is refined until the k-th value is known. A last
+pass keeps the scores that reach it and breaks ties by the smaller id. What a task sends is bounded by k a query.
 """
 
 from __future__ import annotations
@@ -13,17 +13,27 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from wakelag.llm.common import scratch
+
 #: Bytes of a block of queries, as doubles: what is collected and sent to the tasks at a time.
 QUERY_BYTES = 8 << 20
+#: Bytes of a block's histograms: what a task holds of them.
+HISTOGRAM_BYTES = 64 << 20
 #: Buckets of a histogram.
 BUCKETS = 1024
-#: Refining ends once every query keeps at most so many times k.
-ENOUGH = 4
+#: Scores are longs; whole doubles are exact below 2**53.
+LONGEST, EXACT = (1 << 63) - 1, float(1 << 53)
 
 
 def usable(vector: Column) -> Column:
-    """No null and no component that is null or not finite, also after scaling."""
-    return vector.isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < 1e300))
+    """No null and no component that is null or not finite."""
+    return vector.isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
+
+
+def _whole(x: Column, scale: float) -> Column:
+    """floor(scale * x) as a double; from 2**53 on every double is whole, also beyond the range of a long."""
+    y = x.cast("double") * scale
+    return F.when(F.abs(y) < EXACT, F.floor(y).cast("double")).otherwise(y)
 
 
 class _Block:
@@ -32,7 +42,7 @@ class _Block:
     def __init__(self, keys: np.ndarray, matrix: np.ndarray, k: int, scale: float, bound: float):
         order = np.argsort(keys, kind="stable")
         self.keys, self.matrix, self.k, self.scale, self.bound = keys[order], matrix[order], k, scale, bound
-        top = min(int(bound) + 1, 1 << 62)
+        top = min(int(bound) + 1, LONGEST) if bound < 2.0**63 else LONGEST
         self.width = 1
         while self.width * BUCKETS < 2 * top:
             self.width *= 2
@@ -43,18 +53,19 @@ class _Block:
 
     def scores(self, keys: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Integer scores (candidates x queries) and a mask of the pairs that count."""
-        c = np.floor(self.scale * vectors.astype(np.float64))
-        if self.bound < 2**53:  # every partial sum is exact
-            s = (c @ self.matrix.T).astype(np.int64)
-        else:
-            whole = np.array([[int(x) for x in r] for r in c], dtype=object) @ np.array([[int(x) for x in r] for r in self.matrix], dtype=object).T
-            s = np.clip(whole, -(1 << 62), 1 << 62).astype(np.int64)
-        counts = np.ones(s.shape, dtype=bool)
+        counts = np.ones((len(keys), len(self.keys)), dtype=bool)
         at = np.searchsorted(self.keys, keys)
         at[at == len(self.keys)] = 0
         own = np.flatnonzero(self.keys[at] == keys)
         counts[own, at[own]] = False
-        return s, counts
+        c = np.floor(self.scale * vectors.astype(np.float64))
+        if self.bound < EXACT:  # every partial sum is exact
+            return (c @ self.matrix.T).astype(np.int64), counts
+        whole = np.array([[int(x) for x in r] for r in c], dtype=object).reshape(c.shape) @ np.array([[int(x) for x in r] for r in self.matrix], dtype=object).reshape(self.matrix.shape).T
+        if any(abs(x) > LONGEST for x in whole[counts]):
+            raise OverflowError("an inner product of the vectors is beyond the range of a long")
+        whole[~counts] = 0
+        return whole.astype(np.int64), counts
 
     def batches(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         dim, step = self.matrix.shape[1], max(1, (2 << 20) // max(1, len(self.keys)))
@@ -69,8 +80,10 @@ class _Block:
         n = len(self.keys)
         held = np.zeros(n * BUCKETS, dtype=np.int64)
         for _, s, counts in self.batches(batches):
-            off = (s - self.low) // self.width
-            counts &= (off >= 0) & (off < self.span)
+            # differences of longs without a sign, so none passes the range
+            off = (s.view(np.uint64) - self.low.view(np.uint64)) // np.uint64(self.width)
+            counts &= (s >= self.low) & (off < self.span)
+            off = np.minimum(off, BUCKETS).astype(np.int64)
             held += np.bincount((off + np.arange(n) * BUCKETS)[counts], minlength=n * BUCKETS)
         held = held.reshape(n, BUCKETS)[:, ::-1]
         # a bucket below this task's own k-th best can't hold the k-th best of all
@@ -87,13 +100,15 @@ class _Block:
             self.above[q] += higher
             seen[q] = True
         self.kept[~seen] = 0  # fewer candidates than k: all stay, the lower bound as it is
-        self.done = self.width == 1 or bool((self.kept <= ENOUGH * self.k).all())
+        # the lower bound is the k-th value, or splits the k best off from the rest
+        self.done = self.width == 1 or bool((self.kept <= self.k).all())
         if not self.done:
             finer = max(1, self.width // BUCKETS)
             self.width, self.span = finer, self.width // finer
 
     def best(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """This task's rows that reach the bound of their query, at most k a query by (score, id)."""
+        """This task's rows that reach the bound of their query. Beyond the k best these are ties for the k-th
+        value only; of them a task passes on the smallest ids, at most k rows a query."""
         held = [np.zeros(0, dtype=np.int64)] * 3
         for keys, s, counts in self.batches(batches):
             c, q = np.nonzero(counts & (s >= self.low))
@@ -105,41 +120,43 @@ class _Block:
         yield pa.RecordBatch.from_pydict({"query_id": pa.array(self.keys[held[0]], pa.int64()), "vec_id": pa.array(held[1], pa.int64()), "score": pa.array(held[2], pa.int64())})
 
 
-def top_k(df: DataFrame, asks: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", scale: float = 256.0, query_bytes: int = QUERY_BYTES) -> DataFrame:
+def top_k(df: DataFrame, asks: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", scale: float = 256.0, query_bytes: int = QUERY_BYTES, histogram_bytes: int = HISTOGRAM_BYTES) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best candidates of each row of df that `asks` marks.
 
-    Scores are inner products of floor(scale * component). Rows with a null id, and unusable vectors
-    (see `usable`), take no part. A candidate is every row of another id and the query's dimension;
-    repeated rows count one by one. Of query rows with one id the smallest vector asks. Queries are taken
-    in blocks of a bounded size; candidates are never moved.
+    Scores are inner products of floor(scale * component), exact; one beyond the range of a long raises
+    OverflowError. Rows with a null id, and unusable vectors (see `usable`), take no part. A candidate is
+    every row of another id and the query's dimension; repeated rows count one by one. Of query rows with
+    one id the smallest vector asks. Queries are taken in blocks that are bounded in bytes and in
+    histograms; a block's result is written to the shared folder. Candidates are never moved: a pass reads
+    them once a block, and the block's products with them cost far more than that.
     """
     spark = df.sparkSession
     rows = df.where(F.col(key).isNotNull() & usable(F.col(vector))).select(F.col(key).cast("long").alias("key"), F.col(vector).alias("vector"), asks.alias("asks"))
-    square = F.aggregate("vector", F.lit(0.0), lambda a, x: a + F.floor(x.cast("double") * scale).cast("double") * F.floor(x.cast("double") * scale).cast("double"))
+    square = F.aggregate("vector", F.lit(0.0), lambda a, x: a + _whole(x, scale) * _whole(x, scale))
     sizes = rows.groupBy(F.size("vector").alias("dim")).agg(F.count_if("asks").alias("n"), F.max(F.sqrt(square)).alias("norm")).where("n > 0").collect()
     ask = rows.where("asks").groupBy("key").agg(F.min("vector").alias("vector"))
-    out = None
+    schema, folder, written = "query_id long, vec_id long, score long", scratch(spark, "top-k"), 0
     for dim, n, norm in sorted(sizes):
-        blocks = max(1, -(-n * max(1, dim) * 8 // query_bytes))
+        most = max(1, min(query_bytes // (8 * max(1, dim)), histogram_bytes // (8 * BUCKETS)))
+        blocks = -(-n // most)
         for b in range(blocks):
             mine = ask.where((F.size("vector") == dim) & (F.pmod(F.xxhash64("key"), F.lit(blocks)) == b)).toArrow()
             if not mine.num_rows:
                 continue
-            matrix = np.floor(scale * mine.column(1).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)).reshape(mine.num_rows, dim)
-            block = _Block(mine.column(0).to_numpy(), matrix, k, scale, norm * norm + dim)
+            flat = np.concatenate([np.zeros(0), *[x.flatten().to_numpy(zero_copy_only=False).astype(np.float64) for x in mine.column(1).chunks]])
+            block = _Block(mine.column(0).to_numpy(), np.floor(scale * flat).reshape(mine.num_rows, dim), k, scale, norm * norm * (1 + 1e-9) + dim)
             there = rows.where(F.size("vector") == dim).select("key", "vector")
             while True:
                 sums = there.mapInArrow(block.histograms, "q int, bucket int, n long").groupBy("q", "bucket").agg(F.sum("n").alias("n"))
                 down = W.partitionBy("q").orderBy(F.col("bucket").desc())
-                above = spark.createDataFrame([(i, int(x)) for i, x in enumerate(block.above)], "q int, above long")
+                above = spark.createDataFrame([(i, int(x)) for i, x in enumerate(block.above)], "q int, above long")  # a row a query of the block
                 sums = sums.withColumn("higher", F.sum("n").over(down) - F.col("n")).join(F.broadcast(above), "q")
                 block.refine(sums.where((F.col("above") + F.col("higher") < k) & (F.col("above") + F.col("higher") + F.col("n") >= k)).select("q", "bucket", "n", "higher").collect())
                 if block.done:
                     break
-            part = there.mapInArrow(block.best, "query_id long, vec_id long, score long")
-            out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = spark.createDataFrame([], "query_id long, vec_id long, score long")
+            there.mapInArrow(block.best, schema).write.parquet(f"{folder}/block={written}")
+            written += 1
+    out = spark.read.schema(schema).parquet(*[f"{folder}/block={n}" for n in range(written)]) if written else spark.createDataFrame([], schema)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
