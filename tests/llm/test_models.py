@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -51,6 +53,69 @@ def test_language_of_held_out_rows(spark):
     assert r > 0.98
 
 
+def test_samples_hold_every_language_and_length(spark):
+    """Rows without an id, rows that repeat and very long texts neither crowd others out nor are left out."""
+    rows = [(None, f"der hund {n}", "de") for n in range(3000)] + [(n, f"the dog {n}", "en") for n in range(3000)] + [(7_000_000, "le chien", "fr")] * 3000 + [(8_000_000, "une maison", "fr")] + [(9_000_000, "casa " * 150_000, "es")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    got = langid.sample(d, "doc_id", "text", "lang", 50).collect()
+    by = {x: [r["text"] for r in got if r["lang"] == x] for x in ("de", "en", "fr", "es")}
+    assert len(by["de"]) == len(by["en"]) == 50 and len(set(by["de"])) == 50
+    held = lambda n: zlib.crc32(str(n).encode()) % 4 == 2
+    assert sorted(by["fr"]) == sorted(t for n, t in ((7_000_000, "le chien"), (8_000_000, "une maison")) if not held(n))
+    assert held(9_000_000) or len(by["es"][0]) == 750_000
+    assert sorted(map(tuple, langid.sample(d.repartition(3), "doc_id", "text", "lang", 50).collect())) == sorted(map(tuple, got))
+    labels = spark.createDataFrame([(n, n % 2) for n in range(3000)] + [(None, 1)] * 3000 + [(9_000_000, 1)] * 2, "doc_id long, toxic int")
+    got = toxicity.sample(d, labels, "doc_id", "text", "toxic", 100)
+    assert len(got) == 100 and got == toxicity.sample(d.repartition(2), labels, "doc_id", "text", "toxic", 100)
+    every = toxicity.sample(d, labels, "doc_id", "text", "toxic", 1 << 20)
+    assert len(every) == sum(not held(n) for n in [*range(3000), 9_000_000]) and any(len(t) == 750_000 for t, _ in every) != held(9_000_000)
+
+
+def loops(net, words):
+    """The network's logit of one window, number by number."""
+    sig, p, h = lambda x: 1 / (1 + np.exp(-x)), {k: v.astype(np.float64) for k, v in net.p.items()}, toxicity.HIDDEN
+    inputs = []
+    for w in words:
+        spelt, slots = f"<{w}>", []
+        for n in (3, 5):
+            for at in range(len(spelt) - n + 1):
+                x = n
+                for c in spelt[at : at + n]:
+                    x = ((x ^ ord(c)) * 0x9E3779B185EBCA87) % (1 << 64)
+                    x ^= x >> 31
+                slots.append(x % toxicity.SLOTS)
+        chars = [sum(p["char"][s][i] for s in slots) / len(slots) for i in range(toxicity.CHAR_DIM)]
+        inputs.append([*p["word"][net.place.get(w, 0)], *chars])
+    states = [[None] * len(words) for _ in range(2)]
+    for d in range(2):
+        s = [0.0] * h
+        for t in range(len(words)) if d == 0 else range(len(words) - 1, -1, -1):
+            x = [sum(a * p["x"][d][i][g] for i, a in enumerate(inputs[t])) + p["b"][d][g] for g in range(3 * h)]
+            r = [sum(a * p["h"][d][i][g] for i, a in enumerate(s)) for g in range(3 * h)]
+            new = []
+            for g in range(h):
+                z, reset = sig(x[g] + r[g]), sig(x[h + g] + r[h + g])
+                new.append((1 - z) * np.tanh(x[2 * h + g] + reset * r[2 * h + g]) + z * s[g])
+            s = states[d][t] = new
+    both = [states[0][t] + states[1][t] for t in range(len(words))]
+    scores = [sum(p["v"][a] * np.tanh(sum(b[i] * p["a"][i][a] for i in range(2 * h)) + p["ab"][a]) for a in range(toxicity.ATTEND)) for b in both]
+    weights = [np.exp(x - max(scores)) for x in scores]
+    return sum(w / sum(weights) * sum(b[i] * p["o"][i] for i in range(2 * h)) for w, b in zip(weights, both)) + p["ob"][0]
+
+
+def test_forward_pass_equals_loops():
+    rng = np.random.default_rng(5)
+    net = toxicity.Network(["cat", "dog", "idiot"])
+    net.p = {k: (v + rng.normal(0, 0.4, v.shape)).astype(np.float32) for k, v in net.p.items()}
+    words = [["cat", "a", "straße", "idiot"][n % 4] + "xyz"[: n % 3] for n in range(70)]
+    for n in (1, 5, 31, 32, 33, 70):
+        got = net.logits([" ".join(words[:n])])[0]
+        want = [loops(net, words[:n][s : s + toxicity.WINDOW]) for s in toxicity.starts_of(n)]
+        assert np.allclose(got, want, atol=2e-4)
+    a, b = net.platt = (1.5, -0.5)
+    assert abs(net.scores([" ".join(words)])[0] - 1 / (1 + np.exp(-(a * max(net.logits([" ".join(words)])[0]) + b)))) < 1e-6
+
+
 def test_gradient():
     net = toxicity.Network(["a", "b"])
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}

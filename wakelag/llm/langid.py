@@ -14,14 +14,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from wakelag.llm.common import held_out, text_slices
 
-#: Documents a language is learned from, about: a sample by hash of the id.
+#: Documents a language is learned from, at most: those of the smallest hashes. It bounds what is learned from.
 SAMPLE = 200
-#: Longer texts (code points) are left out of that sample.
-SAMPLE_CHARS = 100_000
 ROUNDS = 3
 SMOOTH = 0.02
 #: Log probability of a letter outside the vocabulary, alike in all languages.
@@ -206,12 +204,16 @@ class Model:
     @classmethod
     def fit(cls, texts: list[tuple[str, str]], pieces: list[str], rounds: int = ROUNDS) -> Model:
         """texts: (language, text)."""
-        langs = sorted({x for x, _ in texts})
+        return cls.learn([(lang, w, n) for lang, text in texts for w, n in Counter(words_of(text)).items()], pieces, rounds, sorted({x for x, _ in texts}))
+
+    @classmethod
+    def learn(cls, uses: list[tuple[str, str, int]], pieces: list[str], rounds: int = ROUNDS, langs: list[str] | None = None) -> Model:
+        """uses: (language, word, times); a word may come more than once."""
+        langs = langs if langs is not None else sorted({x for x, _, _ in uses})
         place = {x: n for n, x in enumerate(langs)}
         seen: dict[str, np.ndarray] = {}
-        for lang, text in texts:
-            for w, n in Counter(words_of(text)).items():
-                seen.setdefault(w, np.zeros(len(langs)))[place[lang]] += n
+        for lang, w, n in uses:
+            seen.setdefault(w, np.zeros(len(langs)))[place[lang]] += n
         words = sorted(seen)
         counts = np.array([seen[w] for w in words]).reshape(len(words), len(langs))
         index = {p: n + 1 for n, p in enumerate(pieces)}
@@ -278,21 +280,40 @@ class Model:
         return langs, probability
 
 
-def sample(df: DataFrame, key: str, text: str, lang: str, most: int = SAMPLE) -> list[tuple[str, str]]:
-    """About `most` labelled texts a language, chosen by hash of the id; a share of each language's rows,
-    from counts of rows alone."""
-    usable = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(key)))
-    counts = {r[0]: r[1] for r in usable.groupBy(lang).count().collect()}
+def sample(df: DataFrame, key: str, text: str, lang: str, most: int = SAMPLE) -> DataFrame:
+    """(lang, text): up to `most` labelled texts a language, whatever their length, those of the smallest
+    hashes of the id. A row without an id goes by a hash of its text; rows that repeat count once, so no id
+    and no text crowds the others out. Counts of rows give how small a hash must be for a row to be looked
+    at: about four times as many rows as are taken, which are all that moves."""
+    usable = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(key))).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(key).cast("string"), F.col(text))).alias("h"))
+    counts = {r[0]: r[1] for r in usable.groupBy("lang").agg(F.approx_count_distinct("h", 0.02)).collect()}  # a row a language
     if not counts:
-        return []
-    unit = 1 << 20
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(unit, -(-most * unit // n)))])
-    chosen = usable.where((F.pmod(F.xxhash64(key), F.lit(unit)) < share[F.col(lang)]) & (F.length(text) <= SAMPLE_CHARS))
-    return [(r[0], r[1]) for r in chosen.select(lang, text).orderBy(lang, key).limit(2 * most * len(counts)).collect()]
+        return usable.select("lang", "text")
+    unit = 1 << 40
+    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(unit, -(-4 * most * unit // max(1, n))))])
+    chosen = usable.withColumn("h", F.pmod("h", F.lit(unit))).where(F.col("h") < share[F.col("lang")])
+    chosen = chosen.groupBy("lang", "h").agg(F.min("text").alias("text"))
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("h"))
+    return chosen.withColumn("rank", rank).where(F.col("rank") <= most).select("lang", "text")
 
 
 def fit(df: DataFrame, pieces: list[str], key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    return Model.fit(sample(df, key, text, lang), pieces)
+    """A model of the languages of df's labelled rows that are not held out. Words are counted where the
+    sample's texts are; their counts, a row a language and word, are what the driver gets.
+
+    Rows without a text or a label teach nothing; of an empty table a model without languages is learned. Each
+    distinct label is a language of its own and costs a column of the vocabulary.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                bag = Counter(words_of(text))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * max(1, len(bag)), pa.string()), pa.array([*bag] or [None], pa.string()), pa.array([*bag.values()] or [0], pa.int64())], ["lang", "word", "n"])
+
+    got = sample(df, key, text, lang).mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
+    rows = list(zip(*(got.column(i).to_pylist() for i in range(3)), strict=True))
+    return Model.learn([r for r in rows if r[1] is not None], pieces, langs=sorted({r[0] for r in rows}))
 
 
 def identify(df: DataFrame, model: Model, text: str = "text", label: str = "lang_pred", score: str = "score") -> DataFrame:

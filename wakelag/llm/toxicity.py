@@ -10,8 +10,6 @@ Everything is numpy.
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +19,9 @@ from pyspark.sql import DataFrame, functions as F
 from wakelag.llm.common import held_out, text_slices
 from wakelag.llm.langid import words_of
 
-#: Labelled documents that are learned from, about, by hash of the id; longer texts (code points) are left out.
-SAMPLE, SAMPLE_CHARS = 4000, 100_000
+#: Labelled documents that are learned from, at most: those of the smallest hashes of the id, whatever their
+#: length. It bounds what the driver gets.
+SAMPLE = 4000
 #: Words of a window, and from one window's start to the next one's; passages of up to 17 words stand whole
 #: in some window.
 WINDOW, STRIDE = 32, 16
@@ -227,12 +226,20 @@ class Network:
 
 def train(texts: list[tuple[str, int]], steps: int = STEPS) -> Network:
     """A network from (text, label); without both labels it gives the share of label 1 to every text."""
-    docs = [(units_of(t), int(y)) for t, y in texts]
-    docs = [(w, y) for w, y in docs if w]
+    place: dict[str, int] = {}
+    docs = []  # numbers of words and the label: a word stands in memory once, however often it is used
+    for t, y in texts:
+        ids = np.array([place.setdefault(w, len(place)) for w in units_of(t)], dtype=np.int32)
+        if len(ids):
+            docs.append((ids, int(y)))
+    spelt = list(place)
     share = float(np.mean([y for _, y in docs])) if docs else 0.0
-    seen = Counter(w for d, _ in docs for w in set(d))
-    net = Network(sorted(w for w, n in seen.items() if n >= max(MIN_DOCS, MIN_SHARE * len(docs))))
+    seen = np.zeros(len(spelt), dtype=np.int64)
+    for ids, _ in docs:
+        seen[np.unique(ids)] += 1
+    net = Network(sorted(spelt[n] for n in np.flatnonzero(seen >= max(MIN_DOCS, MIN_SHARE * len(docs)))))
     net.empty = share
+    whole = lambda n: " ".join(spelt[w] for w in docs[n][0])
     if len({y for _, y in docs}) < 2:
         net.platt = (0.0, float(np.log((share + 1e-3) / (1 - share + 1e-3))))
         return net
@@ -249,7 +256,7 @@ def train(texts: list[tuple[str, int]], steps: int = STEPS) -> Network:
         if step and step % (steps // 5) == 0:  # the windows found most toxic so far
             some = rng.permutation(learn)[:1500]
             net.__dict__.pop("_known", None)
-            for n, x in zip(some, net.logits([" ".join(docs[n][0]) for n in some]), strict=True):
+            for n, x in zip(some, net.logits([whole(n) for n in some]), strict=True):
                 hard[n] = starts_of(len(docs[n][0]))[int(np.argmax(x))]
         chosen = [n for y in (0, 1) for n in rng.choice(by[y], BATCH // 2)]
         windows = []
@@ -257,11 +264,12 @@ def train(texts: list[tuple[str, int]], steps: int = STEPS) -> Network:
             all_ = starts_of(len(docs[n][0]))
             bag = [*([hard[n]] if n in hard else []), *rng.choice(all_, BAG)][:BAG]
             windows += [docs[n][0][s : s + WINDOW] for s in bag]
-        words = list(dict.fromkeys(w for x in windows for w in x))
+        words = list(dict.fromkeys(w for x in windows for w in x.tolist()))
         at = {w: k for k, w in enumerate(words)}
+        words = [spelt[w] for w in words]
         ids, mask = np.zeros((WINDOW, len(windows)), np.int64), np.zeros((WINDOW, len(windows)), np.float32)
         for k, x in enumerate(windows):
-            ids[: len(x), k], mask[: len(x), k] = [at[w] for w in x], 1
+            ids[: len(x), k], mask[: len(x), k] = [at[w] for w in x.tolist()], 1
         vectors, (own, flat, sizes) = net.vectors(words)
         lost = rng.random(len(words))
         vectors[lost < DROP_WORD, :WORD_DIM] = 0
@@ -279,7 +287,7 @@ def train(texts: list[tuple[str, int]], steps: int = STEPS) -> Network:
             v *= 1 - DECAY * (k not in ("b", "ab", "ob"))
             v -= RATE * (first[k] / (1 - 0.9 ** (step + 1))) / (np.sqrt(second[k] / (1 - 0.999 ** (step + 1))) + 1e-8)
     net.__dict__.pop("_known", None)
-    x = np.array([float(z.max()) for z in net.logits([" ".join(docs[n][0]) for n in tune])])
+    x = np.array([float(z.max()) for z in net.logits([whole(n) for n in tune])])
     net.platt = _platt(x, np.array([docs[n][1] for n in tune], float))
     net.__dict__.pop("_known", None)
     return net
@@ -308,14 +316,18 @@ def _platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, most: int = SAMPLE) -> list[tuple[str, int]]:
-    """About `most` labelled texts, by hash of the id. Their ids are as few, so they are broadcast. Of a
-    document with several labels the largest counts."""
+    """Up to `most` labelled texts (text, label), those of the smallest hashes of the id. Their ids are as
+    few, so they are broadcast. Of a document with several labels the largest counts, of an id with several
+    texts the first in order; rows without an id, a label or a text teach nothing."""
+    unit = 1 << 40
     usable = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key)))
-    total, unit = usable.count(), 1 << 20
-    share = unit if total <= most else -(-most * unit // total)
-    ids = usable.where(F.pmod(F.xxhash64(key), F.lit(unit)) < share).groupBy(key).agg(F.max(label).alias("__label")).limit(2 * most)
-    got = docs.where(F.col(text).isNotNull() & (F.length(text) <= SAMPLE_CHARS)).select(key, text).join(F.broadcast(ids), key)
-    return [(r[1], r[2]) for r in got.orderBy(key, text).limit(2 * most).collect()]
+    usable = usable.select(F.col(key).alias("key"), F.col(label).alias("label"), F.pmod(F.xxhash64(key), F.lit(unit)).alias("h"))
+    total = usable.agg(F.approx_count_distinct("key", 0.02)).first()[0]
+    near = usable.where(F.col("h") < min(unit, -(-4 * most * unit // max(1, total))))  # about four times as many as are taken
+    ids = near.groupBy("key", "h").agg(F.max("label").alias("label")).orderBy("h", "key").limit(most)
+    got = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(ids), "key")
+    got = got.groupBy("key", "h", "label").agg(F.min("text").alias("text")).orderBy("h", "key").select("text", "label").toArrow()
+    return list(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Network:
