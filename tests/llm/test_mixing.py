@@ -42,6 +42,31 @@ def test_targets_and_limits(docs, none):
     assert sorted(map(str, rows)) == sorted(map(str, again))
 
 
+@pytest.mark.parametrize("sizes", [{"a": [3], "b": [2], "c": [1]}, {"a": [1, 1, 1], "b": [5, 5, 5, 5], None: [2]}, {"a": [40] * 30, "b": [7] * 3, "c": [300]}, {"a": [0], "b": [0, 0]}])
+def test_small_tables_come_near_their_targets(spark, sizes):
+    rows = [(n, " ".join("w" * k), s) for n, (s, k) in enumerate((s, k) for s, x in sizes.items() for k in x)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(got) == len(rows) and all(0 <= r["taken"] <= 3 * r["size"] for r in got)
+    for s in sizes:
+        mine = [r for r in got if r["source"] == s]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= max(1.0, 0.05 * mine[0]["target"]), (s, mine)
+
+
+def test_many_rows_of_one_id_and_many_sources(spark, monkeypatch):
+    """Rows that repeat are cut up; both ways of joining sources give the same; the SQL says so too."""
+    rows = [(5, "a b c", "x")] * 700 + [(None, "w " * (n % 9), "x") for n in range(300)] + [(n, "t " * (n % 5), f"s{n % 40}") for n in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    few = sorted(map(str, mixing.mix(d, shard_rows=32).collect()))
+    monkeypatch.setattr(mixing.with_source, "__defaults__", (3,))
+    assert sorted(map(str, mixing.mix(d.repartition(2), shard_rows=32).collect())) == few and len(few) == len(rows)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+    got = mixing.mix(d, shard_rows=32)
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({mixing.oracle(shard_rows=32)})").fetchall()
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
 def test_query_equals_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
