@@ -76,5 +76,30 @@ def test_scan_of_flat_files(spark, tmp_path, block):
         want += [(f, n, int(b - a - 1), True) for n, (a, b) in enumerate(zip(at, at[1:]))]
         if len(ids) and at[-1] != len(ids) - 1:
             want.append((f, len(at) - 1, len(ids) - 1 - int(at[-1]), False))
-    got = tokencounts.count(tokencounts.read_files(spark, str(tmp_path), block=block)).collect()
-    assert sorted((int(r["part"][-5]), r["ordinal"], r["n_tokens"], r["ended"]) for r in got) == sorted(want)
+    got = tokencounts.count(tokencounts.find_files(spark, str(tmp_path)), block=block).collect()
+    assert sorted((int(r["path"][-5]), r["ordinal"], r["n_tokens"], r["ended"]) for r in got) == sorted(want)
+
+
+def test_the_files_are_flat_and_the_query_reads_them(spark, docs, tmp_path):
+    contents = tokencounts.write_files(docs, CODEC, str(tmp_path)).collect()
+    own, texts = plain_cached(), {str(r[0]): r[1] for r in ROWS}
+    for path in {r["path"] for r in contents}:
+        want = [x for r in sorted((r for r in contents if r["path"] == path), key=lambda r: r["first"]) for k in r["keys"] for x in (*own.encode_ordinary(texts[str(k)] or ""), tokencounts.EOD)]
+        assert np.fromfile(path, dtype="<u2").tolist() == want and contents[0]["length"] > 0
+    got = tokencounts.count(tokencounts.find_files(spark, str(tmp_path)), block=1000)
+    assert sum(r["n_tokens"] for r in got.collect()) == sum(len(own.encode_ordinary(t or "")) for _, t, *_ in ROWS)
+    small = tokencounts.token_counts(docs, CODEC, block=64).select("doc_id", "n_tokens").collect()
+    assert sorted(map(str, map(tuple, small))) == sorted(str((i, len(own.encode_ordinary(t or "")))) for i, t, *_ in ROWS)
+
+
+def test_ids_that_do_not_fit_are_refused(spark, tmp_path):
+    two = np.dtype("<u2")
+    assert tokencounts.checked(np.array([0, 65535]), 50256, two).dtype == two
+    for ids in ([65536], [50256], [-1]):
+        with pytest.raises(ValueError):
+            tokencounts.checked(np.array(ids), 50256, two)
+    with pytest.raises(ValueError):
+        tokencounts.write_files(spark.range(1).selectExpr("id AS doc_id", "'a' AS text"), CODEC, str(tmp_path), eod=70_000)
+    (tmp_path / "odd.bin").write_bytes(b"abc")
+    with pytest.raises(Exception, match="whole number of ids"):
+        tokencounts.count(tokencounts.find_files(spark, str(tmp_path))).collect()

@@ -28,7 +28,7 @@ def test_too_little_room():
 
 
 def test_edges(docs, none):
-    rows = R.reshard(docs, part_rows=1).collect()
+    rows = R.reshard(docs).collect()  # docs has columns shard and block of its own
     assert len(rows) == docs.count()
     for s in {r["shard"] for r in rows}:
         assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows)))
@@ -37,6 +37,15 @@ def test_edges(docs, none):
     assert R.reshard(none).count() == 0
 
 
+def test_rows_alike_are_spread(spark):
+    d = spark.range(0, 6000, 1, 8).selectExpr("7 AS doc_id", "'the same text' AS text")
+    rows = R.reshard(d, file_bytes=200).collect()
+    held = np.bincount([r["shard"] for r in rows], minlength=16)
+    assert held.sum() == 6000 and held.max() < 1.2 * held.min()
+    for s in range(16):
+        assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(held[s]))
+
+
 def test_even_and_least_moves(spark):
     sf = "/root/testdata/sf0.01"
     d = spark.read.parquet(f"{sf}/documents.parquet")
@@ -57,19 +66,64 @@ def test_even_and_least_moves(spark):
     assert moved < 1.05 * least
 
 
+def state(spark, path):
+    return sorted(map(tuple, spark.read.parquet(path).select("doc_id", "text", "shard", "block").collect()))
+
+
 def test_rewrite_touches_only_moved_blocks(spark, tmp_path):
     d = spark.range(40).selectExpr("id AS doc_id", "repeat('x', cast(id AS int)) AS text")
     path = str(tmp_path / "t")
     R.write_layout(d, path, 2)
-    from pyspark.sql import functions as F
-
-    held = spark.read.parquet(path).groupBy("shard", "block").count().collect()
-    first = [r for r in held if r["shard"] == 0]
-    moves = [(0, r["block"], 2) for r in first[:3]]
-    kept = {p: p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("*.parquet") if not any(f"shard=0/block={m[1]}/" in str(p) for m in moves)}
+    before = state(spark, path)
+    first = sorted({b for _, _, s, b in before if s == 0})
+    moves = [(0, b, 2) for b in first[:3]] + [(0, first[3], 0)]
+    kept = {p: p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("*.parquet") if not any(f"shard=0/block={m[1]}/" in str(p) for m in moves[:3])}
     assert R.rewrite(spark, path, moves) == 3
     assert all(p.stat().st_mtime_ns == t for p, t in kept.items())
-    files = spark.read.option("recursiveFileLookup", "true").parquet(path).select("doc_id", F.regexp_extract(F.col("_metadata.file_path"), "shard=(\\d+)", 1).alias("s"))
-    got = files.collect()
-    assert sorted(r["doc_id"] for r in got) == list(range(40))
-    assert sum(r["s"] == "2" for r in got) == sum(r["count"] for r in first[:3])
+    want = sorted((i, t, 2 if b in first[:3] else s, b) for i, t, s, b in before)
+    assert state(spark, path) == want  # by a plain reader
+    assert R.rewrite(spark, path, []) == 0
+
+
+@pytest.mark.parametrize("lost", [0, 1, 2])
+def test_a_move_that_was_broken_off_is_finished(spark, tmp_path, monkeypatch, lost):
+    """lost before the journal: nothing has changed; lost among the renames: the next reader finishes them."""
+    d = spark.range(60).selectExpr("id AS doc_id", "repeat('y', cast(id AS int)) AS text")
+    path = str(tmp_path / "t")
+    R.write_layout(d, path, 2)
+    before = state(spark, path)
+    moves = [(s, b, 3) for s, b in sorted({(s, b) for _, _, s, b in before})[:6]]
+    calls, whole = [], R.drop
+
+    class Lost(Exception):
+        pass
+
+    def dies(spark_, *paths):
+        calls.append(paths)
+        if len(calls) > 3 and lost == 2:  # the first clears what an earlier run staged
+            raise Lost
+        whole(spark_, *paths)
+
+    with monkeypatch.context() as m:
+        m.setattr(R, "drop", dies)
+        if lost == 0:
+            m.setattr(R, "_write", lambda *_: (_ for _ in ()).throw(Lost()))
+        if lost == 1:
+            m.setattr(R, "finish", lambda *_: None)
+        if lost == 1:
+            R.rewrite(spark, path, moves)
+        else:
+            with pytest.raises(Lost):
+                R.rewrite(spark, path, moves)
+    got = sorted(map(tuple, R.read_layout(spark, path).select("doc_id", "text", "shard", "block").collect()))
+    gone = {(s, b) for s, b, _ in moves}
+    assert got == (before if lost == 0 else sorted((i, t, 3 if (s, b) in gone else s, b) for i, t, s, b in before))
+    assert state(spark, path) == got
+
+
+def test_query_reads_what_the_files_hold(spark, tmp_path):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    path = str(tmp_path / "t")
+    rows = {(r["doc_id"], r["shard"], r["block"]) for r in R.reshard(d, path=path).collect()}
+    held = spark.read.parquet(path)
+    assert set(d.columns) < set(held.columns) and rows == {(r["doc_id"], r["shard"], r["block"]) for r in held.collect()}

@@ -1,22 +1,24 @@
 """Operator 5: resharding by minimum-cost flow.
 
-Old shards hold rows in blocks. Block sizes are summed on the cluster; their number is fixed, so the
-driver solves, on a graph of shards, the transfers that move the fewest bytes into the new capacities,
-and turns the flows into whole blocks. Only the rows of blocks that move are rewritten.
+A layout is a folder of shards, each a number of blocks, each some files. Block sizes are summed on the
+cluster; their number is fixed, so the driver solves, on a graph of shards, the transfers that move the
+fewest bytes into the new capacities, and turns the flows into whole blocks. Only the files of blocks that
+move are rewritten, all in one job; they are published by renaming folders, after a journal of the moves.
 """
 
 from __future__ import annotations
 
 import heapq
+import json
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from wakelag.llm.common import cut
+from wakelag.llm.common import drop, free, kept, scratch
 
 #: Blocks of an old shard; the plan has old shards x BLOCKS rows at most, whatever the data.
-BLOCKS = 256
-#: Rows of a part of a block, about: the unit in which slots are numbered.
-PART_ROWS = 4096
+BLOCKS = 128
+#: Bytes of text of a file of a block, about.
+FILE_BYTES = 128 << 20
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]]) -> list[list[int]]:
@@ -102,70 +104,148 @@ def size_of(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
 
 
-def old_layout(df: DataFrame, old: int, key: str = "doc_id", text: str = "text", blocks: int = BLOCKS) -> DataFrame:
-    """df with the old shard and block of each row, by a hash of its id and text."""
-    h = F.xxhash64(F.col(key), F.col(text))
-    return df.withColumn("old_shard", F.pmod(h, F.lit(old)).cast("int")).withColumn("block", F.pmod(F.shiftrightunsigned(h, 24), F.lit(blocks)).cast("int")).withColumn("__h", h)
+def write_layout(df: DataFrame, path: str, old: int, text: str = "text", blocks: int = BLOCKS, file_bytes: int = FILE_BYTES) -> dict[str, str]:
+    """df as files by shard and block: the layout that `reshard_files` works on. Returns the names of its
+    columns shard and block, which get underscores where df has such columns itself.
 
-
-def plan(layout: DataFrame, old: int, new: int, size: str = "size", capacity: list[int] | None = None) -> DataFrame:
-    """Rows (old_shard, block, shard): at most old x BLOCKS, from sums that are as few."""
-    sizes = {(r[0], r[1]): int(r[2]) for r in layout.groupBy("old_shard", "block").agg(F.sum(size)).collect()}
+    Rows are dealt by a hash of their place in df, so neither rows alike nor texts alike crowd one shard; nulls
+    are rows like others, and an empty table gives a layout without files. Block numbers are unique over the
+    whole layout, so a block keeps its number when it moves.
+    """
+    names = {x: free(x, df.columns) for x in ("shard", "block")}
+    total = df.agg(F.sum(size_of(F.col(text)))).first()[0] or 0
+    parts = max(1, -(-total // (old * blocks * file_bytes)))  # files of a block
+    h = F.xxhash64(F.monotonically_increasing_id())
+    laid = df.withColumn("__h", h).withColumn(names["shard"], F.pmod("__h", F.lit(old)).cast("int"))
+    laid = laid.withColumn(names["block"], (F.col(names["shard"]) * blocks + F.pmod(F.shiftrightunsigned("__h", 20), F.lit(blocks))).cast("int"))
+    laid = laid.withColumn("__part", F.pmod(F.shiftrightunsigned("__h", 40), F.lit(parts)))
+    laid.repartition(names["shard"], names["block"], "__part").drop("__h", "__part").write.partitionBy(*names.values()).parquet(path)
+    _write(df.sparkSession, f"{path}/_layout.json", {"names": names, "shards": old})
+    return names
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _write(spark: SparkSession, path: str, data: dict) -> None:
+    fs, p = _fs(spark, path)
+    out = fs.create(p, True)
+    out.write(bytearray(json.dumps(data).encode()))
+    out.close()
+
+
+def _read(spark: SparkSession, path: str) -> dict | None:
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        return None
+    got = fs.open(p)
+    try:
+        return json.loads(bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(got)).decode())
+    finally:
+        got.close()
+
+
+def read_layout(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of a layout with their shard and block; a move that was broken off is finished first. While
+    none is, a plain spark.read.parquet says the same."""
+    finish(spark, path)
+    return spark.read.parquet(path)
+
+
+def plan(layout: DataFrame, old: int, new: int, names: dict[str, str], text: str = "text", capacity: list[int] | None = None) -> list[tuple[int, int, int]]:
+    """(old shard, block, shard): at most old x BLOCKS, from sums that are as few."""
+    sums = layout.groupBy(*[F.col(names[x]) for x in ("shard", "block")]).agg(F.sum(size_of(F.col(text)))).collect()
+    sizes = {(r[0], r[1]): int(r[2]) for r in sums}
     placed = place_blocks(sizes, old, capacity or even_capacity(sum(sizes.values()), new)) if sizes else {}
-    return layout.sparkSession.createDataFrame([(i, b, j) for (i, b), j in sorted(placed.items())], "old_shard int, block int, shard int")
+    return [(i, b, j) for (i, b), j in sorted(placed.items())]
 
 
-def reshard(df: DataFrame, old: int = 12, new: int = 16, key: str = "doc_id", text: str = "text", part_rows: int = PART_ROWS) -> DataFrame:
-    """One row for each row of df: key, size, text_crc32, law, shard, slot, grown_shard, old_shard, block.
+def rewrite(spark: SparkSession, path: str, moves: list[tuple[int, int, int]]) -> int:
+    """Moves blocks (old shard, block, new shard) of a layout; files of other blocks stay as they are. Returns
+    the number of blocks moved.
 
-    Law `bytes`: sizes are nearly equal. A null text has size 1 and the checksum of the empty text. Slots
-    of a shard run from 0 without gaps: blocks follow each other, parts of a block too, rows by key within.
-    Rows that repeat each have a slot; an empty table gives none; other columns of df are not read.
+    One job writes the moved blocks anew to a hidden folder. Then a journal is written, and by it folders are
+    renamed into place and the old ones go. A run lost before the journal leaves the layout as it was; one
+    lost later is finished by `finish`, which readers and the next run call.
     """
-    base = old_layout(df.select(F.col(key).alias("key"), F.col(text).alias("__text")), old, "key", "__text")
-    base = base.select("key", size_of(F.col("__text")).alias("size"), F.crc32(F.coalesce(F.col("__text"), F.lit("")).cast("binary")).alias("text_crc32"), "old_shard", "block", "__h")
-    base = cut(base)
-    counts = base.count()
-    parts = max(1, -(-counts // (old * BLOCKS * part_rows)))
-    base = base.withColumn("part", F.pmod(F.shiftrightunsigned("__h", 40), F.lit(parts)).cast("int"))
-    where = plan(base, old, new)
-    # as few rows as blocks: at most old x BLOCKS, so broadcast
-    sums = base.groupBy("old_shard", "block", "part").agg(F.count("*").alias("n"))
-    by_block = sums.groupBy("old_shard", "block").agg(F.sum("n").alias("n")).join(F.broadcast(where), ["old_shard", "block"])
-    starts = by_block.withColumn("first", F.sum("n").over(W.partitionBy("shard").orderBy("old_shard", "block")) - F.col("n")).select("old_shard", "block", "shard", "first")
-    inner = sums.withColumn("ahead", F.sum("n").over(W.partitionBy("old_shard", "block").orderBy("part")) - F.col("n")).select("old_shard", "block", "part", "ahead")
-    if parts == 1:
-        inner = None
-    rank = F.row_number().over(W.partitionBy("old_shard", "block", "part").orderBy("key", "text_crc32", "size", "__h")) - 1
-    out = base.withColumn("rank", rank).join(F.broadcast(starts), ["old_shard", "block"])
-    out = out.join(inner, ["old_shard", "block", "part"]) if inner is not None else out.withColumn("ahead", F.lit(0))
-    return out.select(
-        F.col("key").alias(key), "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
-        (F.col("first") + F.col("ahead") + F.col("rank")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "old_shard", "block",
-    )
-
-
-def write_layout(df: DataFrame, path: str, old: int, key: str = "doc_id", text: str = "text") -> None:
-    """df as files by shard and block, the layout that `rewrite` works on."""
-    laid = old_layout(df, old, key, text).drop("__h").withColumnRenamed("old_shard", "shard")
-    laid.repartition("shard", "block").write.partitionBy("shard", "block").mode("overwrite").parquet(path)
-
-
-def rewrite(spark: SparkSession, path: str, moves: list[tuple[int, int, int]]) -> int:
-    """Moves blocks (old shard, block, new shard) of a layout at `path`; files of other blocks stay as they
-    are. New files are written before old folders go, so a lost run leaves copies, never gaps; running it
-    again mends that. Returns the number of folders moved."""
-    moves = [m for m in moves if m[0] != m[2]]
+    finish(spark, path)
+    names, moves = _read(spark, f"{path}/_layout.json")["names"], [m for m in moves if m[0] != m[2]]
+    shard, block = names["shard"], names["block"]
+    staged = f"{path}/_moving"
+    drop(spark, staged)
     if not moves:
         return 0
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(conf)
-    for i, b, j in moves:
-        old, new = f"{path}/shard={i}/block={b}", f"{path}/shard={j}/block={b}/from={i}"
-        old, new = jvm.org.apache.hadoop.fs.Path(old), jvm.org.apache.hadoop.fs.Path(new)
-        if not fs.exists(old):
-            continue
-        spark.read.option("recursiveFileLookup", "true").parquet(old.toString()).write.mode("overwrite").parquet(new.toString())
-        fs.delete(old, True)
+    to = spark.createDataFrame([(b, j) for _, b, j in moves], f"`{block}` int, __to int")  # a row a block
+    held = spark.read.option("basePath", path).parquet(*[f"{path}/{shard}={i}/{block}={b}" for i, b, _ in moves])
+    made = held.join(F.broadcast(to), block).withColumn(shard, F.col("__to")).drop("__to")
+    made.write.partitionBy(shard, block).parquet(staged)
+    _write(spark, f"{path}/_journal.json", {"moves": moves})
+    finish(spark, path)
     return len(moves)
+
+
+def finish(spark: SparkSession, path: str) -> None:
+    """Publishes what a journal says; done twice or half done before, it ends the same."""
+    journal = _read(spark, f"{path}/_journal.json")
+    if journal is None:
+        return
+    names = _read(spark, f"{path}/_layout.json")["names"]
+    shard, block = names["shard"], names["block"]
+    for i, b, j in journal["moves"]:
+        fs, staged = _fs(spark, f"{path}/_moving/{shard}={j}/{block}={b}")
+        _, final = _fs(spark, f"{path}/{shard}={j}/{block}={b}")
+        if fs.exists(staged):
+            fs.mkdirs(final.getParent())
+            fs.rename(staged, final)
+        drop(spark, f"{path}/{shard}={i}/{block}={b}")
+    drop(spark, f"{path}/_moving", f"{path}/_journal.json")
+    for i in {m[0] for m in journal["moves"]}:
+        fs, left = _fs(spark, f"{path}/{shard}={i}")
+        if fs.exists(left) and not fs.listStatus(left):
+            fs.delete(left, True)
+
+
+def slots(layout: DataFrame, names: dict[str, str], *columns: Column) -> DataFrame:
+    """`columns` of layout's rows with `slot`, gapless from 0 in each shard: a row's place in its file behind all
+    files of its shard that come before. The table of files is written, a row a file, so that Spark knows
+    how small it is; rows stay where they are read."""
+    rows = layout.select(*columns, F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    shard, block = (F.col(names[x]) for x in ("shard", "block"))
+    files = layout.groupBy(shard.alias("__shard"), block.alias("__block"), F.col("_metadata.file_path").alias("__of")).agg(F.count("*").alias("n"))
+    ahead = F.sum("n").over(W.partitionBy("__shard").orderBy("__block", "__of")) - F.col("n")
+    first = kept(files.select("__of", ahead.alias("__first")), scratch(layout.sparkSession, "files"))
+    return rows.join(first, F.col("__file") == F.col("__of")).withColumn("slot", (F.col("__first") + F.col("__row")).cast("long")).drop("__file", "__of", "__row", "__first")
+
+
+def reshard(df: DataFrame, old: int = 12, new: int = 16, key: str = "doc_id", text: str = "text", path: str | None = None, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """One row for each row of df: key, size, text_crc32, law, shard, slot, grown_shard, old_shard, block.
+
+    df is written as a layout of `old` shards at `path` (a scratch folder if none is given) and resharded to
+    `new` ones there; what is returned is read from the files that this leaves. Law `bytes`: sizes are nearly
+    equal, so rows alike (the groups that may be large) are not kept together: one group may be larger than a
+    shard. A null text has size 1 and the checksum of the empty text; null and repeated keys are rows like
+    others, each with its slot; an empty table gives no rows; columns of df of any name are carried along
+    in the files.
+    """
+    spark = df.sparkSession
+    path = path or scratch(spark, "shards")
+    names = write_layout(df, path, old, text, file_bytes=file_bytes)
+    block = F.col(names["block"])
+    shown = [
+        F.col(key).alias(key), size_of(F.col(text)).alias("size"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("bytes").alias("law"), F.col(names["shard"]).cast("int").alias("shard"), F.lit(None).cast("int").alias("grown_shard"),
+        F.call_function("div", block, F.lit(BLOCKS)).cast("int").alias("old_shard"), block.cast("int").alias("block"),
+    ]
+    order = (key, "size", "text_crc32", "law", "shard", "slot", "grown_shard", "old_shard", "block")
+    if _empty(spark, path, names):
+        none = df.limit(0).withColumns({x: F.lit(0) for x in names.values()})
+        return none.select(*shown, F.lit(0).cast("long").alias("slot")).select(*order)
+    rewrite(spark, path, plan(spark.read.parquet(path), old, new, names, text))
+    return slots(read_layout(spark, path), names, *shown).select(*order)
+
+
+def _empty(spark: SparkSession, path: str, names: dict[str, str]) -> bool:
+    fs, root = _fs(spark, path)
+    return not any(x.getPath().getName().startswith(f"{names['shard']}=") for x in fs.listStatus(root))
