@@ -1,9 +1,10 @@
 """Operator 5: resharding by minimum-cost flow.
 
-A layout is a folder of shards, each a number of blocks, each some files. Block sizes are summed on the
-cluster; their number is fixed, so the driver solves, on a graph of shards, the transfers that move the
-fewest bytes into the new capacities, and turns the flows into whole blocks. Only the files of blocks that
-move are rewritten, all in one job; they are published by renaming folders, after a journal of the moves.
+A layout is a folder of shards; a shard is cut into blocks, and runs of blocks stand in pieces, folders of
+a file each. Block sizes are summed on the cluster; their number is fixed, so the driver solves, on a graph
+of shards, the transfers that move the fewest bytes into the new capacities, and turns the flows into whole
+blocks that follow each other. Only pieces that hold a block that moves are rewritten, all in one job; they
+are published by renaming folders, after a journal of what comes and goes.
 """
 
 from __future__ import annotations
@@ -16,9 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from wakelag.llm.common import drop, free, kept, scratch
 
 #: Blocks of an old shard; the plan has old shards x BLOCKS rows at most, whatever the data.
-BLOCKS = 128
-#: Bytes of text of a file of a block, about.
-FILE_BYTES = 128 << 20
+BLOCKS = 256
+#: Pieces of an old shard at least, a divisor of BLOCKS; bytes of text of a piece beyond that, about.
+PIECES, PIECE_BYTES = 8, 512 << 20
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]]) -> list[list[int]]:
@@ -70,26 +71,35 @@ def move_cost(old: int, new: int) -> list[list[int]]:
     return [[int(i != j) for j in range(new)] for i in range(old)]
 
 
-def place_blocks(sizes: dict[tuple[int, int], int], old: int, capacity: list[int], cost: list[list[int]] | None = None) -> dict[tuple[int, int], int]:
-    """(old shard, block) -> new shard: the flows in whole blocks, large ones first, then exchanges of
-    single blocks while they bring the fullest and the emptiest shard closer to their capacity."""
+def place_blocks(sizes: dict[tuple[int, int], int], old: int, capacity: list[int], cost: list[list[int]] | None = None, run: int = 1) -> dict[tuple[int, int], int]:
+    """(old shard, block) -> new shard: each old shard's flows as runs of blocks by number, what stays first
+    (unusually large blocks before that, where most room is), then exchanges of single blocks while they
+    bring the fullest and the emptiest shard closer to their capacity. Exchanges keep to runs of `run` blocks that move in part already, where they serve as well."""
     new = len(capacity)
     cost = cost or move_cost(old, new)
     supply = [sum(n for (i, _), n in sizes.items() if i == s) for s in range(old)]
     flow = min_cost_flow(supply, capacity, cost)
     out, filled = {}, [0] * new
-    for (i, b), n in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
-        j = max(range(new), key=lambda j: (flow[i][j], capacity[j] - filled[j], -j))
-        out[i, b], flow[i][j], filled[j] = j, flow[i][j] - n, filled[j] + n
-    for _ in range(4 * new):
+    put = lambda i, b, j: (out.__setitem__((i, b), j), flow[i].__setitem__(j, flow[i][j] - sizes[i, b]), filled.__setitem__(j, filled[j] + sizes[i, b]))
+    usual = 2 * sum(sizes.values()) / max(1, len(sizes))
+    for n, i, b in sorted((-n, i, b) for (i, b), n in sizes.items() if n > usual):  # large ones where most room is
+        put(i, b, max(range(new), key=lambda j: (flow[i][j], -cost[i][j], -j)))
+    order = {i: sorted((j for j in range(new) if flow[i][j] > 0), key=lambda j: (cost[i][j], j)) or [min(range(new), key=lambda j: (cost[i][j], j))] for i in range(old)}
+    for i, b in sorted(x for x in sizes if x not in out):
+        while len(order[i]) > 1 and 2 * flow[i][order[i][0]] < sizes[i, b]:  # less than half of the block fits
+            order[i].pop(0)
+        put(i, b, order[i][0])
+    for _ in range(16 * new):
         high = max(range(new), key=lambda j: filled[j] - capacity[j])
         low = min(range(new), key=lambda j: filled[j] - capacity[j])
         gap = (filled[high] - capacity[high]) - (filled[low] - capacity[low])
         fits = [(cost[i][low] - cost[i][high], abs(2 * sizes[i, b] - gap), i, b) for (i, b), j in out.items() if j == high and 0 < sizes[i, b] < gap]
         if not fits:
             break
-        free = [x for x in fits if x[0] <= 0 and x[1] < 0.8 * gap]  # first those that move no further byte
-        _, _, i, b = min(free or fits, key=lambda x: x[1:])
+        good = [x for x in fits if x[0] <= 0 and x[1] < 0.8 * gap]  # first those that move no further byte
+        torn = {(i, b // run) for (i, b), j in out.items() if cost[i][j]}
+        near = [x for x in good if (x[2], x[3] // run) in torn and x[1] < 0.4 * gap]
+        _, _, i, b = min(near or good or fits, key=lambda x: x[1:])
         out[i, b] = low
         filled[high] -= sizes[i, b]
         filled[low] += sizes[i, b]
@@ -104,23 +114,27 @@ def size_of(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
 
 
-def write_layout(df: DataFrame, path: str, old: int, text: str = "text", blocks: int = BLOCKS, file_bytes: int = FILE_BYTES) -> dict[str, str]:
-    """df as files by shard and block: the layout that `reshard_files` works on. Returns the names of its
-    columns shard and block, which get underscores where df has such columns itself.
+def write_layout(df: DataFrame, path: str, old: int, text: str = "text", blocks: int = BLOCKS, pieces: int = PIECES, piece_bytes: int = PIECE_BYTES) -> dict[str, str]:
+    """df as files by shard and piece, with the block of each row: the layout that `rewrite` works on. Returns
+    the names of its columns shard, piece and block, which get underscores where df has such columns itself.
 
     Rows are dealt by a hash of their place in df, so neither rows alike nor texts alike crowd one shard; nulls
-    are rows like others, and an empty table gives a layout without files. Block numbers are unique over the
-    whole layout, so a block keeps its number when it moves.
+    are rows like others, and an empty table gives a layout without files. Numbers of blocks and pieces are
+    unique over the whole layout. Pieces grow in number with the data: first a piece holds fewer blocks, then
+    a block has several pieces.
     """
-    names = {x: free(x, df.columns) for x in ("shard", "block")}
+    names = {x: free(x, df.columns) for x in ("shard", "piece", "block")}
     total = df.agg(F.sum(size_of(F.col(text)))).first()[0] or 0
-    parts = max(1, -(-total // (old * blocks * file_bytes)))  # files of a block
+    while pieces < blocks and total > old * pieces * piece_bytes:
+        pieces *= 2
+    parts = max(1, -(-total // (old * pieces * piece_bytes)))  # pieces of a block, once each has its own
     h = F.xxhash64(F.monotonically_increasing_id())
-    laid = df.withColumn("__h", h).withColumn(names["shard"], F.pmod("__h", F.lit(old)).cast("int"))
-    laid = laid.withColumn(names["block"], (F.col(names["shard"]) * blocks + F.pmod(F.shiftrightunsigned("__h", 20), F.lit(blocks))).cast("int"))
-    laid = laid.withColumn("__part", F.pmod(F.shiftrightunsigned("__h", 40), F.lit(parts)))
-    laid.repartition(names["shard"], names["block"], "__part").drop("__h", "__part").write.partitionBy(*names.values()).parquet(path)
-    _write(df.sparkSession, f"{path}/_layout.json", {"names": names, "shards": old})
+    shard, block = F.pmod("__h", F.lit(old)).cast("int"), F.pmod(F.shiftrightunsigned("__h", 20), F.lit(blocks)).cast("int")
+    laid = df.withColumn("__h", h).withColumn(names["shard"], shard).withColumn(names["block"], F.col(names["shard"]) * blocks + block)
+    laid = laid.withColumn(names["piece"], F.call_function("div", F.col(names["block"]), F.lit(blocks // pieces)) * parts + F.pmod(F.shiftrightunsigned("__h", 40), F.lit(parts)))
+    laid = laid.drop("__h").repartition(names["shard"], names["piece"]).sortWithinPartitions(names["shard"], names["piece"], names["block"])
+    laid.write.partitionBy(names["shard"], names["piece"]).parquet(path)
+    _write(df.sparkSession, f"{path}/_layout.json", {"names": names, "shards": old, "run": blocks // pieces, "blocks": blocks})
     return names
 
 
@@ -154,34 +168,45 @@ def read_layout(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def plan(layout: DataFrame, old: int, new: int, names: dict[str, str], text: str = "text", capacity: list[int] | None = None) -> list[tuple[int, int, int]]:
+def plan(layout: DataFrame, old: int, new: int, names: dict[str, str], text: str = "text", capacity: list[int] | None = None, run: int = BLOCKS // PIECES) -> list[tuple[int, int, int]]:
     """(old shard, block, shard): at most old x BLOCKS, from sums that are as few."""
     sums = layout.groupBy(*[F.col(names[x]) for x in ("shard", "block")]).agg(F.sum(size_of(F.col(text)))).collect()
     sizes = {(r[0], r[1]): int(r[2]) for r in sums}
-    placed = place_blocks(sizes, old, capacity or even_capacity(sum(sizes.values()), new)) if sizes else {}
+    placed = place_blocks(sizes, old, capacity or even_capacity(sum(sizes.values()), new), run=run) if sizes else {}
     return [(i, b, j) for (i, b), j in sorted(placed.items())]
 
 
 def rewrite(spark: SparkSession, path: str, moves: list[tuple[int, int, int]]) -> int:
-    """Moves blocks (old shard, block, new shard) of a layout; files of other blocks stay as they are. Returns
-    the number of blocks moved.
+    """Moves blocks (old shard, block, new shard) of a layout; pieces without such a block stay as they are.
+    Returns the number of blocks moved.
 
-    One job writes the moved blocks anew to a hidden folder. Then a journal is written, and by it folders are
-    renamed into place and the old ones go. A run lost before the journal leaves the layout as it was; one
-    lost later is finished by `finish`, which readers and the next run call.
+    One job writes the rows of the others anew, those that stay and those that move, to a hidden folder. Then a
+    journal is written, and by it folders are renamed into place and the old ones go. A run lost before
+    the journal leaves the layout as it was; one lost later is finished by `finish`, which readers and the
+    next run call.
     """
     finish(spark, path)
     names, moves = _read(spark, f"{path}/_layout.json")["names"], [m for m in moves if m[0] != m[2]]
-    shard, block = names["shard"], names["block"]
+    shard, piece, block = (names[x] for x in ("shard", "piece", "block"))
     staged = f"{path}/_moving"
     drop(spark, staged)
     if not moves:
         return 0
-    to = spark.createDataFrame([(b, j) for _, b, j in moves], f"`{block}` int, __to int")  # a row a block
-    held = spark.read.option("basePath", path).parquet(*[f"{path}/{shard}={i}/{block}={b}" for i, b, _ in moves])
-    made = held.join(F.broadcast(to), block).withColumn(shard, F.col("__to")).drop("__to")
-    made.write.partitionBy(shard, block).parquet(staged)
-    _write(spark, f"{path}/_journal.json", {"moves": moves})
+    to = spark.createDataFrame(moves, "__from int, __block int, __to int")  # a row a block
+    layout = spark.read.parquet(path)
+    torn = layout.select(shard, piece, block).distinct().join(F.broadcast(to), (F.col(shard) == F.col("__from")) & (F.col(block) == F.col("__block")))
+    torn = sorted({(r[0], r[1]) for r in torn.select(shard, piece).distinct().collect()})  # a row a piece that is rewritten
+    base = (layout.agg(F.max(piece)).first()[0] or 0) + 1
+    new = max(max(i, j) for i, _, j in moves) + 1
+    held = spark.read.option("basePath", path).parquet(*[f"{path}/{shard}={i}/{piece}={g}" for i, g in torn])
+    made = held.join(F.broadcast(to), (F.col(shard) == F.col("__from")) & (F.col(block) == F.col("__block")), "left")
+    made = made.withColumn("__now", F.coalesce("__to", F.col(shard))).drop("__to", "__from", "__block")
+    made = made.withColumn("__piece", F.lit(base).cast("long") + F.col(piece).cast("long") * new + F.col("__now"))
+    made = made.drop(shard, piece).withColumnsRenamed({"__now": shard, "__piece": piece})
+    made.write.partitionBy(shard, piece).parquet(staged)
+    fs, root = _fs(spark, staged)
+    fresh = [f"{x.getPath().getName()}/{y.getPath().getName()}" for x in fs.listStatus(root) if "=" in x.getPath().getName() for y in fs.listStatus(x.getPath())]
+    _write(spark, f"{path}/_journal.json", {"add": fresh, "remove": [f"{shard}={i}/{piece}={g}" for i, g in torn]})
     finish(spark, path)
     return len(moves)
 
@@ -191,20 +216,18 @@ def finish(spark: SparkSession, path: str) -> None:
     journal = _read(spark, f"{path}/_journal.json")
     if journal is None:
         return
-    names = _read(spark, f"{path}/_layout.json")["names"]
-    shard, block = names["shard"], names["block"]
-    for i, b, j in journal["moves"]:
-        fs, staged = _fs(spark, f"{path}/_moving/{shard}={j}/{block}={b}")
-        _, final = _fs(spark, f"{path}/{shard}={j}/{block}={b}")
+    for leaf in journal["add"]:
+        fs, staged = _fs(spark, f"{path}/_moving/{leaf}")
+        _, final = _fs(spark, f"{path}/{leaf}")
         if fs.exists(staged):
             fs.mkdirs(final.getParent())
             fs.rename(staged, final)
-        drop(spark, f"{path}/{shard}={i}/{block}={b}")
-    drop(spark, f"{path}/_moving", f"{path}/_journal.json")
-    for i in {m[0] for m in journal["moves"]}:
-        fs, left = _fs(spark, f"{path}/{shard}={i}")
+    drop(spark, *[f"{path}/{leaf}" for leaf in journal["remove"]])
+    for top in {x.split("/")[0] for x in journal["remove"]}:
+        fs, left = _fs(spark, f"{path}/{top}")
         if fs.exists(left) and not fs.listStatus(left):
             fs.delete(left, True)
+    drop(spark, f"{path}/_moving", f"{path}/_journal.json")
 
 
 def slots(layout: DataFrame, names: dict[str, str], *columns: Column) -> DataFrame:
@@ -212,14 +235,13 @@ def slots(layout: DataFrame, names: dict[str, str], *columns: Column) -> DataFra
     files of its shard that come before. The table of files is written, a row a file, so that Spark knows
     how small it is; rows stay where they are read."""
     rows = layout.select(*columns, F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    shard, block = (F.col(names[x]) for x in ("shard", "block"))
-    files = layout.groupBy(shard.alias("__shard"), block.alias("__block"), F.col("_metadata.file_path").alias("__of")).agg(F.count("*").alias("n"))
-    ahead = F.sum("n").over(W.partitionBy("__shard").orderBy("__block", "__of")) - F.col("n")
+    files = layout.groupBy(F.col(names["shard"]).alias("__shard"), F.col("_metadata.file_path").alias("__of")).agg(F.count("*").alias("n"))
+    ahead = F.sum("n").over(W.partitionBy("__shard").orderBy("__of")) - F.col("n")
     first = kept(files.select("__of", ahead.alias("__first")), scratch(layout.sparkSession, "files"))
     return rows.join(first, F.col("__file") == F.col("__of")).withColumn("slot", (F.col("__first") + F.col("__row")).cast("long")).drop("__file", "__of", "__row", "__first")
 
 
-def reshard(df: DataFrame, old: int = 12, new: int = 16, key: str = "doc_id", text: str = "text", path: str | None = None, file_bytes: int = FILE_BYTES) -> DataFrame:
+def reshard(df: DataFrame, old: int = 12, new: int = 16, key: str = "doc_id", text: str = "text", path: str | None = None, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """One row for each row of df: key, size, text_crc32, law, shard, slot, grown_shard, old_shard, block.
 
     df is written as a layout of `old` shards at `path` (a scratch folder if none is given) and resharded to
@@ -231,7 +253,7 @@ def reshard(df: DataFrame, old: int = 12, new: int = 16, key: str = "doc_id", te
     """
     spark = df.sparkSession
     path = path or scratch(spark, "shards")
-    names = write_layout(df, path, old, text, file_bytes=file_bytes)
+    names = write_layout(df, path, old, text, piece_bytes=piece_bytes)
     block = F.col(names["block"])
     shown = [
         F.col(key).alias(key), size_of(F.col(text)).alias("size"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
@@ -242,7 +264,7 @@ def reshard(df: DataFrame, old: int = 12, new: int = 16, key: str = "doc_id", te
     if _empty(spark, path, names):
         none = df.limit(0).withColumns({x: F.lit(0) for x in names.values()})
         return none.select(*shown, F.lit(0).cast("long").alias("slot")).select(*order)
-    rewrite(spark, path, plan(spark.read.parquet(path), old, new, names, text))
+    rewrite(spark, path, plan(spark.read.parquet(path), old, new, names, text, run=_read(spark, f"{path}/_layout.json")["run"]))
     return slots(read_layout(spark, path), names, *shown).select(*order)
 
 
