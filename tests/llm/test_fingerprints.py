@@ -1,6 +1,8 @@
 import hashlib
 
+import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings, strategies as st
 
 from tests.llm.conftest import ROWS
@@ -9,16 +11,54 @@ from wakelag.llm import fingerprints as P, queries
 C = P.Chunker()
 
 
+def slow_chunks(raw):
+    """digest -> bytes, byte by byte: the gear hash of the last 16 bytes, a strict mask up to 64 bytes, a loose
+    one beyond, chunks of 16 (exclusive) to 256 bytes."""
+    gear = [xxhash.xxh32(bytes([b]), seed=10).intdigest() for b in range(256)]
+    out, begin = {}, 0
+    while begin < len(raw):
+        end = len(raw)
+        for at in range(begin + 16, min(begin + 256, len(raw)) + 1):  # at: bytes before the cut
+            if at == begin + 256:
+                end = at
+                break
+            h = sum(gear[raw[at - 1 - back]] << back for back in range(16) if at - 1 - back >= 0) % (1 << 32)
+            if len(raw) - begin > 16 and h >> (32 - 7 if at - begin <= 64 else 32 - 4) == 0:
+                end = at
+                break
+        out.setdefault(xxhash.xxh64_hexdigest(raw[begin:end])[:12], end - begin)
+        begin = end
+    return out
+
+
 def brute(rows):
+    spell = lambda c: ",".join(f"{d}:{n}" for d, n in c.items())
+    share = lambda a, b: sum(n for d, n in a.items() if d in b) / sum(a.values()) if a else float(not b)
     out = {}
     for n, (i, t) in enumerate(rows):
         after = rows[(n + 1) % len(rows)][1]
         e = t[: len(t) - len(t) // 3] + after[: len(t) // 3]
-        own = C.chunks(t.encode())
-        out[i] = (len(t), hashlib.sha256(e.encode()).hexdigest(), P.spell(own), P.spell(C.chunks(e.encode())), P.containment(own, C.chunks(e.encode())), P.containment(own, C.chunks(after.encode())))
+        own, new, then = (slow_chunks(x.encode()) for x in (t, e, after))
+        out[i] = (len(t), hashlib.sha256(e.encode()).hexdigest(), spell(own), spell(new), share(own, new), share(own, then))
     return out
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.one_of(st.binary(max_size=1500), st.integers(0, 10**6).map(lambda n: np.random.default_rng(n).integers(97, 102, n % 3000, dtype=np.uint8).tobytes())))
+def test_chunker_equals_the_byte_loop(raw):
+    assert C.chunks(raw) == slow_chunks(raw)
+
+
+def test_rows_of_one_key_are_several_ranges(spark):
+    rows = [(None, f"text {n} " * 9) for n in range(300)] + [(4, f"more {n} " * 9) for n in range(300)] + [(n, f"own {n}") for n in range(100, 160)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    few, many = (sorted(map(str, P.compare_with_next(d, parts=n).collect())) for n in (1, 40))
+    assert few == many and len(few) == len(rows)
+    down, tie = np.zeros(900, dtype=np.int64), np.arange(900)
+    at = P.range_of(down, tie, (np.zeros(8, dtype=np.int64), np.arange(100, 900, 100)))
+    assert np.bincount(at).tolist() == [100] * 9
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.binary(max_size=3000))
 def test_chunks_join_to_the_whole(raw):

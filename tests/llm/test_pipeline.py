@@ -3,6 +3,7 @@ from collections import Counter
 
 import pytest
 
+from tests.llm.conftest import ROWS
 from tests.llm.test_jaccard import brute as near
 from tests.llm.test_secrets import brute as found
 from wakelag.llm import mixing
@@ -63,8 +64,49 @@ def test_counts_of_rows_without_an_id_are_their_own(spark):
     assert got == +want and len(got) > 1
 
 
+def edge_docs(docs):
+    """The edge rows with every clashing column and those that stages make up themselves."""
+    from pyspark.sql import functions as F
+
+    d = docs.withColumn("n_chars", F.length("text").cast("long"))
+    for name in ("row", "times", "copy", "lang_found", "score_found", "digest", "least", "first", "component_id", "row_digest", "taken"):
+        d = d.withColumn(name, F.concat(F.lit(name), F.col("doc_id").cast("string")))
+    return d
+
+
 def test_edges(spark, docs, none):
-    d = docs.selectExpr("doc_id", "text", "lang", "source", "cast(length(text) AS long) AS n_chars")
-    for _, stage in pipeline.STAGES:
+    d = edge_docs(docs)
+    plain = lambda rows: sorted(map(str, map(tuple, rows)))
+    start = d.collect()
+    for name, stage in pipeline.STAGES:
         assert stage(spark, d.limit(0), SF).count() == 0
-        stage(spark, d, SF).collect()
+        got = stage(spark, d, SF)
+        if name != "bpe":
+            assert got.columns == d.columns
+        rows = got.collect()
+        if name == "language_id":
+            assert {r["doc_id"] for r in rows} <= {r[0] for r in ROWS if any(c.isalpha() for c in r[1] or "")}
+            assert all(r["lang"] for r in rows) and [r["doc_id"] for r in rows].count(6) == 2
+            same = lambda r: {k: v for k, v in r.asDict().items() if k != "lang"}
+            assert all(same(r) in map(same, start) for r in rows)
+        if name == "jaccard_join":  # 6 is a copy of 1; rows without words or an id stay
+            assert plain(rows) == plain({str(r): r for r in start if r["doc_id"] != 6}.values())
+        if name == "secret_scan":
+            assert len(rows) == len(start) and {r["spans"] for r in rows} == {"clash"}
+            for r in rows:
+                was = next(x for x in start if x["doc_id"] == r["doc_id"])
+                assert (r["text"] == was["text"]) == (not found(was["text"] or "")) and (r["text"] is None or r["n_chars"] == len(r["text"]))
+        if name == "mixing":
+            want = Counter()
+            for r in mixing.mix(d).where("size > 0").collect():
+                want[r["doc_id"]] += (2 * r["taken"] + r["size"]) // (2 * r["size"])
+            assert Counter(r["doc_id"] for r in rows) == +want and set(plain(rows)) <= set(plain(start))
+        if name == "bpe":
+            assert sorted((str(r["doc_id"]), r["decoded_sha256"]) for r in rows) == sorted((str(r["doc_id"]), hashlib.sha256((r["text"] or "").encode()).hexdigest()) for r in start)
+
+
+def test_rows_that_repeat_an_id_and_text_leave_the_same_one(spark):
+    rows = [(3, "one two three four five six", s, n) for s in "cab" for n in (2, None, 1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, n int")
+    got = {tuple(map(tuple, pipeline.jaccard_join(spark, d.repartition(n), SF).collect())) for n in (1, 3)}
+    assert got == {((3, "one two three four five six", "a", None),)}

@@ -115,36 +115,60 @@ def fingerprint(df: DataFrame, key: str = "doc_id", text: str = "text", chunker:
 _OUT = "key long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def ranges(df: DataFrame, key: str, parts: int) -> np.ndarray:
-    """Descending bounds that cut the keys into `parts` ranges of about equally many rows, from a sketch of
-    the keys alone; at most parts - 1 numbers."""
-    bounds = df.select(F.col(key).cast("long").alias("key")).approxQuantile("key", [i / parts for i in range(1, parts)], 1 / (4 * parts)) if parts > 1 else []
-    return np.unique(np.array(bounds, dtype=np.int64))
-
-
-def compare_with_next(df: DataFrame, key: str = "doc_id", text: str = "text", chunker: Chunker = Chunker(), parts: int | None = None) -> DataFrame:  # noqa: B008
+#: Bytes of text of a range, about; rows of the sample that bounds come from, for each range.
+RANGE_BYTES, RANGE_SAMPLE = 64 << 20, 64
+_LAST = (1 << 63) - 1
+
+
+def ranges(rows: DataFrame, parts: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds (down, tie), in order, that cut the rows into `parts` ranges of about equally many, from a sample
+    of RANGE_SAMPLE rows a range. They only say where ranges begin: any bounds give the same result."""
+    if parts <= 1 or not total:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    got = rows.select("down", "tie").sample(min(1.0, parts * RANGE_SAMPLE / total), 10).toArrow()
+    down, tie = (np.concatenate([np.zeros(0, np.int64), *[x.to_numpy() for x in got.column(i).chunks]]) for i in (0, 1))
+    order = np.lexsort((tie, down))
+    at = order[np.unique(np.arange(1, parts) * len(order) // parts)] if len(order) else order
+    return down[at], tie[at]
+
+
+def range_of(down: np.ndarray, tie: np.ndarray, bounds: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """For each row how many bounds are not above it."""
+    low, high = np.searchsorted(bounds[0], down, side="left"), np.searchsorted(bounds[0], down, side="right")
+    for d in np.unique(down[high > low]):  # rows whose key is that of a bound go by their tie
+        at = np.flatnonzero(down == d)
+        a, b = low[at[0]], high[at[0]]
+        low[at] = a + np.searchsorted(bounds[1][a:b], tie[at], side="right")
+    return low
+
+
+def compare_with_next(df: DataFrame, key: str = "doc_id", text: str = "text", chunker: Chunker = Chunker(), parts: int | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:  # noqa: B008
     """Each row's fingerprint against that of its edited text and of the next row by descending key.
 
-    Rows are dealt by ranges of the key, so the next row is mostly in the same task; a range's last row
-    meets the first of the next in a join of one row a range. Null texts are empty; null keys come last;
-    rows with equal keys follow by a hash of their text, so identical rows are each other's next. The row
-    after the last is the first; a single row follows itself. Other columns of df are not read.
+    Rows are dealt by ranges of (key, hash of the text), so the next row is mostly in the same task, and rows
+    of one key or without a key are many tasks' work; a range's last row meets the first of the next in a
+    join of one row a range. Null texts are empty; null keys come last; rows with equal keys follow by the
+    hash of their text, so identical rows are each other's next and stand in one task. The row after the last
+    is the first; a single row follows itself; an empty table gives no rows. Other columns of df are not read.
     """
     spark = df.sparkSession
-    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    bounds = ranges(df, key, parts)
-
-    def part_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for x in batches:
-            at = len(bounds) - np.searchsorted(bounds, x.fill_null(0).to_numpy(zero_copy_only=False), side="right")
-            at[x.is_null().to_numpy(zero_copy_only=False)] = len(bounds)
-            yield pa.array(at, type=pa.int32())
-
-    part_of.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     rows = df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.withColumn("tie", F.xxhash64("text")).withColumn("part", F.arrow_udf(part_of, "int")(F.col("key")))
-    order = [F.col("key").desc_nulls_last(), F.col("tie")]
-    dealt = rows.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions(*order).select("key", "text")
+    rows = rows.withColumns({"tie": F.xxhash64("text"), "down": F.coalesce(F.bitwise_not("key"), F.lit(_LAST))})
+    if parts is None:
+        total, size = rows.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // range_bytes), 1)
+    else:
+        total = rows.count()
+    bounds = ranges(rows, parts, total)
+
+    def part_of(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for down, tie in batches:
+            yield pa.array(range_of(down.to_numpy(), tie.to_numpy(), bounds), type=pa.int32())
+
+    part_of.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    rows = rows.withColumn("part", F.arrow_udf(part_of, "int")(F.col("down"), F.col("tie")))
+    order = ["down", "tie", F.col("key").isNull()]
+    dealt = rows.repartitionById(len(bounds[0]) + 1, F.col("part")).sortWithinPartitions(*order).select("key", "text")
 
     names = ["key", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
@@ -165,7 +189,7 @@ def compare_with_next(df: DataFrame, key: str = "doc_id", text: str = "text", ch
                     yield finish(keys[:-1], texts[:-1], texts[1:], own[:-1], own[1:])
 
     # the first and last row of each range: two rows a range, so their keys are broadcast to find the texts
-    place = F.struct(F.coalesce(-F.col("key"), F.lit((1 << 63) - 1)).alias("down"), F.col("key").isNull().alias("none"), F.col("tie").alias("tie"))
+    place = F.struct(F.col("down"), F.col("tie"), F.col("key").isNull().alias("none"))
     ends = cut(rows.select("part", place.alias("place")).groupBy("part").agg(F.min("place").alias("first"), F.max("place").alias("last")))
     ring = W.orderBy("part")
     ends = ends.withColumn("then", F.coalesce(F.lead("part").over(ring), F.min("part").over(W.partitionBy(F.lit(0)))))

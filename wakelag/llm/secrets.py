@@ -164,16 +164,16 @@ def rule_spans(text: Column, rule: Rule, rank: int) -> Column:
     return F.aggregate(parts, F.struct(F.lit(0).alias("pos"), none.alias("spans")), step, lambda acc: acc["spans"])
 
 
-def scan(df: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """df with a column `spans`: array of (start, rank, end, kind), by start, then by the rules' order.
+def scan(df: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES, spans: str = "spans") -> DataFrame:
+    """df with a column `spans` (or as named): array of (start, rank, end, kind), by start, then by the rules' order.
 
     Null text counts as empty. Rows may repeat and ids may be null or repeat: index entries are keyed by a
     hash of id and text, so a row is only ever verified too often, never too seldom. A column of df that
-    is already named `spans` is replaced.
+    is already named so is replaced; an empty table gives no rows.
     """
     hidden = ("__key", "__text", "__kinds")
     asked = [r for r in rules if trigram_query(r.pattern) != [frozenset()]]
-    keyed = df.drop("spans").withColumn("__text", F.coalesce(F.col(text), F.lit(""))).withColumn("__key", F.xxhash64(F.col(key), F.col("__text")))
+    keyed = df.drop(spans).withColumn("__text", F.coalesce(F.col(text), F.lit(""))).withColumn("__key", F.xxhash64(F.col(key), F.col("__text")))
     trigrams = sorted({t for r in asked for q in trigram_query(r.pattern) for t in q})
     if asked:
         hits = candidates(postings(keyed, trigrams, "__key", "__text"), tuple(asked), "__key").withColumnRenamed("kinds", "__kinds")
@@ -182,15 +182,15 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Ru
         keyed = keyed.withColumn("__kinds", F.lit(None).cast("array<string>"))
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
     each = [rule_spans(F.col("__text"), r, n) if r not in asked else F.when(F.array_contains("__kinds", r.kind), rule_spans(F.col("__text"), r, n)).otherwise(none) for n, r in enumerate(rules)]
-    return keyed.withColumn("spans", F.array_sort(F.concat(*each))).drop(*hidden)
+    return keyed.withColumn(spans, F.array_sort(F.concat(*each))).drop(*hidden)
 
 
 def span_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def redact(df: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """`scan`'s rows with every span of the text replaced by `mark`, overlapping spans by one."""
+def redact(df: DataFrame, text: str = "text", mark: str = "[SECRET]", spans: str = "spans") -> DataFrame:
+    """`scan`'s rows with every span of the text replaced by `mark`, overlapping spans by one; null texts stay null."""
     whole = F.coalesce(F.col(text), F.lit(""))
 
     def step(acc: Column, s: Column) -> Column:
@@ -198,11 +198,13 @@ def redact(df: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFra
         out = F.when(new, F.concat(acc["out"], F.substring(whole, acc["pos"] + 1, s["start"] - acc["pos"]), F.lit(mark))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), out.alias("out"))
 
-    clean = F.aggregate("spans", F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(whole, acc["pos"] + 1, F.length(whole))))
-    return df.withColumn(text, F.when(F.size("spans") == 0, F.col(text)).otherwise(clean))
+    clean = F.aggregate(spans, F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(whole, acc["pos"] + 1, F.length(whole))))
+    return df.withColumn(text, F.when(F.size(spans) == 0, F.col(text)).otherwise(clean))
 
 
 def digests(scanned: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The digest columns of `scan`'s rows, one for one: counts of the base kinds, the checksum of their spans in
+    code points, and all spans spelt out. Rows without spans have counts 0 and the checksum of the empty text."""
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     base = F.filter("spans", lambda s: s["rank"] < len(BASE))
     return scanned.select(
