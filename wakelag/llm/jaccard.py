@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wakelag.llm.common import cut, text_slices
+from wakelag.llm.common import cut, kept, scratch, text_slices
 from wakelag.llm.components import components
 
 #: Bits of the smallest and largest bitmap; between, twice as many as a set has shingles, or
@@ -269,6 +269,11 @@ def rooms(na: np.ndarray, nb: np.ndarray, ba: list[bytes], bb: list[bytes]) -> n
     return out
 
 
+def small(df: DataFrame) -> DataFrame:
+    """df written as a table: joins with it know its size, and send it to every task only if it is small."""
+    return kept(df, scratch(df.sparkSession, "small"))
+
+
 def by_shingle(rows: DataFrame, each: DataFrame, how: str = "inner") -> DataFrame:
     """rows (h, id, ...) joined to each, a row a shingle h, which stands in SPREAD tasks: so do the rows."""
     places = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long")))
@@ -278,7 +283,7 @@ def by_shingle(rows: DataFrame, each: DataFrame, how: str = "inner") -> DataFram
 def partnered(pairs: DataFrame, table: DataFrame, c: str, by: str) -> DataFrame:
     """pairs (c, by, ...) joined to table (c, ...), a row a class; one that many pairs name is copied to one
     task for each PARTNERS of them. What is known of such classes has pairs / PARTNERS rows at most."""
-    many = cut(pairs.groupBy(c).agg(F.ceil(F.count("*") / PARTNERS).alias("__many")).where("__many > 1"))
+    many = small(pairs.groupBy(c).agg(F.ceil(F.count("*") / PARTNERS).alias("__many")).where("__many > 1"))
     dealt = pairs.join(many, c, "left").withColumn("__part", F.pmod(F.xxhash64(by), F.coalesce("__many", F.lit(1)))).drop("__many")
     held = table.join(many, c, "left").withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("__many", F.lit(1)) - 1))).drop("__many")
     return dealt.join(held, [c, "__part"]).drop("__part")
@@ -423,7 +428,7 @@ def grid(left: DataFrame, right: DataFrame, key: str, percent: int, weight: Colu
     low = band(F.col("n"), percent)
     left, right = left.withColumn("cell", low), right.withColumn("cell", F.explode(F.array(low - 1, low, low + 1)))
     count = lambda d, to: d.groupBy(key, "cell").agg(F.greatest(F.ceil(F.sum(weight) / most), F.lit(1)).cast("int").alias(to))
-    sizes = cut(count(left, "rows_").join(count(right, "columns_"), [key, "cell"]))  # a row a cell
+    sizes = small(count(left, "rows_").join(count(right, "columns_"), [key, "cell"]))  # a row a cell
     places = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long")))
 
     def sized(d: DataFrame) -> DataFrame:
@@ -462,7 +467,7 @@ def group_tiles(groups: DataFrame, percent: int, tile: int | None = None) -> Dat
     members against each other, and against those of the band below."""
     tile = tile or TILE
     d = groups.withColumn("cell", band(F.col("n"), percent))
-    many = cut(d.groupBy("h", "cell").agg(F.ceil(F.count("*") / tile).cast("int").alias("many")))
+    many = small(d.groupBy("h", "cell").agg(F.ceil(F.count("*") / tile).cast("int").alias("many")))
     below = many.select("h", (F.col("cell") + 1).alias("cell"), F.col("many").alias("under"))
     above = many.select("h", (F.col("cell") - 1).alias("cell"), F.col("many").alias("over"))
     known = many.join(below, ["h", "cell"], "left").join(above, ["h", "cell"], "left")
@@ -549,8 +554,10 @@ def relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
         return labels
     over = links.join(labels.select(F.col("id").alias("a"), F.col("label").alias("p")), "a", "left").join(labels.select(F.col("id").alias("b"), F.col("label").alias("q")), "b", "left")
     over = components(over.select(F.coalesce("p", "a").alias("a"), F.coalesce("q", "b").alias("b")))
-    both = labels.select("id", F.col("label").alias("mid")).join(over.select(F.col("id").alias("mid"), "label"), "mid", "full")
-    return cut(both.select(F.coalesce("id", "mid").alias("id"), F.coalesce("label", "mid").alias("label")))
+    # a component's members, which may be many, meet its new label in several tasks; ids that had no link are new
+    salted = over.withColumn("__s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long")))).select(F.col("id").alias("mid"), F.col("label").alias("to"), "__s")
+    old = labels.select("id", F.col("label").alias("mid"), F.pmod(F.xxhash64("id"), F.lit(SPREAD)).alias("__s")).join(salted, ["mid", "__s"], "left").select("id", F.coalesce("to", "mid").alias("label"))
+    return cut(old.unionByName(over.join(labels.select("id"), "id", "left_anti")))
 
 
 def join(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -583,7 +590,7 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5,
     known = lambda d, id_, to: d.join(labels.select(F.col("id").alias(id_), F.col("label").alias("__l")), id_, "left").withColumn(to, F.coalesce("__l", id_)).drop("__l")
     named = cut(known(known(found, "leader", "p"), "id", "q"))
     mixed = named.groupBy("h").agg(F.min(F.least("p", "q")).alias("low"), F.max(F.greatest("p", "q")).alias("high"), (F.count("*") + 1).alias("members"))
-    open_ = by_shingle(named, cut(mixed.where("low <> high"))).join(best.select(F.col("a").alias("leader"), F.col("b").alias("id"), F.lit(True).alias("tried")), ["leader", "id"], "left")
+    open_ = by_shingle(named, small(mixed.where("low <> high"))).join(best.select(F.col("a").alias("leader"), F.col("b").alias("id"), F.lit(True).alias("tried")), ["leader", "id"], "left")
     open_ = open_.where("members > 2 OR tried IS NULL")
     members = cut(open_.select("h", "id", F.col("q").alias("label")).unionByName(open_.select("h", F.col("leader").alias("id"), F.col("p").alias("label"))).distinct())
 
