@@ -43,7 +43,12 @@ def test_span_names():
 def test_numbers():
     assert s.positive("1.5") == 1.5 and s.positive("-1") is None and s.positive("nan") is None and s.positive(None) is None
     assert s.parse_size("8GB") == 8 << 30 and s.parse_size("512 mb") == 512 << 20 and s.parse_size("1KiB") == 1024
-    assert s.version("3.2.0") == (3, 2, 0) and s.version("x") == (0, 0, 0)
+    assert s.parse_size("1.5KB") == 1536 and s.parse_size("0.3B") == 1 and s.parse_size(" 10 tib ") == 10 << 40
+    for bad in ("512", "8G", "GB", "-1MB", "1XB", "1BB"):
+        with pytest.raises(ValueError):
+            s.parse_size(bad)
+    assert s.version("3.2.0") == (3, 2, 0) and s.version("x") == (0, 0, 0) and s.version("3.2.0-rc1") == (3, 2, 0) and s.version("3.2") == (0, 0, 0) and s.version(None) == (0, 0, 0)
+    assert s.bytes_hash(b"") == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
     assert s.quantile([10, 30], 0.1) == 12 and s.quantile([], 0.5) is None
     assert s.config_hash({"a": 1, "b": 2}) == s.config_hash({"b": 2, "a": 1})
     assert s.parse_venues("Bybit/perp, binance/spot") == [("binance", "spot"), ("bybit", "perp")]
@@ -64,6 +69,18 @@ def test_duplicate_order():
     assert names == ["cross_seq", "update_id", "event_time", "recv_time_us", "bid_price"]
 
 
+def test_every_column_ranks_duplicates_in_its_place(spark):
+    """Of two rows of one time the one with the larger value of the first column that differs stays."""
+    from wakelag.operators.quotes import keep_last
+
+    names = clock.dedup_names([*clock.SEQUENCES, *clock.DEDUP, "recv_ts", "event_ts"])
+    assert names[-11:] == ["transaction_time", "event_time", "T", "E", "recv_time_us", "recv_time_ns", "recv_time", "bid_price", "ask_price", "bid_qty", "ask_qty"]
+    for n, name in enumerate(names):
+        rows = [("old", 1, *[5] * n, 1, *[9] * (len(names) - n - 1)), ("new", 1, *[5] * n, 2, *[3] * (len(names) - n - 1))]
+        d = spark.createDataFrame(rows, ["mark", "ts", *names])
+        assert [r["mark"] for r in keep_last(d.withColumn("k", F.lit(1)), ["k"]).collect()] == ["new"], name
+
+
 def test_columns(spark):
     d = spark.createDataFrame([(100.0, 100.02, 1.0, 3.0), (5.0, 5.0, 0.0, 1.0), (None, 1.0, 1.0, 1.0), (float("nan"), 1.0, 1.0, 1.0), (0.0, 0.0, 0.0, 0.0)], "b double, a double, bq double, aq double")
     b, a, bq, aq = (F.col(x) for x in ("b", "a", "bq", "aq"))

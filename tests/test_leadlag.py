@@ -108,6 +108,18 @@ def test_error_policy(spark):
         quality.check_policy(d)
 
 
+def test_rows_before_are_found_across_hours(spark):
+    rng = random.Random(2)
+    t, rows = datetime(2026, 7, 1), []
+    for k in "AB":
+        rows += [(k, t + timedelta(minutes=m), float(m)) for m in sorted(rng.sample(range(6000), 90))]
+    d = spark.createDataFrame(rows, "k string, ts timestamp, v double")
+    got = sorted((r["k"], r["v"], r["w"]) for r in quotes.with_previous(quotes.by_hour(d, ["k"]), ["k"], {"v": "w"}).collect())
+    assert got == [(k, b, a if k == j else None) for (j, _, a), (k, _, b) in zip([("", t, 0.0), *rows], rows)]
+    plan = intervals.build(quote_rows(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(exchange" in plan and f"{quotes.HOUR}" in plan
+
+
 def test_unclean_last_quote_hides_a_clean_one(spark):
     q = quote_rows(spark).withColumn("ask_price", F.when(F.col("update_id") == 2, 90.0).otherwise(F.col("ask_price")))
     assert intervals.build(q).count() == 0
@@ -144,3 +156,8 @@ def test_pairs(spark):
     assert [r["y_instrument_id"] for r in leadlag.pair_shard(leadlag.make_pairs(u, "any"), 1, 1).collect()] == ["b2"]
     with pytest.raises(ValueError):
         leadlag.guard(u, 3, "instruments")
+    with pytest.raises(ValueError):
+        leadlag.make_pairs(u, most=3)
+    with pytest.raises(ValueError):
+        leadlag.make_pairs(u.withColumn("base_asset", F.lit(" ")))
+    assert leadlag.make_pairs(u, b_market="spot").count() == 0

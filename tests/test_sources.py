@@ -111,6 +111,53 @@ def test_tables(spark, tmp_path):
         tables.check_resume(spark, str(tmp_path / "run.json"), {"a": 2})
 
 
+def test_excluded_hours_are_loaded(spark, tmp_path):
+    head, at = "exchange,market_type,feed,symbol,date,hour\n", tmp_path / "excluded_hours.csv"
+    assert tables.excluded_hours(spark, str(tmp_path / "universe.csv")) is None
+    with pytest.raises(FileNotFoundError):
+        tables.excluded_hours(spark, str(tmp_path / "universe.csv"), str(at))
+    at.write_text(head + "binance,perp,bbo,S,2026-07-01,9\nbinance,perp,bbo,S,2026-07-01,09\n")
+    assert [r["hour"] for r in tables.excluded_hours(spark, str(tmp_path / "universe.csv")).collect()] == [datetime(2026, 7, 1, 9)]
+    for bad in ("b,p,f,S,2026-07-01,24", "b,p,f,S,nodate,1", "b,p,f,S,2026-07-01,"):
+        (tmp_path / "bad.csv").write_text(head + bad + "\n")
+        with pytest.raises(ValueError):
+            tables.excluded_hours(spark, "x/universe.csv", str(tmp_path / "bad.csv"))
+
+
+def test_components_and_json(spark, tmp_path):
+    with pytest.raises(Exception):
+        tables.components(spark, str(tmp_path / "none"))
+    for n in range(3):
+        spark.range(2).coalesce(1).write.parquet(str(tmp_path / "c" / str(n)))
+    assert tables.components(spark, str(tmp_path / "c")).count() == 6
+    with pytest.raises(validate.IntegrityError):
+        tables.components(spark, str(tmp_path / "c"), most=2)
+    at = str(tmp_path / "x.json")
+    for n in (1, 2):
+        tables.write_json(spark, {"n": n}, at)
+        assert tables.read_json(spark, at) == {"n": n} and not (tmp_path / "x.json.partial").exists()
+    (tmp_path / "f").write_bytes(b"abc")
+    assert tables.hash_of_file(spark, str(tmp_path / "f")).startswith("ba7816bf")
+    assert catalog.task_config("r", "o")["instrument_filter"] == {"target_count": 35}
+
+
+def test_a_correlation_must_follow_from_its_parts(spark):
+    t = datetime(2026, 7, 1)
+    names = "run_id string, config_hash string, window_start timestamp, window_end timestamp, lag_ms long, cov double, var_x double, var_y double, n_overlap long, n_x long, n_y long, corr double, corr_is_diagnostic boolean"
+    rows = [("r", "h", t, t + timedelta(hours=1), 0, 1.0, 4.0, 1.0, 1, 1, 1, corr, True) for corr in (0.5, 0.6, None)]
+    bad = validate.invalid_components(spark.createDataFrame(rows, names)).collect()
+    assert [r["corr"] for r in bad] == [0.6, None]
+
+
+def test_cached_returns_are_finite_and_end_in_time(spark, tmp_path):
+    at = str(tmp_path / "cache")
+    d = intervals(spark).withColumn("ret", F.when(F.col("start_ns") == 0, float("nan")).when(F.col("start_ns") == 10, float("inf")).otherwise(F.col("ret")))
+    tables.write_cache(d, at, {"max_interval_ms": 2000})
+    whole = (date(2026, 7, 1), date(2026, 7, 3))
+    assert tables.read_cache(spark, at, 0, 30, 1, dates=whole).count() == 4
+    assert tables.read_cache(spark, at, 0, 30, 1, dates=whole, max_end_ns=29).count() == 0
+
+
 def test_latency_hour(spark):
     t = datetime(2026, 7, 1, 9)
     ms = lambda n: t + timedelta(milliseconds=n)

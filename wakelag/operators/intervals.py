@@ -7,7 +7,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from wakelag.functions import columns as c
-from wakelag.operators.quotes import INSTRUMENT, keep_last
+from wakelag.operators.quotes import HOUR, INSTRUMENT, by_hour, keep_last, with_previous
+from wakelag.session import lookup
 
 COLUMNS = ("start_ns", "end_ns", "interval_ms", "ret", "spread_bps", "max_interval_ms")
 
@@ -24,15 +25,17 @@ def build(quotes: DataFrame, caps: DataFrame | None = None, keys: list[str] = IN
     Duplicates go before the filters, so an unclean last quote hides a clean one of its time. Intervals
     end in [start, end); quotes are read from look_back_ms before start. caps (keys,
     recommended_max_interval_ms, recommended_max_spread_bps) override the two caps. Quotes of excluded
-    hours (keys, hour) are left out, and so is any interval that touches one.
+    hours (keys, hour) are left out, and so is any interval that touches one: its ends lie in different
+    segments of the instrument.
     """
+    from wakelag.operators.quality import segments
+
     q = quotes
     if start is not None:
         q = q.where(F.col("ts") >= F.lit(start - timedelta(milliseconds=look_back_ms)))
     if end is not None:
         q = q.where(F.col("ts") < F.lit(end))
-    if excluded is not None:
-        q = q.join(excluded.select(*keys, hour), [*keys, hour], "left_anti")
+    q = by_hour(segments(q, keys, excluded, hour).where(F.col("ts").isNotNull()), keys)
     if policy == "keep-last":
         q = keep_last(q, keys)
     bid, ask, bid_qty, ask_qty = (F.col(n) for n in ("bid_price", "ask_price", "bid_qty", "ask_qty"))
@@ -40,10 +43,9 @@ def build(quotes: DataFrame, caps: DataFrame | None = None, keys: list[str] = IN
     if caps is None:
         q = q.withColumns({"__cap": F.lit(float(max_interval_ms)), "__spread": F.lit(float(max_spread_bps))})
     else:
-        q = q.join(caps.select(*keys, F.col("recommended_max_interval_ms").alias("__cap"), F.col("recommended_max_spread_bps").alias("__spread")), keys)
+        q = q.join(lookup(caps).select(*keys, F.col("recommended_max_interval_ms").alias("__cap"), F.col("recommended_max_spread_bps").alias("__spread")), keys)
     q = q.where(F.col("spread_bps").between(F.lit(0.0), F.col("__spread")) & c.finite(F.col("price")) & (F.col("price") > 0))
-    w = W.partitionBy(*keys).orderBy("ts")
-    q = q.select(*keys, "ts", "price", "spread_bps", "__cap").withColumns({"__ts": F.lag("ts").over(w), "__price": F.lag("price").over(w)})
+    q = with_previous(q.select(*keys, "segment", HOUR, "ts", "price", "spread_bps", "__cap"), [*keys, "segment"], {"ts": "__ts", "price": "__price"})
     out = q.where("__ts IS NOT NULL").select(
         *keys, c.epoch_ns(F.col("__ts")).alias("start_ns"), c.epoch_ns(F.col("ts")).alias("end_ns"), c.elapsed_ms(F.col("__ts"), F.col("ts")).alias("interval_ms"),
         c.log_return(F.col("price"), F.col("__price")).alias("ret"), "spread_bps", F.col("__cap").alias("max_interval_ms"), F.lit(price_mode).alias("price_mode"), F.to_date("ts").alias("date"), F.col("__ts").alias("start_ts"), F.col("ts").alias("end_ts"),
@@ -53,8 +55,6 @@ def build(quotes: DataFrame, caps: DataFrame | None = None, keys: list[str] = IN
         out = out.where(F.abs("ret") > 1e-14)
     if start is not None:
         out = out.where(F.col("end_ts") >= F.lit(start))
-    if excluded is not None:
-        out = outside_hours(out, excluded, keys, hour)
     return out.drop("start_ts", "end_ts")
 
 

@@ -23,13 +23,19 @@ def with_lags(df: DataFrame, lags_ms: list[int]) -> DataFrame:
     return out.withColumns({"start_ns": F.col("start_ns") + move, "end_ns": F.col("end_ns") + move})
 
 
-def make_pairs(universe: DataFrame, match: str = "equal", a_group: str = "A", b_group: str = "B", skip_self: bool = False) -> DataFrame:
-    """X of one group against Y of another: of the same base asset, or (`any`) all against all.
+def make_pairs(universe: DataFrame, match: str = "equal", a_group: str = "A", b_group: str = "B", skip_self: bool = False, a_market: str | None = None, b_market: str | None = None, most: int = 10_000) -> DataFrame:
+    """X of one group (and market type) against Y of another: of the same base asset, or (`any`) all against all.
 
-    universe: exchange, market_type, symbol, base_asset, group, instrument_id. It is a table of
-    instruments; its size is asserted by `guard` rather than assumed.
+    universe: exchange, market_type, symbol, base_asset, group, instrument_id; more than `most` instruments raise,
+    and so does one without a base asset where pairs need it.
     """
-    one = lambda g, a: universe.where(F.col("group") == g).select(*[F.col(n).alias(f"{a}_{n}") for n in ("instrument_id", "exchange", "market_type", "symbol")], c.normal(F.col("base_asset")).alias(f"{a}_base_asset"))
+    guard(universe, most, "instruments")
+    if match == "equal":
+        blank = universe.where(F.col("group").isin(a_group, b_group) & (F.coalesce(c.normal(F.col("base_asset")), F.lit("")) == "")).limit(1).collect()
+        if blank:
+            raise ValueError(f"an instrument without a base asset: {blank[0].asDict()}")
+    of = lambda g: universe.where((F.col("group") == g) & (F.lit(True) if (m := a_market if g == a_group else b_market) is None else F.lower("market_type") == m.lower()))
+    one = lambda g, a: of(g).select(*[F.col(n).alias(f"{a}_{n}") for n in ("instrument_id", "exchange", "market_type", "symbol")], c.normal(F.col("base_asset")).alias(f"{a}_base_asset"))
     x, y = one(a_group, "x"), one(b_group, "y")
     if match == "equal":
         out = x.join(y, F.col("x_base_asset") == F.col("y_base_asset"))
@@ -112,6 +118,15 @@ def components(intervals: DataFrame, pairs: DataFrame, lags_ms: list[int], start
     return out.withColumn("corr_is_diagnostic", F.lit(True))
 
 
+def with_cache_identity(components: DataFrame, manifest: dict[str, object], layout: str = "price_mode") -> DataFrame:
+    """components with what their cache was made by, for both sides: the columns that `summary.CACHE` names."""
+    held = {
+        "cache_layout": F.lit(layout), "max_interval_ms": F.lit(manifest.get("max_interval_ms")).cast("double"), "cache_config_version": F.lit(manifest.get("version")).cast("long"),
+        "drop_zero_returns": F.lit(manifest.get("drop_zero_returns")).cast("boolean"), "cache_config_hash": F.lit(manifest.get("config_hash")).cast("string"),
+    }
+    return components.withColumns({f"{a}_{n}": v for n, v in held.items() for a in "xy"})
+
+
 def pair_lag_summary(components: DataFrame, keys: list[str]) -> DataFrame:
     """Sums over the windows of each pair and lag, with the correlation of the sums."""
     d = components.groupBy(*keys, "lag_ms").agg(

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from wakelag.functions import columns as c
-from wakelag.operators.quotes import enrich, flag_counts, keep_last, physical_order
+from wakelag.operators.quotes import by_hour, enrich, flag_counts, keep_last, physical_order, with_previous
+from wakelag.session import lookup
 
 GAPS = {"gap_p50_ms": 0.5, "gap_p90_ms": 0.9, "gap_p95_ms": 0.95, "gap_p99_ms": 0.99, "gap_p999_ms": 0.999}
 SPREADS = {"spread_bps_p50": 0.5, "spread_bps_p99": 0.99}
@@ -27,17 +28,17 @@ def segments(quotes: DataFrame, keys: list[str], excluded: DataFrame | None, hou
     before the row. State never carries across an excluded hour. excluded: keys and hour, a small table."""
     if excluded is None:
         return quotes.withColumn("segment", F.lit(0))
-    spots = excluded.select(*keys, F.col(hour).alias("__hour")).distinct()
-    kept = quotes.join(spots.withColumnRenamed("__hour", hour), [*keys, hour], "left_anti")
-    lists = spots.groupBy(*keys).agg(F.sort_array(F.collect_set("__hour")).alias("__hours"))
+    spots = lookup(excluded.select(*keys, F.date_trunc("hour", F.col(hour)).alias("__spot")).distinct())
+    kept = quotes.withColumn("__spot", F.date_trunc("hour", F.col(hour))).join(spots, [*keys, "__spot"], "left_anti").drop("__spot")
+    lists = lookup(spots.groupBy(*keys).agg(F.sort_array(F.collect_set("__spot")).alias("__hours")))
     return kept.join(lists, keys, "left").withColumn("segment", F.coalesce(F.size(F.filter("__hours", lambda h: h < F.col(hour))), F.lit(0))).drop("__hours")
 
 
 def gap_stats(clean: DataFrame, keys: list[str], file: str, exact: bool = True) -> DataFrame:
     """Gaps between clean rows and unchanged prices for each (keys, file). clean: keys, file, segment, ts,
     price; a file's first row is compared with the segment's last clean row before it."""
-    w = W.partitionBy(*keys, "segment").orderBy("ts")
-    m = clean.withColumn("gap", c.elapsed_ms(F.lag("ts").over(w), F.col("ts"))).withColumn("before", F.lag("price").over(w))
+    m = with_previous(by_hour(clean, keys), [*keys, "segment"], {"ts": "before_ts", "price": "before"})
+    m = m.withColumn("gap", c.elapsed_ms(F.col("before_ts"), F.col("ts")))
     moved = (F.col("gap") > 0) & (F.col("before") > 0)
     return m.groupBy(*keys, file).agg(
         *levels(F.col("gap"), F.col("gap") > 0, GAPS, exact), F.max(F.when(F.col("gap") > 0, F.col("gap"))).alias("gap_max_ms"),
@@ -81,11 +82,16 @@ def check_policy(quality: DataFrame) -> None:
         raise PolicyError(f"times repeat or run backward: {bad[0].asDict()}")
 
 
+#: What an instrument's files were scanned by: carried from the files to the instrument.
+SCANNED = ("parquet_glob", "timestamp_basis", "timestamp_col", "duplicate_ts_policy", "scan_config_hash", "scan_ts_unit", "scan_price_mode", "scan_max_spread_bps", "scan_start", "scan_end")
+
+
 def instrument_quality(files: DataFrame, keys: list[str], min_cap_ms: float = 50.0, hard_cap_ms: float = 2000.0, min_spread_bps: float = 10.0, hard_spread_bps: float = 100.0) -> DataFrame:
-    """One row an instrument: sums and medians over its files, recommended caps, suggested action."""
+    """One row an instrument, in order of its keys: sums and medians over its files, recommended caps, suggested
+    action, and of SCANNED what the files carry (the smallest value; `validate.varying` tells if there are several)."""
     sums = ["total_rows", "selected_rows", "deduplicated_rows", "clean_rows", "duplicate_ts", "backward_ts", "crossed_rows", "locked_rows", "non_positive_bid", "non_positive_ask", "non_positive_bid_qty", "non_positive_ask_qty"]
     agg = files.where("total_rows > 0").groupBy(*keys).agg(
-        F.count("*").alias("n_files_scanned"), *[F.sum(n).alias(n) for n in sums], F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"),
+        *[F.min(n).alias(n) for n in SCANNED if n in files.columns], F.count("*").alias("n_files_scanned"), *[F.sum(n).alias(n) for n in sums], F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"),
         *[F.median(n).alias(n) for n in (*GAPS, *SPREADS)], F.max("gap_max_ms").alias("gap_max_ms"), c.ratio(F.sum("zero_ret_count"), F.sum("ret_count")).alias("zero_ret_ratio"),
     )
     return agg.withColumns(
@@ -94,4 +100,4 @@ def instrument_quality(files: DataFrame, keys: list[str], min_cap_ms: float = 50
             "recommended_max_spread_bps": c.spread_cap(F.col("spread_bps_p99"), min_spread_bps, hard_spread_bps),
             "suggested_action": c.action(F.col("clean_rows"), F.col("backward_ts"), F.col("gap_p90_ms"), F.col("gap_p99_ms"), F.col("zero_ret_ratio")),
         }
-    )
+    ).orderBy(*keys)

@@ -8,6 +8,7 @@ from wakelag.functions import columns as c
 from wakelag.functions.clock import dedup_order
 
 INSTRUMENT = ["exchange", "market_type", "symbol"]
+HOUR = "__hour"
 
 
 def enrich(quotes: DataFrame, price_mode: str = "mid", max_spread_bps: float = 100.0) -> DataFrame:
@@ -42,9 +43,10 @@ def flag_counts(enriched: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def keep_last(quotes: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
-    """The last row of each (keys, ts), by sequences, clocks and values; rows without a time go."""
+    """The last row of each (keys, ts), by sequences, clocks and values; rows without a time go. Rows that
+    `by_hour` dealt out stay where they are."""
     order = dedup_order(quotes.columns, ts)
-    w = W.partitionBy(*keys, ts).orderBy(*order)
+    w = W.partitionBy(*keys, *([HOUR] if HOUR in quotes.columns else []), ts).orderBy(*order)
     return quotes.where(F.col(ts).isNotNull()).withColumn("__rank", F.row_number().over(w)).where("__rank = 1").drop("__rank")
 
 
@@ -60,3 +62,23 @@ def physical_order(quotes: DataFrame, keys: list[str], file: str, row: str, ts:
     q = quotes.select(*keys, file, row, ts).withColumn("before", before).join(carried, [*keys, file])
     prev = F.coalesce("before", "carried")
     return q.groupBy(*keys, file).agg(F.count_if(F.col(ts) == prev).alias("duplicate_ts"), F.count_if(F.col(ts) < prev).alias("backward_ts"))
+
+
+def by_hour(quotes: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
+    """quotes dealt out by keys and hour, with the hour in HOUR: a busy instrument is a task an hour, and the
+    windows that name HOUR among their keys need no other exchange."""
+    return quotes.withColumn(HOUR, F.date_trunc("hour", ts)).repartition(*keys, HOUR)
+
+
+def with_previous(rows: DataFrame, keys: list[str], columns: dict[str, str], ts: str = "ts") -> DataFrame:
+    """rows (keys, HOUR, ts) with columns of the row before by ts, under new names, null for the first.
+
+    Within an hour the row before is the window's; an hour's first row takes what the last hour before it
+    left, which a window over one row an hour carries on. So no window holds an instrument's history.
+    """
+    take = F.struct(*[F.col(a).alias(b) for a, b in columns.items()])
+    lasts = rows.groupBy(*keys, HOUR).agg(F.max_by(take, F.col(ts)).alias("__last"))
+    carried = lasts.select(*keys, HOUR, F.lag("__last").over(W.partitionBy(*keys).orderBy(HOUR)).alias("__carried"))
+    before = F.lag(take).over(W.partitionBy(*keys, HOUR).orderBy(ts))
+    out = rows.withColumn("__before", before).join(carried, [*keys, HOUR])
+    return out.withColumn("__before", F.coalesce("__before", "__carried")).select(*rows.columns, *[F.col(f"__before.{b}").alias(b) for b in columns.values()])

@@ -35,12 +35,16 @@ def eligible(min_overlap: int = 100, min_n_x: int = 0, min_n_y: int = 0, min_win
     )
 
 
+#: Digits to which correlations are compared: sums in another order differ beyond these, and such lags are ties.
+DIGITS = 9
+
+
 def _best(lags: DataFrame, group: Sequence[str], value: Column, where: Column, prefix: str) -> DataFrame:
     """The first lag of each group by value, overlap, nearness to 0, then lag; with the second one and lag
     0 beside it. One window over the group's lags, so no table is joined to itself."""
     part = W.partitionBy(*group)
     order = [value.desc_nulls_last(), F.col("total_overlap").desc(), F.abs("lag_ms").asc(), F.col("lag_ms").asc()]
-    d = lags.withColumn("ok", where)
+    d = lags.withColumn("agg_corr", F.round("agg_corr", DIGITS)).withColumn("ok", where)
     at_zero = F.max(F.when(F.col("lag_ms") == 0, F.struct("agg_corr", "total_overlap"))).over(part)
     d = d.withColumn("zero", at_zero).where("ok")
     ranked = part.orderBy(*order)
@@ -54,7 +58,7 @@ def _best(lags: DataFrame, group: Sequence[str], value: Column, where: Column, p
 
 
 def best_abs(lags: DataFrame, group: Sequence[str] = GROUP, where: Column | None = None) -> DataFrame:
-    """The lag of the largest absolute correlation."""
+    """The lag of the largest absolute correlation; rows by that, then overlap, the largest first."""
     d = _best(lags, group, F.abs("agg_corr"), eligible() if where is None else where, "best")
     r, z, s = F.col("best_agg_corr"), F.col("corr_0_lag"), F.col("second.agg_corr")
     return d.withColumns(
@@ -63,11 +67,11 @@ def best_abs(lags: DataFrame, group: Sequence[str] = GROUP, where: Column | None
             "second_best_lag_ms": F.col("second.lag_ms"), "second_best_agg_corr": s, "second_best_total_overlap": F.col("second.total_overlap"),
             "best_abs_corr_margin": F.abs(r) - F.abs(F.coalesce(s, F.lit(0.0))),
         }
-    ).drop("second")
+    ).drop("second").orderBy(F.abs("best_agg_corr").desc(), F.col("total_overlap").desc(), *group)
 
 
 def best_positive(lags: DataFrame, group: Sequence[str] = GROUP, where: Column | None = None) -> DataFrame:
-    """The lag of the largest positive correlation."""
+    """The lag of the largest positive correlation; rows by that, then overlap, the largest first."""
     d = _best(lags, group, F.col("agg_corr"), (eligible() if where is None else where) & (F.col("agg_corr") > 0), "best_positive")
     r, s = F.col("best_positive_agg_corr"), F.col("second.agg_corr")
     return d.withColumns(
@@ -75,4 +79,4 @@ def best_positive(lags: DataFrame, group: Sequence[str] = GROUP, where: Column |
             "best_positive_minus_zero_corr": r - F.col("corr_0_lag"), "second_best_positive_lag_ms": F.col("second.lag_ms"), "second_best_positive_agg_corr": s,
             "second_best_positive_total_overlap": F.col("second.total_overlap"), "best_positive_corr_margin": r - F.coalesce(s, F.lit(0.0)),
         }
-    ).drop("second")
+    ).drop("second").orderBy(F.col("best_positive_agg_corr").desc(), F.col("total_overlap").desc(), *group)

@@ -62,6 +62,9 @@ def invalid_components(components: DataFrame) -> DataFrame:
     or a correlation that its parts do not give."""
     nulls = [F.col(k).isNull() for k in [*KEY, "run_id", "config_hash"] if k in components.columns]
     measures = [~c.finite(F.col(m)) for m in ("cov", "var_x", "var_y")] + [F.col(m) < 0 for m in ("var_x", "var_y", "n_overlap", "n_x", "n_y")] + [F.col(m).isNull() for m in ("n_overlap", "n_x", "n_y")]
+    if "corr" in components.columns:
+        given = c.correlation(F.col("cov"), F.col("var_x"), F.col("var_y"))
+        nulls.append(c.differs(F.col("corr").isNull(), given.isNull()) | (F.abs(F.col("corr") - given) > 1e-9 * F.greatest(F.abs(given), F.lit(1.0))))
     bad = [*nulls, *measures, F.col("window_end") <= F.col("window_start"), c.differs(F.col("corr_is_diagnostic"), F.lit(True))]
     any_ = F.lit(False)
     for b in bad:
@@ -93,6 +96,12 @@ def inconsistent_caches(components: DataFrame) -> DataFrame:
     return both.groupBy("exchange", "market_type", "symbol", "price_mode").agg(identity).where("n_identities > 1")
 
 
+def distinct_pairs(pairs: DataFrame) -> DataFrame:
+    """One row: how many different pairs a table of pairs names, its names trimmed and in upper or lower case alike."""
+    norm = [F.lower(F.trim(F.col(n))).alias(n) for n in ID]
+    return pairs.select(*norm).distinct().agg(F.count("*").alias("n_pairs"))
+
+
 def pair_count(components: DataFrame) -> int:
     return components.select(*ID).distinct().count()
 

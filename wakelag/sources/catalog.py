@@ -8,10 +8,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wakelag.functions import columns as c
-from wakelag.functions.clock import resolve_clock
+from wakelag.functions.clock import CLOCKS
+from wakelag.sources.tables import footers
 
 _PATH = r"([^/]+)/([^/]+)/([^/]+)/symbol=([^/]+)/date=([^/]+)/hour=([^/]+)/[^/]+\.parquet$"
 KEYS = ["exchange", "market_type", "feed", "symbol"]
@@ -98,9 +99,39 @@ def normal_hours(counts: DataFrame) -> DataFrame:
     return counts.where("file_count = 1").groupBy(*KEYS).agg(F.min(at).alias("first_hour"), F.max(at).alias("last_hour"), F.count("*").alias("n_hours"))
 
 
-def columns_of(spark: SparkSession, path: str) -> list[str]:
-    """Column names from one file's footer."""
-    return spark.read.parquet(path).columns
+def clock_of(columns: Column, basis: str) -> Column:
+    """The column of a clock among an array of names, by priority; null if there is none."""
+    if basis not in CLOCKS:
+        raise ValueError(f"unknown clock: {basis}")
+    return F.coalesce(*[F.when(F.array_contains(columns, n), n) for n in CLOCKS[basis]])
+
+
+def hours_of_range(spark: SparkSession, start: datetime, end: datetime, excluded: Sequence[datetime] = ()) -> DataFrame:
+    """(at): the hours that [start, end) touches, less the excluded ones; an end on the hour touches none more."""
+    last = F.date_trunc("hour", F.lit(end) - F.expr("INTERVAL 1 MICROSECOND"))
+    d = spark.range(1 if end > start else 0).select(F.explode(F.sequence(F.date_trunc("hour", F.lit(start)), last, F.expr("INTERVAL 1 HOUR"))).alias("at"))
+    return d.where(~F.col("at").isin(list(excluded))) if excluded else d
+
+
+def files_of_range(catalog: DataFrame, start: datetime, end: datetime, excluded: Sequence[datetime] = ()) -> DataFrame:
+    """Files of the hours of a range."""
+    return catalog.join(F.broadcast(hours_of_range(catalog.sparkSession, start, end, excluded)), "at", "left_semi")
+
+
+def bounds(catalog: DataFrame, rows: DataFrame, ts: str = "ts") -> DataFrame:
+    """date_bounds from paths; where no path has a date, from the rows' least and greatest time."""
+    named = date_bounds(catalog)
+    seen = rows.agg(F.to_date(F.min(ts)).alias("a"), F.date_add(F.to_date(F.max(ts)), 1).alias("b"))
+    return named.crossJoin(seen).select(F.coalesce("start_date", "a").alias("start_date"), F.coalesce("end_date", "b").alias("end_date"))  # two tables of one row
+
+
+def task_config(root: str, out: str, basis: str = "receive", feed: str = "bbo") -> dict[str, object]:
+    """The summary that is written beside the tables of a universe."""
+    return {
+        "raw_root": root, "feed": feed, "timestamp_basis": basis, "tables": {n: f"{out}/{n}.csv" for n in ("universe", "excluded_hours", "ignored_instruments", "pairs")},
+        "group_a": {"exchange": "binance", "market_type": "perp"}, "group_b": {"rule": "all instruments except Binance perp"},
+        "instrument_filter": {"target_count": sum(map(len, INVENTORY.values()))}, "pairing": {"pair_key": "base_asset"},
+    }
 
 
 def universe(spark: SparkSession, root: str, basis: str = "receive", feed: str = "bbo", targets: DataFrame | None = None, **chosen: Sequence[str]) -> dict[str, DataFrame]:
@@ -113,14 +144,9 @@ def universe(spark: SparkSession, root: str, basis: str = "receive", feed: str =
     listed = select(parse(files(spark, root)), feed, **chosen)
     counts = hour_counts(listed)
     known = first_files(listed).join(F.broadcast(targets), ["exchange", "market_type", "symbol"], "left")
-    clocks = []
-    for r in known.where("base_asset IS NOT NULL").select(*KEYS, "path").collect():  # an instrument a row
-        try:
-            clocks.append((*(r[k] for k in KEYS), resolve_clock(columns_of(spark, r["path"]), basis)))
-        except ValueError:
-            pass
-    clock = spark.createDataFrame(clocks, ", ".join(f"{k} string" for k in [*KEYS, "timestamp_col"]))
-    known = known.join(F.broadcast(clock), KEYS, "left")
+    # footers are read by tasks, one file an instrument
+    names = footers(known.where("base_asset IS NOT NULL").select("path"))
+    known = known.join(names.select("path", clock_of(F.col("columns"), basis).alias("timestamp_col")), "path", "left")
     reason = F.when(F.col("base_asset").isNull(), "not_in_target_instruments").when(F.col("timestamp_col").isNull(), f"missing_{basis}_timestamp")
     ignored = known.withColumn("reason", reason).where("reason IS NOT NULL").select("exchange", "market_type", "symbol", "reason")
     kept = known.where("base_asset IS NOT NULL AND timestamp_col IS NOT NULL")

@@ -9,7 +9,8 @@ from datetime import date, datetime
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wakelag.functions.scalars import config_hash
+from wakelag.functions.columns import finite
+from wakelag.functions.scalars import bytes_hash, config_hash
 from wakelag.operators.validate import IntegrityError, cache_problems
 
 CACHE_PARTITIONS = ["exchange", "market_type", "symbol", "price_mode", "date"]
@@ -55,6 +56,49 @@ def csv(spark: SparkSession, path: str, schema: str, required: Sequence[str] = (
     return raw.select(*[(empty(f.name).cast(f.dataType) if f.name in names else F.lit(None).cast(f.dataType)).alias(f.name) for f in kinds])
 
 
+def csv_inferred(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV file with a header; types are told from all rows."""
+    return spark.read.option("header", "true").option("inferSchema", "true").option("samplingRatio", "1.0").csv(path)
+
+
+def excluded_hours(spark: SparkSession, universe: str, path: str | None = None) -> DataFrame | None:
+    """(exchange, market_type, symbol, hour) from a CSV of excluded hours: the one at `path`, which must be
+    there, or excluded_hours.csv beside the universe; None where there is none. An hour that is not 0 to 23,
+    or a date that is none, raises."""
+    at = path or universe.rsplit("/", 1)[0] + "/excluded_hours.csv"
+    fs, p = _path(spark, at)
+    if not fs.exists(p):
+        if path:
+            raise FileNotFoundError(path)
+        return None
+    need = ("exchange", "market_type", "symbol", "date", "hour")
+    d = csv(spark, at, ", ".join(f"{n} string" for n in need), required=need)
+    n, day = F.col("hour").try_cast("int"), F.col("date").try_cast("date")
+    bad = d.where(~F.coalesce(n.between(0, 23) & day.isNotNull(), F.lit(False))).limit(1).collect()
+    if bad:
+        raise ValueError(f"invalid excluded hour: {bad[0].asDict()}")
+    return d.select("exchange", "market_type", "symbol", (F.to_timestamp(day) + F.make_dt_interval(hours=n)).alias("hour")).distinct()
+
+
+def components(spark: SparkSession, path: str, most: int = 1000) -> DataFrame:
+    """Rows of the component files at a path or glob, each with the file's name; no file, or more than `most`, raises."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path)
+    n = found.select("path").limit(most + 1).count()
+    if not n or n > most:
+        raise IntegrityError(f"{n or 'no'} component files at {path}, {most} at most")
+    return parquet(spark, path, physical_only=True, provenance="filename")
+
+
+def hash_of_file(spark: SparkSession, path: str) -> str:
+    """SHA-256 of a small control file's bytes."""
+    fs, p = _path(spark, path)
+    got = fs.open(p)
+    try:
+        return bytes_hash(bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(got)))
+    finally:
+        got.close()
+
+
 def footers(paths: DataFrame, path: str = "path") -> DataFrame:
     """(path, columns) from the Parquet footer of each file, read where the task runs. For local and
     mounted file systems, or those that Arrow opens by address."""
@@ -106,16 +150,19 @@ def _path(spark: SparkSession, path: str):
 
 
 def write_json(spark: SparkSession, data: object, path: str) -> None:
-    """Through Hadoop's file system, to a side file that is then renamed."""
+    """Through Hadoop's file system, to a side file that then takes the place of the old one in one step, so
+    that there always is the old or the new text."""
     text = json.dumps(data, indent=2, sort_keys=True, default=str)
+    jvm = spark._jvm
     fs, side = _path(spark, path + ".partial")
     out = fs.create(side, True)
     out.write(bytearray(text.encode()))
     out.close()
     _, final = _path(spark, path)
-    if fs.exists(final):
-        fs.delete(final, False)
-    fs.rename(side, final)
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    how = spark._sc._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    files.rename(fs.makeQualified(side), fs.makeQualified(final), how)
 
 
 def read_json(spark: SparkSession, path: str) -> dict[str, object] | None:
@@ -162,8 +209,8 @@ def write_cache(intervals: DataFrame, root: str, config: dict[str, object], rebu
     write_json(spark, wanted | {"config_hash": config_hash(wanted)}, f"{root}/_cache.json")
 
 
-def read_cache(spark: SparkSession, root: str, start_ns: int, end_ns: int, max_interval_ms: float, price_mode: str = "mid", instruments: DataFrame | None = None, missing: str = "error", most: int | None = None, dates: tuple[date, date] | None = None) -> DataFrame:
-    """Intervals that meet (start, end). They lie under the date of their end, so dates run on by the
+def read_cache(spark: SparkSession, root: str, start_ns: int, end_ns: int, max_interval_ms: float, price_mode: str = "mid", instruments: DataFrame | None = None, missing: str = "error", most: int | None = None, dates: tuple[date, date] | None = None, max_end_ns: int | None = None) -> DataFrame:
+    """Intervals that meet (start, end), end by max_end_ns and have a finite return. They lie under the date of their end, so dates run on by the
     longest interval; that prunes folders. missing: error, warn or empty for instruments without any."""
     import logging
 
@@ -171,7 +218,9 @@ def read_cache(spark: SparkSession, root: str, start_ns: int, end_ns: int, max_i
 
     first, last = dates or (from_ns(start_ns).date(), from_ns(end_ns + int(max_interval_ms * 1_000_000)).date())
     df = spark.read.parquet(f"{root}/intervals").where((F.col("date") >= F.lit(first)) & (F.col("date") <= F.lit(last)) & (F.col("price_mode") == price_mode))
-    df = df.where((F.col("end_ns") > start_ns) & (F.col("start_ns") < end_ns) & (F.col("end_ns") > F.col("start_ns")) & F.col("ret").isNotNull())
+    df = df.where((F.col("end_ns") > start_ns) & (F.col("start_ns") < end_ns) & (F.col("end_ns") > F.col("start_ns")) & finite(F.col("ret")))
+    if max_end_ns is not None:
+        df = df.where(F.col("end_ns") <= max_end_ns)
     if instruments is not None:
         keys = ["exchange", "market_type", "symbol"]
         df = df.join(instruments.select(*keys).distinct(), keys, "left_semi")

@@ -25,15 +25,14 @@ def gaps(clean: DataFrame, keys: list[str]) -> DataFrame:
         d = d.drop_duplicates("ns", keep="last")
         if d.empty:
             return
-        before = d[["ns", "price"]].shift(1).astype("float64")
-        start = d["ns"].shift(1).astype("Int64")
+        # nanoseconds stay whole numbers: as doubles they would lose their last digits
+        ns, price = d["ns"].to_numpy(np.int64), d["price"].to_numpy(np.float64)
         if last is not None:
-            start.iloc[0], before.iloc[0, 1] = last[0], last[1]
-        state.update((int(d["ns"].iloc[-1]), float(d["price"].iloc[-1])))
-        out = pd.DataFrame({k: [v] * len(d) for k, v in zip(keys, key, strict=True)})
-        out["start_ns"], out["end_ns"] = start.to_numpy(), d["ns"].to_numpy()
-        out["ret"] = np.log(d["price"].to_numpy()) - np.log(before["price"].to_numpy())
-        yield out[out["start_ns"].notna()].astype({"start_ns": "int64"})
+            ns, price = np.concatenate([[last[0]], ns]), np.concatenate([[last[1]], price])
+        state.update((int(ns[-1]), float(price[-1])))
+        out = pd.DataFrame({k: [v] * (len(ns) - 1) for k, v in zip(keys, key, strict=True)})
+        out["start_ns"], out["end_ns"], out["ret"] = ns[:-1], ns[1:], np.diff(np.log(price))
+        yield out
 
     kinds = dict(clean.dtypes)
     out = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "start_ns long, end_ns long, ret double"])
