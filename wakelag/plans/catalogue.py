@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -11,6 +10,7 @@ from wakelag.functions import columns as c
 from wakelag.functions.scalars import chunks
 from wakelag.operators import latency, leadlag, overlap, quality, quotes, summary, validate
 from wakelag.plans import view as v
+from wakelag.session import folder, written
 from wakelag.sources import catalog, tables
 
 FLAGSHIP = "hy_components"
@@ -44,21 +44,18 @@ def long(x: Column | str, name: str) -> Column:
     return (x if isinstance(x, Column) else F.col(x)).cast("long").alias(name)
 
 
-def folder(spark: SparkSession, what: str) -> str:
-    """A new folder that driver and executors share."""
-    found = spark.sparkContext._jsc.sc().getCheckpointDir()
-    base = found.get() if found.isDefined() else spark.conf.get("spark.checkpoint.dir", "") or "/tmp/wakelag"
-    return f"{base}/{what}-{uuid.uuid4().hex}"
+def r9(x: Column, name: str) -> Column:
+    return F.round(x, 9).alias(name)
 
 
 # ---- quotes
 
 
-@query(f"WITH {v.Q}, {v.enriched()} SELECT event_id, round(price, 6) AS mid, round(micro, 6) AS microprice, round(spread_bps, 6) AS spread_bps, is_clean FROM e")
+@query(f"WITH {v.Q}, {v.enriched()} SELECT event_id, price AS mid, micro AS microprice, spread_bps, is_clean FROM e")
 def quote_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = quotes.enrich(v.quotes(spark, sf_dir))
     micro = c.microprice(*[F.col(n) for n in ("bid_price", "ask_price", "bid_qty", "ask_qty")])
-    return q.select("event_id", r6("price", "mid"), r6(micro, "microprice"), r6("spread_bps", "spread_bps"), "is_clean")
+    return q.select("event_id", F.col("price").alias("mid"), micro.alias("microprice"), "spread_bps", "is_clean")
 
 
 @query(f"""WITH {v.Q}, {v.enriched()} SELECT symbol, count(*) AS total_rows, count(ts) AS valid_timestamp_rows, count(*) FILTER (WHERE bid_price > ask_price) AS crossed_rows,
@@ -121,31 +118,49 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _FQ = f"""{v.Q}, {v.enriched("e", "(SELECT * REPLACE (hour AS ts) FROM q)")}, d AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY symbol, file, ts ORDER BY seq DESC) = 1),
  raw AS (SELECT symbol, file, count(*) AS total_rows, count(ts) AS valid, count(*) FILTER (WHERE bid_price > ask_price) AS crossed_rows, count(*) FILTER (WHERE bid_price = ask_price AND bid_price > 0) AS locked_rows FROM e GROUP BY ALL),
- sel AS (SELECT symbol, file, count(*) AS selected_rows, count(*) FILTER (WHERE is_clean) AS clean_rows, min(ts) AS first_ts, max(ts) AS last_ts, quantile_cont(spread_bps, 0.5) FILTER (WHERE spread_bps >= 0) AS spread_bps_p50, quantile_cont(spread_bps, 0.99) FILTER (WHERE spread_bps >= 0) AS spread_bps_p99 FROM d GROUP BY ALL),
+ sel AS (SELECT symbol, file, count(*) AS selected_rows, count(*) FILTER (WHERE is_clean) AS clean_rows, min(ts) AS first_ts, max(ts) AS last_ts, arg_max(price, ts) FILTER (WHERE is_clean) AS last_clean_price, quantile_cont(spread_bps, 0.5) FILTER (WHERE spread_bps >= 0) AS spread_bps_p50, quantile_cont(spread_bps, 0.99) FILTER (WHERE spread_bps >= 0) AS spread_bps_p99 FROM d GROUP BY ALL),
  l AS (SELECT symbol, file, price, {_LAGGED} FROM d WHERE is_clean WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
  gp AS (SELECT symbol, file, quantile_cont(gap, 0.5) FILTER (WHERE gap > 0) AS gap_p50_ms, quantile_cont(gap, 0.9) FILTER (WHERE gap > 0) AS gap_p90_ms, quantile_cont(gap, 0.99) FILTER (WHERE gap > 0) AS gap_p99_ms, max(gap) FILTER (WHERE gap > 0) AS gap_max_ms,
   count(*) FILTER (WHERE gap > 0 AND pp > 0 AND price = pp) AS zero_ret_count, count(*) FILTER (WHERE gap > 0 AND pp > 0) AS ret_count FROM l GROUP BY ALL),
- fq AS (SELECT raw.*, selected_rows, clean_rows, first_ts, last_ts, spread_bps_p50, spread_bps_p99, gap_p50_ms, gap_p90_ms, gap_p99_ms, gap_max_ms, coalesce(zero_ret_count, 0) AS zero_ret_count, coalesce(ret_count, 0) AS ret_count,
+ fq AS (SELECT raw.*, selected_rows, clean_rows, first_ts, last_ts, last_clean_price, spread_bps_p50, spread_bps_p99, gap_p50_ms, gap_p90_ms, gap_p99_ms, gap_max_ms, coalesce(zero_ret_count, 0) AS zero_ret_count, coalesce(ret_count, 0) AS ret_count,
   valid - selected_rows + CASE WHEN first_ts = max(last_ts) OVER (PARTITION BY raw.symbol ORDER BY raw.file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS duplicate_ts FROM raw JOIN sel USING (symbol, file) LEFT JOIN gp USING (symbol, file))"""
 
 
 @query(f"""WITH {_FQ} SELECT symbol, CAST(file AS VARCHAR) AS file, total_rows, selected_rows, clean_rows, CAST(duplicate_ts AS BIGINT) AS duplicate_ts, crossed_rows, locked_rows, round(spread_bps_p50, 6) AS spread_bps_p50, round(spread_bps_p99, 6) AS spread_bps_p99,
- round(gap_p50_ms, 6) AS gap_p50_ms, round(gap_p90_ms, 6) AS gap_p90_ms, round(gap_p99_ms, 6) AS gap_p99_ms, zero_ret_count, ret_count FROM fq""")
+ round(gap_p50_ms, 6) AS gap_p50_ms, round(gap_p90_ms, 6) AS gap_p90_ms, round(gap_p99_ms, 6) AS gap_p99_ms, zero_ret_count, ret_count, round(last_clean_price, 9) AS last_clean_price FROM fq""")
 def file_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _files(spark, sf_dir)
-    return d.select("symbol", F.col("file").cast("string").alias("file"), "total_rows", "selected_rows", "clean_rows", long("duplicate_ts", "duplicate_ts"), "crossed_rows", "locked_rows", *[r6(n, n) for n in (*quality.SPREADS, "gap_p50_ms", "gap_p90_ms", "gap_p99_ms")], "zero_ret_count", "ret_count")
+    return d.select("symbol", F.col("file").cast("string").alias("file"), "total_rows", "selected_rows", "clean_rows", long("duplicate_ts", "duplicate_ts"), "crossed_rows", "locked_rows", *[r6(n, n) for n in (*quality.SPREADS, "gap_p50_ms", "gap_p90_ms", "gap_p99_ms")], "zero_ret_count", "ret_count", r9(F.col("last_clean_price"), "last_clean_price"))
 
 
-@query(f"""WITH {_FQ}, i AS (SELECT symbol, count(*) AS n_files_scanned, sum(total_rows) AS total_rows, sum(clean_rows) AS clean_rows, sum(duplicate_ts) AS duplicate_ts, median(gap_p50_ms) AS gap_p50_ms, median(gap_p90_ms) AS gap_p90_ms, median(gap_p99_ms) AS gap_p99_ms,
- max(gap_max_ms) AS gap_max_ms, CAST(sum(zero_ret_count) AS DOUBLE) / nullif(sum(ret_count), 0) AS zero_ret_ratio, median(spread_bps_p99) AS spread_bps_p99 FROM fq WHERE total_rows > 0 GROUP BY symbol)
- SELECT symbol, n_files_scanned, CAST(total_rows AS BIGINT) AS total_rows, CAST(clean_rows AS BIGINT) AS clean_rows, CAST(duplicate_ts AS BIGINT) AS duplicate_ts, round(gap_p50_ms, 6) AS gap_p50_ms, round(gap_p90_ms, 6) AS gap_p90_ms, round(gap_max_ms, 6) AS gap_max_ms, round(zero_ret_ratio, 6) AS zero_ret_ratio,
+def _varied(files: DataFrame) -> DataFrame:
+    """Files changed by instrument so that every suggested action comes up."""
+    name, quick = F.col("symbol"), F.col("symbol").startswith("U1")
+    changed = {n: F.when(quick, F.col(n) / 1e6).otherwise(F.col(n)) for n in ("gap_p50_ms", "gap_p90_ms", "gap_max_ms")}
+    p99 = F.when(name == "U1_view", F.col("gap_p99_ms") / 1e6 + 5000).when(quick, F.col("gap_p50_ms") / 1e6).otherwise(F.col("gap_p99_ms"))
+    return files.withColumns(
+        changed | {"gap_p99_ms": p99, "backward_ts": F.when(name == "U0_error", 3).otherwise(0), "clean_rows": F.when(name == "U2_signup", 0).otherwise(F.col("clean_rows") * 1000),
+        "zero_ret_count": F.when(name == "U1_purchase", F.col("ret_count")).otherwise(F.col("zero_ret_count"))}
+    )
+
+
+_VARIED = """fqv AS (SELECT * REPLACE (CASE WHEN symbol LIKE 'U1%' THEN gap_p50_ms / 1e6 ELSE gap_p50_ms END AS gap_p50_ms, CASE WHEN symbol LIKE 'U1%' THEN gap_p90_ms / 1e6 ELSE gap_p90_ms END AS gap_p90_ms, CASE WHEN symbol LIKE 'U1%' THEN gap_max_ms / 1e6 ELSE gap_max_ms END AS gap_max_ms,
+ CASE WHEN symbol = 'U1_view' THEN gap_p99_ms / 1e6 + 5000 WHEN symbol LIKE 'U1%' THEN gap_p50_ms / 1e6 ELSE gap_p99_ms END AS gap_p99_ms, CASE WHEN symbol = 'U2_signup' THEN 0 ELSE clean_rows * 1000 END AS clean_rows, CASE WHEN symbol = 'U1_purchase' THEN ret_count ELSE zero_ret_count END AS zero_ret_count),
+ CASE WHEN symbol = 'U0_error' THEN 3 ELSE 0 END AS backward_ts FROM fq)"""
+
+
+@query(f"""WITH {_FQ}, {_VARIED}, i AS (SELECT symbol, count(*) AS n_files_scanned, sum(backward_ts) AS backward_ts, sum(total_rows) AS total_rows, sum(clean_rows) AS clean_rows, sum(duplicate_ts) AS duplicate_ts, median(gap_p50_ms) AS gap_p50_ms, median(gap_p90_ms) AS gap_p90_ms, median(gap_p99_ms) AS gap_p99_ms,
+ max(gap_max_ms) AS gap_max_ms, CAST(sum(zero_ret_count) AS DOUBLE) / nullif(sum(ret_count), 0) AS zero_ret_ratio, median(spread_bps_p99) AS spread_bps_p99 FROM fqv WHERE total_rows > 0 GROUP BY symbol)
+ SELECT symbol, n_files_scanned, 'receive' AS timestamp_basis, 'ts' AS timestamp_col, 'keep-last' AS duplicate_ts_policy, CAST(total_rows AS BIGINT) AS total_rows, CAST(clean_rows AS BIGINT) AS clean_rows, CAST(duplicate_ts AS BIGINT) AS duplicate_ts, round(gap_p50_ms, 6) AS gap_p50_ms, round(gap_p90_ms, 6) AS gap_p90_ms, round(gap_max_ms, 6) AS gap_max_ms, round(zero_ret_ratio, 6) AS zero_ret_ratio,
  round(greatest(CAST(60000 AS DOUBLE), least(CAST({v.CAP_MS} AS DOUBLE), 3.0 * coalesce(gap_p90_ms, CAST({v.CAP_MS} AS DOUBLE)), coalesce(gap_p99_ms, CAST({v.CAP_MS} AS DOUBLE)))), 6) AS recommended_max_interval_ms,
  round(least(CAST(100 AS DOUBLE), greatest(CAST(10 AS DOUBLE), 3.0 * coalesce(spread_bps_p99, CAST(10 AS DOUBLE)))), 6) AS recommended_max_spread_bps,
- CASE WHEN clean_rows < 100 THEN 'too_few_clean_rows' WHEN gap_p90_ms >= 500 THEN 'slow_update: stale filtering important' ELSE 'other' END AS suggested_action FROM i""")
+ CASE WHEN clean_rows < 100 THEN 'too_few_clean_rows' WHEN backward_ts > 0 THEN 'input_order_problem' WHEN gap_p90_ms >= 500 THEN 'slow_update: stale filtering important' WHEN gap_p99_ms > 5.0 * nullif(gap_p90_ms, 0) THEN 'bursty_or_stale: cap important'
+  WHEN CAST(zero_ret_ratio AS DOUBLE) >= 0.9 THEN 'many_zero_returns: check symbol/liquidity' ELSE 'normal' END AS suggested_action FROM i""")
 def instrument_quality_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = quality.instrument_quality(_files(spark, sf_dir).withColumn("backward_ts", F.lit(0)), v.KEYS, 60_000.0, float(v.CAP_MS))
+    scanned = {"timestamp_basis": F.lit("receive"), "timestamp_col": F.lit("ts"), "duplicate_ts_policy": F.lit("keep-last")}
+    d = quality.instrument_quality(_varied(_files(spark, sf_dir)).withColumns(scanned), v.KEYS, 60_000.0, float(v.CAP_MS))
     caps = ("gap_p50_ms", "gap_p90_ms", "gap_max_ms", "zero_ret_ratio", "recommended_max_interval_ms", "recommended_max_spread_bps")
-    return d.select("symbol", "n_files_scanned", long("total_rows", "total_rows"), long("clean_rows", "clean_rows"), long("duplicate_ts", "duplicate_ts"), *[r6(n, n) for n in caps], "suggested_action")
+    return d.select("symbol", "n_files_scanned", *scanned, long("total_rows", "total_rows"), long("clean_rows", "clean_rows"), long("duplicate_ts", "duplicate_ts"), *[r6(n, n) for n in caps], "suggested_action")
 
 
 @query(f"""WITH {v.Q}, h AS (SELECT DISTINCT symbol, file, 'event' || CASE WHEN symbol LIKE '%error' AND day(file) = 7 THEN '2' ELSE '' END AS timestamp_col, CASE WHEN symbol = 'U1_view' AND day(file) = 9 THEN NULL ELSE 'keep-last' END AS duplicate_ts_policy FROM q)
@@ -197,8 +212,8 @@ def abnormal_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- pairs and overlaps
 
 
-def _pairs(spark: SparkSession, sf_dir: str, match: str = "equal") -> DataFrame:
-    return leadlag.make_pairs(v.universe(v.quotes(spark, sf_dir)), match)
+def _pairs(spark: SparkSession, sf_dir: str, match: str = "equal", **more: object) -> DataFrame:
+    return leadlag.make_pairs(written(v.universe(v.quotes(spark, sf_dir)), "universe"), match, **more)  # type: ignore[arg-type]
 
 
 @query(f"WITH {v.Q}, {v.PAIRS} SELECT xs AS x_symbol, ys AS y_symbol FROM p")
@@ -217,7 +232,8 @@ def pair_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _iv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return v.intervals(v.quotes(spark, sf_dir)).select(F.col("symbol").alias("instrument_id"), "start_ns", "end_ns", "ret")
+    """Intervals as a table: overlaps and variances read it in several branches."""
+    return written(v.intervals(v.quotes(spark, sf_dir)).select(F.col("symbol").alias("instrument_id"), "start_ns", "end_ns", "ret"), "intervals")
 
 
 _OV = f"""WITH {v.Q}, {v.sql_intervals()}, {v.PAIRS}, {v.OVERLAPS} SELECT xs AS x_symbol, ys AS y_symbol, lag_ms, count(*) AS n_overlap, CAST(sum((least(e, ye_ns) - greatest(s, ys_ns)) // 1000) AS BIGINT) AS shared_us, round(sum(ret * y_ret), 6) AS cov FROM ov GROUP BY ALL"""
@@ -315,19 +331,14 @@ def _best(d: DataFrame, p: str, second: str) -> DataFrame:
     return d.select(*_GROUP, f"{p}_lag_ms", r6(f"{p}_agg_corr", f"{p}_agg_corr"), r6("corr_0_lag", "corr_0_lag"), "overlap_0_lag", f"{second}_lag_ms", r6(f"{second}_agg_corr", f"{second}_agg_corr"), f"{second}_total_overlap", r6(f"{p}_minus_zero_corr", f"{p}_minus_zero_corr"), "total_overlap", "n_window_rows")
 
 
-def _nine(d: DataFrame) -> DataFrame:
-    """Correlations to nine digits, so that engines that sum in other orders rank ties alike."""
-    return d.withColumn("agg_corr", F.round("agg_corr", 9))
-
-
 @query(_best_sql("abs(agg_corr)", "", "best", "second_best"))
 def best_abs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _best(summary.best_abs(_nine(_lags(spark, sf_dir)), _GROUP), "best", "second_best")
+    return _best(summary.best_abs(_lags(spark, sf_dir), _GROUP), "best", "second_best")
 
 
 @query(_best_sql("agg_corr", "AND agg_corr > 0", "best_positive", "second_best_positive"))
 def best_positive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _best(summary.best_positive(_nine(_lags(spark, sf_dir)), _GROUP), "best_positive", "second_best_positive")
+    return _best(summary.best_positive(_lags(spark, sf_dir), _GROUP), "best_positive", "second_best_positive")
 
 
 # ---- checks
@@ -339,19 +350,20 @@ def _damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = F.col("x_symbol") == "U1_click"
     d = d.withColumn("n_overlap", F.when(bad & (F.col("win") == 3) & (F.col("lag_ms") == 0), -1).otherwise(F.col("n_overlap")))
     twice = d.where(bad & (F.col("win") == 5))
-    d = d.unionByName(twice).where(~((F.col("x_symbol") == "U2_click") & (F.col("lag_ms") == 0) & (F.col("win") < 26)))
+    d = d.unionByName(twice).where(~((F.col("x_symbol") == "U2_click") & (F.col("lag_ms") == 0) & (F.col("win") != 26)))
     d = d.withColumns({"price_mode": F.lit("mid"), "config_hash": F.lit("h"), "y_base_asset": F.when(F.col("y_symbol") == "U0_error", " u9 ").otherwise(F.lower("y_base_asset"))})
     for a in "xy":
         d = d.withColumns({f"{a}_cache_layout": F.lit("mode"), f"{a}_max_interval_ms": F.lit(float(v.CAP_MS)), f"{a}_cache_config_version": F.lit(4).cast("long"), f"{a}_drop_zero_returns": F.lit(True)})
-    return d.withColumns({"x_cache_config_hash": F.lit("c"), "y_cache_config_hash": F.when((F.col("y_symbol") == "U0_view") & (F.col("win") == 1), "d").otherwise("c")})
+    d = d.withColumn("filename", F.when(F.col("win") == 7, "f9").otherwise(F.col("filename")))
+    return written(d.withColumns({"x_cache_config_hash": F.lit("c"), "y_cache_config_hash": F.when((F.col("y_symbol") == "U0_view") & (F.col("win") == 1), "d").otherwise("c")}), "damaged")
 
 
 _DAMAGED = f"""{_COMP}, d0 AS (SELECT * REPLACE (CASE WHEN x_symbol = 'U1_click' AND win = 3 AND lag_ms = 0 THEN -1 ELSE n_overlap END AS n_overlap) FROM comp),
- dmg AS (SELECT * FROM (SELECT * FROM d0 UNION ALL SELECT * FROM d0 WHERE x_symbol = 'U1_click' AND win = 5) WHERE NOT (x_symbol = 'U2_click' AND lag_ms = 0 AND win < 26))"""
+ dmg AS (SELECT * FROM (SELECT * FROM d0 UNION ALL SELECT * FROM d0 WHERE x_symbol = 'U1_click' AND win = 5) WHERE NOT (x_symbol = 'U2_click' AND lag_ms = 0 AND win <> 26))"""
 
 
 @query(f"""{_DAMAGED} SELECT 'invalid' AS problem, count(*) AS n FROM dmg WHERE n_overlap < 0 UNION ALL SELECT 'cross_assets', count(*) FROM dmg WHERE y_symbol = 'U0_error'
- UNION ALL SELECT 'duplicate_keys', count(*) FROM (SELECT x_symbol, y_symbol, win, lag_ms FROM dmg GROUP BY ALL HAVING count(*) > 1) UNION ALL SELECT 'split_runs', 0 UNION ALL SELECT 'pairs', count(*) FROM (SELECT DISTINCT x_symbol, y_symbol FROM dmg)""")
+ UNION ALL SELECT 'duplicate_keys', count(*) FROM (SELECT x_symbol, y_symbol, win, lag_ms FROM dmg GROUP BY ALL HAVING count(*) > 1) UNION ALL SELECT 'split_runs', count(*) FROM (SELECT win % 2 AS run FROM dmg GROUP BY ALL HAVING count(DISTINCT CASE WHEN win = 7 THEN 'f9' ELSE 'f' || (win % 2) END) > 1) UNION ALL SELECT 'pairs', count(*) FROM (SELECT DISTINCT x_symbol, y_symbol FROM dmg)""")
 def component_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _damaged(spark, sf_dir)
     found = {"invalid": validate.invalid_components(d), "cross_assets": validate.cross_assets(d), "duplicate_keys": validate.duplicate_keys(d), "split_runs": validate.split_runs(d), "pairs": d.select(*validate.ID).distinct()}
@@ -362,17 +374,18 @@ def component_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query(f"{_DAMAGED} SELECT 'U0_view' AS symbol, CAST(2 AS BIGINT) AS n_identities WHERE EXISTS (SELECT 1 FROM dmg WHERE y_symbol = 'U0_view')")
+@query(f"""{_DAMAGED}, sides AS (SELECT x_symbol AS symbol, 'c' AS h FROM dmg UNION ALL SELECT y_symbol, CASE WHEN y_symbol = 'U0_view' AND win = 1 THEN 'd' ELSE 'c' END FROM dmg)
+ SELECT symbol, count(DISTINCT h) AS n_identities FROM sides GROUP BY symbol HAVING n_identities > 1""")
 def cache_identity_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.inconsistent_caches(_damaged(spark, sf_dir)).select("symbol", "n_identities")
 
 
-@query(f"{_DAMAGED}, w AS (SELECT * FROM dmg WHERE win < 20) SELECT x_symbol, y_symbol, count(DISTINCT lag_ms) AS n_lags, CAST(max(CASE WHEN lag_ms = 0 THEN 1 ELSE 0 END) AS INTEGER) AS has_zero FROM w GROUP BY ALL HAVING n_lags <> 13 OR has_zero <> 1")
+@query(f"""{_DAMAGED}, w AS (SELECT x_symbol, y_symbol, win, count(DISTINCT lag_ms) AS n_lags, CAST(max(CASE WHEN lag_ms = 0 THEN 1 ELSE 0 END) AS INTEGER) AS has_zero FROM dmg GROUP BY ALL HAVING n_lags <> 13 OR has_zero <> 1)
+ SELECT x_symbol, y_symbol, min(n_lags) AS n_lags, min(has_zero) AS has_zero, count(*) AS n_windows FROM w GROUP BY ALL""")
 def lag_grid_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs with a window whose lags are not complete, by the fewest lags of such a window. The SQL looks at
-    windows 0 to 19 alone; of the planted fault, which stands in window 0 to 25, it says the same."""
+    """Pairs with a window whose lags are not complete, by the fewest lags of such a window, and how many windows."""
     d = validate.incomplete_lags(_damaged(spark, sf_dir), len(v.LAGS_MS), [*_GROUP, "win"])
-    return d.groupBy(*_GROUP).agg(F.min("n_lags").alias("n_lags"), F.min("has_zero").alias("has_zero"))
+    return d.groupBy(*_GROUP).agg(F.min("n_lags").alias("n_lags"), F.min("has_zero").alias("has_zero"), F.count("*").alias("n_windows"))
 
 
 @query(f"{_DAMAGED}, w AS (SELECT x_symbol, y_symbol, lag_ms, count(*) AS n FROM dmg GROUP BY ALL) SELECT x_symbol, y_symbol, min(n) AS min_windows, max(n) AS max_windows FROM w GROUP BY ALL HAVING min_windows <> max_windows")
@@ -386,13 +399,19 @@ _DAY = 86_400 * 10**9
 _HOUR = 3_600 * 10**9
 
 
-@query(f"""WITH {v.Q}, s AS (SELECT DISTINCT symbol, epoch_us(hour) * 1000 AS a FROM q WHERE ts >= TIMESTAMP '{v.START}' AND ts < TIMESTAMP '{v.END}'),
- t AS (SELECT symbol, a, a + {_HOUR} AS b FROM s UNION ALL SELECT symbol, {v.START_NS}, {v.START_NS} FROM (SELECT DISTINCT symbol FROM s) UNION ALL SELECT symbol, {v.END_NS}, {v.END_NS} FROM (SELECT DISTINCT symbol FROM s)),
- g AS (SELECT *, max(b) OVER (PARTITION BY symbol ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM t) SELECT symbol, 'gap' AS problem, far AS from_ns, a AS to_ns FROM g WHERE far < a""")
+@query(f"""WITH {v.Q}, s AS (SELECT DISTINCT symbol, epoch_us(hour) * 1000 AS a, epoch_us(hour) * 1000 + CASE WHEN hour(hour) % 5 = 0 THEN 2 ELSE 1 END * {_HOUR} AS b FROM q),
+ s1 AS (SELECT * FROM s WHERE b > {v.START_NS} AND a < {v.END_NS}), x AS (SELECT DISTINCT symbol, epoch_us(hour) * 1000 AS a, epoch_us(hour) * 1000 + {_HOUR} AS b FROM q WHERE event_ts IS NULL),
+ o AS (SELECT *, max(b) OVER (PARTITION BY symbol ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM s1),
+ t AS (SELECT * FROM s1 UNION ALL SELECT * FROM x UNION ALL SELECT DISTINCT symbol, {v.START_NS}, {v.START_NS} FROM s UNION ALL SELECT DISTINCT symbol, {v.END_NS}, {v.END_NS} FROM s),
+ g AS (SELECT *, max(b) OVER (PARTITION BY symbol ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM t)
+ SELECT symbol, 'gap' AS problem, far AS from_ns, a AS to_ns FROM g WHERE far < a AND a <= {v.END_NS} AND far >= {v.START_NS} UNION ALL SELECT symbol, 'overlap', a, least(far, b) FROM o WHERE far > a""")
 def coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = c.epoch_ns(F.col("hour"))
-    spans = v.quotes(spark, sf_dir).select("symbol", at.alias("start_ns"), (at + F.lit(_HOUR)).alias("end_ns")).distinct()
-    return validate.coverage_gaps(spans, ["symbol"], v.START_NS, v.END_NS)
+    """Chunks of one hour, every fifth of two: gaps that no excluded hour fills, and overlaps."""
+    q, at = v.quotes(spark, sf_dir), c.epoch_ns(F.col("hour"))
+    last = F.when(F.hour("hour") % 5 == 0, 2).otherwise(1).cast("long") * F.lit(_HOUR)
+    spans = q.select("symbol", at.alias("start_ns"), (at + last).alias("end_ns")).distinct()
+    out = v.excluded(q).select("symbol", at.alias("from_ns"), (at + F.lit(_HOUR)).alias("to_ns"))
+    return validate.coverage_gaps(spans, ["symbol"], v.START_NS, v.END_NS, out)
 
 
 # ---- latency
@@ -491,14 +510,3 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.csv(spark, at, ", ".join(f"{n} {k}" for n, k in o.dtypes), required=("o_orderkey",))
 
 
-@query()
-def catalog_from_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A tree of files, two a day, is written, then the tables universe and pairs are found in it."""
-    at = folder(spark, "tree")
-    q = v.quotes(spark, sf_dir)
-    name = F.element_at(F.array(*map(F.lit, ("XRPUSDT", "DOGEUSDT", "ETHUSDT"))), (F.col("event_id") % 3 + 1).cast("int"))
-    q = q.withColumns({"symbol": name, "recv_time_us": F.col("ts"), "date": F.to_date("ts"), "hour": F.when(F.hour("ts") < 12, "00").otherwise("12")})
-    for e, m in (("binance", "perp"), ("bybit", "perp"), ("binance", "spot")):
-        part = q.where((F.col("exchange") == e) & (F.col("market_type") == m)).select("symbol", "date", "hour", "recv_time_us", "bid_price", "ask_price", "bid_qty", "ask_qty")
-        part.repartition("symbol", "date", "hour").write.partitionBy("symbol", "date", "hour").parquet(f"{at}/{e}/{m}/bbo")
-    return catalog.universe(spark, at)["universe"].drop("parquet_glob")
