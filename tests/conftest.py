@@ -12,7 +12,7 @@ def spark(tmp_path_factory):
     from wakelag.session import build
 
     s = build(
-        "tests", "local[4]",
+        "tests", "local[8]",
         **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "3g", "spark.checkpoint.dir": f"file://{tmp_path_factory.mktemp('shared')}", "spark.ui.showConsoleProgress": "false", "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse"))},
     )
     s.sparkContext.setLogLevel("ERROR")
