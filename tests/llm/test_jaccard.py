@@ -53,7 +53,6 @@ def test_brute_force_on_edited_copies(spark, monkeypatch, k, percent, seed, step
     monkeypatch.setattr(J, "TILE_SHINGLES", 600)
     monkeypatch.setattr(J, "TILE", 8)
     monkeypatch.setattr(J, "HOST", 3)
-    monkeypatch.setattr(J, "PARTNERS", 3)
     monkeypatch.setattr(J, "STEP", step)
     rng = random.Random(seed)
     word = lambda: rng.choice("abcdefghijklmnop") + rng.choice("xyz")
