@@ -100,7 +100,7 @@ def hash_of_file(spark: SparkSession, path: str) -> str:
 
 
 def footers(paths: DataFrame, path: str = "path") -> DataFrame:
-    """(path, columns) from the Parquet footer of each file, read where the task runs. For local and
+    """(path, columns, rows) from the Parquet footer of each file, read where the task runs. For local and
     mounted file systems, or those that Arrow opens by address."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,13 +109,15 @@ def footers(paths: DataFrame, path: str = "path") -> DataFrame:
 
         for batch in batches:
             at = batch.column(0).to_pylist()
-            names = []
+            names, rows = [], []
             for p in at:
                 system, inner = fs.FileSystem.from_uri(p if "://" in p else "file://" + p.removeprefix("file:"))
-                names.append(pq.read_schema(inner, filesystem=system).names)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.string()), pa.array(names, pa.list_(pa.string()))], ["path", "columns"])
+                found = pq.read_metadata(inner, filesystem=system)
+                names.append(found.schema.to_arrow_schema().names)
+                rows.append(found.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.string()), pa.array(names, pa.list_(pa.string())), pa.array(rows, pa.int64())], ["path", "columns", "rows"])
 
-    return paths.select(F.col(path).alias("path")).mapInArrow(run, "path string, columns array<string>")
+    return paths.select(F.col(path).alias("path")).mapInArrow(run, "path string, columns array<string>, rows long")
 
 
 def schema_problems(found: DataFrame, required: Sequence[str]) -> DataFrame:
