@@ -57,6 +57,26 @@ def drop(spark: SparkSession, *paths: str) -> None:
         _delete(spark._jvm, spark._jsc.hadoopConfiguration(), p)
 
 
+def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Arrow batches of `rows` rows between JVM and Python workers, in place of 10,000: a batch of texts stands in
+    memory several times on either side. A session that sets the number itself keeps it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(rows))
+
+
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = 10_000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at least `rows` rows (the last one may have fewer)."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def kept(df: DataFrame, path: str) -> DataFrame:
     """df written to `path` as Parquet and read back: plans that follow know its size."""
     df.write.parquet(path)

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wakelag.llm.common import cut, kept, scratch, text_slices
+from wakelag.llm.common import cut, gathered, kept, scratch, small_batches, text_slices
 from wakelag.llm.components import components
 
 #: Bits of the smallest and largest bitmap; between, twice as many as a set has shingles, or
@@ -168,7 +168,7 @@ def matches(classes: DataFrame, buckets: int, percent: int) -> DataFrame:
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in gathered(batches):
             lists = batch.column(2)
             h = lists.flatten().to_numpy().view(np.uint64)
             if not len(h):
@@ -559,6 +559,7 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5,
     repeat with another text count as one document that has both sets. An empty table gives no rows;
     other columns of df are not read.
     """
+    small_batches(df.sparkSession)
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     common = common_shingles(rows, "id", "text", size)
     sets = cut(profile(rows, size, percent, common))

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from wakelag.llm.common import held_out, text_slices
+from wakelag.llm.common import held_out, small_batches, text_slices
 
 #: Documents a language is learned from, at most: those of the smallest hashes. It bounds what is learned from.
 SAMPLE = 200
@@ -323,6 +323,7 @@ def identify(df: DataFrame, model: Model, text: str = "text", label: str = "lang
     every text if no language was learned. Columns of df with the new names are replaced; rows stay one
     for one.
     """
+    small_batches(df.sparkSession)
     kept = [x for x in df.schema.fields if x.name not in (label, score)]
     names = [x.name for x in kept]
 
