@@ -244,3 +244,24 @@ def test_streaming_gaps_equal_batch(spark, tmp_path):
             want.append((k, last[k][0], ns, round(math.log(p) - math.log(last[k][1]), 9)))
         last[k] = (ns, p)
     assert got == sorted(want)
+
+
+def test_streaming_gaps_keep_quotes_of_one_time(spark, tmp_path):
+    import math
+
+    from wakelag.streaming import carried
+
+    t = datetime(2026, 7, 1)
+    at = lambda n: int((t - datetime(1970, 1, 1)).total_seconds() + n) * 10**9
+    schema = "symbol string, ts timestamp, price double, seq long"
+    # the second batch goes on at the first one's last time; its row of an earlier time is too late
+    batches = [[(0, 8.0, 3), (0, 2.0, 1), (0, 4.0, 2), (5, 1.0, 4)], [(5, 3.0, 6), (5, 6.0, 5), (1, 7.0, 9)]]
+    for batch in batches:
+        spark.createDataFrame([("A", t + timedelta(seconds=n), p, s) for n, p, s in batch], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = carried.gaps(s, ["symbol"], ["seq"]).writeStream.format("memory").queryName("tied").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    got = sorted((r["start_ns"], r["end_ns"], round(r["ret"], 9)) for r in spark.table("tied").collect())
+    steps = [(0, 2, 0, 4), (0, 4, 0, 8), (0, 8, 5, 1), (5, 1, 5, 6), (5, 6, 5, 3)]
+    assert got == sorted((at(a), at(b), round(math.log(y / x), 9)) for a, x, b, y in steps)

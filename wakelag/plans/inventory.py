@@ -301,9 +301,9 @@ def _stream(d: DataFrame, spark: SparkSession) -> DataFrame:
 
 @query(f"WITH {v.Q}, {v.enriched()}, l AS (SELECT symbol, ts, lag(ts) OVER w AS pt, ln(price) - ln(lag(price) OVER w) AS ret FROM e WHERE is_clean WINDOW w AS (PARTITION BY symbol ORDER BY ts)) SELECT symbol, epoch_us(pt) * 1000 AS start_ns, epoch_us(ts) * 1000 AS end_ns, round(ret, 9) AS ret FROM l WHERE pt IS NOT NULL")
 def stream_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gaps and returns by state that is kept between micro-batches."""
-    clean = quotes.enrich(v.quotes(spark, sf_dir)).where("is_clean").select("symbol", "ts", "price")
-    d = _run(carried.gaps(_stream(clean, spark), ["symbol"]), spark, "gaps")
+    """Gaps and returns by state that is kept between micro-batches; quotes of one time by their sequence."""
+    clean = quotes.enrich(v.quotes(spark, sf_dir)).where("is_clean").select("symbol", "ts", "price", "seq")
+    d = _run(carried.gaps(_stream(clean, spark), ["symbol"], ["seq"]), spark, "gaps")
     return d.select("symbol", "start_ns", "end_ns", r9(F.col("ret"), "ret"))
 
 
