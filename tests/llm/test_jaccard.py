@@ -129,3 +129,29 @@ def test_query_equals_sql(spark):
     got = queries.op6_jaccard_join(spark, sf)
     want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.oracle_sql()['op6_jaccard_join']})").fetchall()
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_copies_of_a_large_table_are_never_sent_whole(spark, monkeypatch):
+    monkeypatch.setattr(J, "LOOKUP", 100, raising=False)
+    rows = spark.range(3000).selectExpr("id", "id AS host", "100L + id % 3 AS n")
+    for side in J.grid(rows, rows, "host", 80, F.lit(1), 64):
+        assert "BroadcastHashJoin" not in side._jdf.queryExecution().executedPlan().toString()
+        assert side.select("id").distinct().count() == 3000
+
+
+def test_written_tables_leave_no_shuffle_files(spark, tmp_path):
+    import time
+
+    from wakelag.llm.common import kept
+
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    blocks = lambda: {b for b in disk.getAllBlocks().mkString("\n").split("\n") if b.startswith("shuffle_")}
+    before, name = blocks(), "spark.sql.autoBroadcastJoinThreshold"
+    limit = spark.conf.get(name)
+    got = kept(spark.range(5000).repartition(4, "id").groupBy((F.col("id") % 7).alias("k")).count(), str(tmp_path / "t"))
+    for _ in range(50):  # files go in the background
+        if not blocks() - before:
+            break
+        time.sleep(0.1)
+    assert not blocks() - before and spark.conf.get(name) == limit
+    assert sorted(r["k"] for r in got.collect()) == list(range(7))

@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -77,10 +78,37 @@ def gathered(batches: Iterator[pa.RecordBatch], rows: int = 10_000) -> Iterator[
         yield pa.concat_batches(held)
 
 
+#: Bytes on disk of a table that `kept` lets a join send to every task: in memory it takes several times that,
+#: and the driver builds it.
+MOST_SENT = 1 << 20
+
+
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """The session's settings (dots as two underscores) changed for a while."""
+    names = {k: k.replace("__", ".") for k in values}
+    before = {k: spark.conf.get(n, None) for k, n in names.items()}
+    try:
+        for k, value in values.items():
+            spark.conf.set(names[k], value)
+        yield
+    finally:
+        for k, value in before.items():
+            spark.conf.unset(names[k]) if value is None else spark.conf.set(names[k], value)
+
+
+def sent(spark: SparkSession) -> int:
+    """Bytes of a table that joins of the session may send to every task, MOST_SENT at most."""
+    return min(MOST_SENT, spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
+
+
 def kept(df: DataFrame, path: str) -> DataFrame:
-    """df written to `path` as Parquet and read back: plans that follow know its size."""
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    """df written to `path` as Parquet and read back: plans that follow know its size. The shuffle files behind it go
+    at once, not when the driver happens to collect its garbage."""
+    spark = df.sparkSession
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold=str(sent(spark)), spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def free(name: str, taken: Sequence[str]) -> str:

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wakelag.llm.common import cut, gathered, kept, scratch, small_batches, text_slices
+from wakelag.llm.common import drop, gathered, kept, scratch, small_batches, text_slices
 from wakelag.llm.components import components
 
 #: Bits of the smallest and largest bitmap; between, twice as many as a set has shingles, or
@@ -39,6 +39,8 @@ HOST = 8
 TILE, TILE_SHINGLES = 1024, 400_000
 #: Tasks that the rows of one shingle are dealt to where they meet what is known of it.
 SPREAD = 16
+#: Rows of a table of what is known that goes to every task instead.
+LOOKUP = 20_000
 #: Words whose hashes a worker keeps.
 CACHE = 300_000
 _PRIME = np.uint64(0x9E3779B185EBCA87)
@@ -124,7 +126,9 @@ def common_shingles(df: DataFrame, key: str, text: str, size: int) -> tuple[np.n
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
     counts = picked.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
-    got = counts.orderBy(F.col("n").desc(), "h").limit(MOST_COMMON).toArrow()
+    path = scratch(df.sparkSession, "common")
+    got = kept(counts, path).orderBy(F.col("n").desc(), "h").limit(MOST_COMMON).toArrow()
+    drop(df.sparkSession, path)
     h, n = got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy()
     ranks = np.empty(len(h), dtype=np.int64)
     ranks[np.lexsort((h, n))] = np.arange(len(h))
@@ -272,10 +276,14 @@ def small(df: DataFrame) -> DataFrame:
     return kept(df, scratch(df.sparkSession, "small"))
 
 
-def by_shingle(rows: DataFrame, each: DataFrame, how: str = "inner") -> DataFrame:
-    """rows (h, id, ...) joined to each, a row a shingle h, which stands in SPREAD tasks: so do the rows."""
+def spread(rows: DataFrame, each: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """rows (keys, id, ...) joined to each, a written table with one row for a key that any number of rows may have.
+    One of LOOKUP rows or fewer goes to every task; each row of a larger one stands in SPREAD tasks, and the rows
+    are dealt to them. That one is never sent whole: estimates of its size don't count the copies."""
+    if each.limit(LOOKUP + 1).count() <= LOOKUP:
+        return rows.join(F.broadcast(each), keys, how)
     places = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long")))
-    return rows.withColumn("__s", F.pmod(F.xxhash64("id"), F.lit(SPREAD))).join(each.withColumn("__s", places), ["h", "__s"], how).drop("__s")
+    return rows.withColumn("__s", F.pmod(F.xxhash64("id"), F.lit(SPREAD))).join(each.withColumn("__s", places).hint("merge"), [*keys, "__s"], how).drop("__s")
 
 
 def bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -319,7 +327,9 @@ def arrays(df: DataFrame, ids: DataFrame, size: int) -> DataFrame:
 
 def verify(pairs: DataFrame, df: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold, by intersecting sorted arrays."""
-    sets = arrays(df, cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), size)
+    path = scratch(df.sparkSession, "asked")
+    sets = arrays(df, kept(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), path), size)
+    drop(df.sparkSession, path)
     both = pairs.join(sets.withColumnsRenamed({"id": "a", "set": "x"}), "a").join(sets.withColumnsRenamed({"id": "b", "set": "y"}), "b").select("a", "b", "x", "y")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -418,15 +428,10 @@ def grid(left: DataFrame, right: DataFrame, key: str, percent: int, weight: Colu
     left, right = left.withColumn("cell", low), right.withColumn("cell", F.explode(F.array(low - 1, low, low + 1)))
     count = lambda d, to: d.groupBy(key, "cell").agg(F.greatest(F.ceil(F.sum(weight) / most), F.lit(1)).cast("int").alias(to))
     sizes = small(count(left, "rows_").join(count(right, "columns_"), [key, "cell"]))  # a row a cell
-    places = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long")))
-
-    def sized(d: DataFrame) -> DataFrame:
-        return d.withColumn("__s", F.pmod(F.xxhash64("id"), F.lit(SPREAD))).join(sizes.withColumn("__s", places), [key, "cell", "__s"]).drop("__s")
-
     piece = lambda many: F.pmod(F.xxhash64("id", F.lit(1)), F.col(many)).cast("int")
     all_ = lambda many: F.explode(F.sequence(F.lit(0), F.col(many) - 1))
-    left = sized(left).withColumn("i", piece("rows_")).withColumn("j", all_("columns_"))
-    right = sized(right).withColumn("j", piece("columns_")).withColumn("i", all_("rows_"))
+    left = spread(left, sizes, [key, "cell"]).withColumn("i", piece("rows_")).withColumn("j", all_("columns_"))
+    right = spread(right, sizes, [key, "cell"]).withColumn("j", piece("columns_")).withColumn("i", all_("rows_"))
     return left.drop("rows_", "columns_"), right.drop("rows_", "columns_")
 
 
@@ -459,9 +464,8 @@ def group_tiles(groups: DataFrame, percent: int, tile: int | None = None) -> Dat
     many = small(d.groupBy("h", "cell").agg(F.ceil(F.count("*") / tile).cast("int").alias("many")))
     below = many.select("h", (F.col("cell") + 1).alias("cell"), F.col("many").alias("under"))
     above = many.select("h", (F.col("cell") - 1).alias("cell"), F.col("many").alias("over"))
-    known = many.join(below, ["h", "cell"], "left").join(above, ["h", "cell"], "left")
-    places = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long")))
-    d = d.withColumn("__s", F.pmod(F.xxhash64("id"), F.lit(SPREAD))).join(known.withColumn("__s", places), ["h", "cell", "__s"])
+    known = small(many.join(below, ["h", "cell"], "left").join(above, ["h", "cell"], "left"))
+    d = spread(d, known, ["h", "cell"])
     d = d.withColumn("piece", F.pmod(F.xxhash64("id", F.lit(1)), F.col("many")).cast("int"))
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     same = d.withColumn("other", numbers("many")).withColumns({"i": F.least("piece", "other"), "j": F.greatest("piece", "other"), "side": F.col("piece")})
@@ -544,9 +548,8 @@ def relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
     over = links.join(labels.select(F.col("id").alias("a"), F.col("label").alias("p")), "a", "left").join(labels.select(F.col("id").alias("b"), F.col("label").alias("q")), "b", "left")
     over = components(over.select(F.coalesce("p", "a").alias("a"), F.coalesce("q", "b").alias("b")))
     # a component's members, which may be many, meet its new label in several tasks; ids that had no link are new
-    salted = over.withColumn("__s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long")))).select(F.col("id").alias("mid"), F.col("label").alias("to"), "__s")
-    old = labels.select("id", F.col("label").alias("mid"), F.pmod(F.xxhash64("id"), F.lit(SPREAD)).alias("__s")).join(salted, ["mid", "__s"], "left").select("id", F.coalesce("to", "mid").alias("label"))
-    return cut(old.unionByName(over.join(labels.select("id"), "id", "left_anti")))
+    old = spread(labels.select("id", F.col("label").alias("mid")), over.select(F.col("id").alias("mid"), F.col("label").alias("to")), ["mid"], "left").select("id", F.coalesce("to", "mid").alias("label"))
+    return small(old.unionByName(over.join(labels.select("id"), "id", "left_anti")))
 
 
 def join(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -559,30 +562,40 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5,
     repeat with another text count as one document that has both sets. An empty table gives no rows;
     other columns of df are not read.
     """
-    small_batches(df.sparkSession)
+    spark = df.sparkSession
+    small_batches(spark)
+    root = scratch(spark, "jaccard")
+    hold = lambda what, d: kept(d, f"{root}/{what}")
+    gone = lambda *what: drop(spark, *[f"{root}/{x}" for x in what])
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     common = common_shingles(rows, "id", "text", size)
-    sets = cut(profile(rows, size, percent, common))
-    same = cut(sets.where("n > 0 and id is not null").groupBy("k1", "k2", "n").agg(F.min("id").alias("first")))
+    sets = hold("sets", profile(rows, size, percent, common))
+    same = hold("same", sets.where("n > 0 and id is not null").groupBy("k1", "k2", "n").agg(F.min("id").alias("first")))
     reps = same.select("k1", "k2", F.col("first").alias("id"))
-    classes = cut(sets.join(reps, ["id", "k1", "k2"], "left_semi").select("id", "n", "bits", "prefix"))
+    classes = hold("classes", sets.join(reps, ["id", "k1", "k2"], "left_semi").select("id", "n", "bits", "prefix"))
+    digests = hold("digests", sets.select("id", "n", "k1", "k2"))
+    gone("sets")
     total = classes.agg(F.sum(F.size("prefix"))).first()[0] or 0
 
-    found = cut(matches(classes, max(1, -(-total // BUCKET)), percent))
-    thin = classes.select("id", "n", "bits")
-    tried = cut(found.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
+    found = hold("found", matches(classes, max(1, -(-total // BUCKET)), percent))
+    thin = hold("thin", classes.select("id", "n", "bits"))
+    gone("classes")
+    tried = hold("tried", found.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
     best = bounded(tried, thin, percent)
-    best = cut(best.groupBy("b").agg(F.max_by("a", F.struct("most", -F.col("a"))).alias("a")))
-    links = cut(verify(best.select("a", "b"), rows, size, percent))
-    labels = cut(components(links))
+    best = hold("best", best.groupBy("b").agg(F.max_by("a", F.struct("most", -F.col("a"))).alias("a")))
+    links = hold("links", verify(best.select("a", "b"), rows, size, percent))
+    gone("tried")
+    labels = components(links)
 
     # groups whose classes are not all in one component yet, but for pairs that were just tried
     known = lambda d, id_, to: d.join(labels.select(F.col("id").alias(id_), F.col("label").alias("__l")), id_, "left").withColumn(to, F.coalesce("__l", id_)).drop("__l")
-    named = cut(known(known(found, "leader", "p"), "id", "q"))
+    named = hold("named", known(known(found, "leader", "p"), "id", "q"))
+    gone("found", "links")
     mixed = named.groupBy("h").agg(F.min(F.least("p", "q")).alias("low"), F.max(F.greatest("p", "q")).alias("high"), (F.count("*") + 1).alias("members"))
-    open_ = by_shingle(named, small(mixed.where("low <> high"))).join(best.select(F.col("a").alias("leader"), F.col("b").alias("id"), F.lit(True).alias("tried")), ["leader", "id"], "left")
+    open_ = spread(named, hold("mixed", mixed.where("low <> high")), ["h"]).join(best.select(F.col("a").alias("leader"), F.col("b").alias("id"), F.lit(True).alias("tried")), ["leader", "id"], "left")
     open_ = open_.where("members > 2 OR tried IS NULL")
-    members = cut(open_.select("h", "id", F.col("q").alias("label")).unionByName(open_.select("h", F.col("leader").alias("id"), F.col("p").alias("label"))).distinct())
+    open_ = hold("open", open_)
+    members = hold("members", open_.select("h", "id", F.col("q").alias("label")).unionByName(open_.select("h", F.col("leader").alias("id"), F.col("p").alias("label"))).distinct())
 
     def inside(roots: DataFrame, c: str) -> DataFrame:
         """(c, id, n): the classes of the components named in c, roots without links included."""
@@ -591,33 +604,37 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5,
 
     # a group's large component meets the others once, not once a group; the others meet group by group.
     # Of each two components that bitmaps can't keep apart, the likeliest two classes are tried first
+    gone("named", "mixed", "best", "open")
     counts = members.groupBy("h", "label").agg(F.count("*").alias("m")).where(F.col("m") >= HOST)
-    placed = by_shingle(members, counts.groupBy("h").agg(F.max_by("label", F.struct("m", -F.col("label"))).alias("host")), "left")
-    placed = cut(placed.where("host IS NULL OR label <> host"))
+    placed = spread(members, hold("hosts", counts.groupBy("h").agg(F.max_by("label", F.struct("m", -F.col("label"))).alias("host"))), ["h"], "left")
+    placed = hold("placed", placed.where("host IS NULL OR label <> host"))
+    gone("members", "hosts")
     first = inside(placed.where("host IS NOT NULL").select("host").distinct(), "host").join(thin.select("id", "bits"), "id")
     visitors = placed.where("host IS NOT NULL").select("id", "label", "host").distinct().join(thin, "id")
-    torn = placed.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("h")
-    apart = rivals(group_tiles(by_shingle(placed.select("h", "id", "label"), torn).join(thin, "id"), percent).unionByName(host_tiles(first, visitors, percent)), percent)
-    apart = cut(apart.groupBy("p", "q").agg(F.max_by(F.struct("a", "b"), F.struct("most", -F.col("a"), -F.col("b"))).alias("best")).select("p", "q", "best.a", "best.b"))
-    once = relabel(labels, cut(verify(apart.select("a", "b").distinct(), rows, size, percent)))
+    torn = hold("torn", placed.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("h"))
+    apart = rivals(group_tiles(spread(placed.select("h", "id", "label"), torn, ["h"]).join(thin, "id"), percent).unionByName(host_tiles(first, visitors, percent)), percent)
+    likeliest = hold("likeliest", apart.groupBy("p", "q").agg(F.max_by(F.struct("a", "b"), F.struct("most", -F.col("a"), -F.col("b"))).alias("best")).select("p", "q", "best.a", "best.b"))
+    gone("placed", "torn")
+    once = relabel(labels, hold("tested", verify(likeliest.select("a", "b").distinct(), rows, size, percent)))
     of = lambda d, c, to: d.join(once.select(F.col("id").alias(c), F.col("label").alias("__l")), c, "left").withColumn(to, F.coalesce("__l", c)).drop("__l")
-    apart = cut(of(of(apart.select("p", "q"), "p", "l"), "q", "r").where("l <> r").select("p", "q"))
+    apart = hold("apart", of(of(likeliest.select("p", "q"), "p", "l"), "q", "r").where("l <> r").select("p", "q"))
 
     # where that failed, every class of the smaller component visits the larger one's tiles
     grown = labels.groupBy("label").agg(F.count("*").alias("m"))
     for c in "pq":
         apart = apart.join(grown.select(F.col("label").alias(c), F.col("m").alias(f"m{c}")), c, "left").withColumn(f"m{c}", F.coalesce(f"m{c}", F.lit(1)))
-    apart = cut(apart.select(F.when(F.col("mp") < F.col("mq"), F.col("q")).otherwise(F.col("p")).alias("host"), F.when(F.col("mp") < F.col("mq"), F.col("p")).otherwise(F.col("q")).alias("guest")).distinct())
+    visited = hold("visited", apart.select(F.when(F.col("mp") < F.col("mq"), F.col("q")).otherwise(F.col("p")).alias("host"), F.when(F.col("mp") < F.col("mq"), F.col("p")).otherwise(F.col("q")).alias("guest")).distinct())
 
-    lodged = cut(inside(apart.select("host").distinct(), "host"))
+    lodged = hold("lodged", inside(visited.select("host").distinct(), "host"))
     sizes = lodged.groupBy("host").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    visits = apart.join(inside(apart.select("guest").distinct(), "guest"), "guest").join(sizes, "host").where(f"100 * n >= {percent} * low AND 100 * high >= {percent} * n")
-    visits = cut(visits.select("id", "host", "n").distinct())
-    sets_ = arrays(rows, cut(lodged.select("id").unionByName(visits.select("id")).distinct()), size)
-    labels = relabel(once, cut(guests(visits, lodged, sets_, percent))).withColumnRenamed("id", "first")
-
-    final = cut(same.join(labels, "first", "left").select("k1", "k2", F.col("first"), F.coalesce("label", "first").alias("label")))
-    out = sets.select("id", "n", "k1", "k2").join(final, ["k1", "k2"], "left")
+    visits = visited.join(inside(visited.select("guest").distinct(), "guest"), "guest").join(sizes, "host").where(f"100 * n >= {percent} * low AND 100 * high >= {percent} * n")
+    visits = hold("visits", visits.select("id", "host", "n").distinct())
+    sets_ = arrays(rows, hold("asked", lodged.select("id").unionByName(visits.select("id")).distinct()), size)
+    labels = relabel(once, hold("joined", guests(visits, lodged, sets_, percent))).withColumnRenamed("id", "first")
+
+    final = hold("final", same.join(labels, "first", "left").select("k1", "k2", F.col("first"), F.coalesce("label", "first").alias("label")))
+    gone("same", "thin", "likeliest", "tested", "apart", "visited", "lodged", "visits", "asked", "joined")
+    out = digests.join(final, ["k1", "k2"], "left")
     own = F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("id"))
     reached = F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), own.alias("class_id"), reached.alias("component_id"))
