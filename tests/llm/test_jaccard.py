@@ -155,3 +155,8 @@ def test_written_tables_leave_no_shuffle_files(spark, tmp_path):
         time.sleep(0.1)
     assert not blocks() - before and spark.conf.get(name) == limit
     assert sorted(r["k"] for r in got.collect()) == list(range(7))
+
+
+def test_brute_force_where_lookups_are_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(J, "LOOKUP", 0, raising=False)
+    test_brute_force_on_edited_copies(spark, monkeypatch, 3, 90, 1, 4_000_000)

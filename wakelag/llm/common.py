@@ -58,6 +58,12 @@ def drop(spark: SparkSession, *paths: str) -> None:
         _delete(spark._jvm, spark._jsc.hadoopConfiguration(), p)
 
 
+def collect(spark: SparkSession) -> None:
+    """Has the driver collect its garbage: what Spark keeps for plans that are done (tables sent to every task, on the
+    driver and the executors) goes only then, and a driver with room to spare seldom does so itself."""
+    spark._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
     """Arrow batches of `rows` rows between JVM and Python workers, in place of 10,000: a batch of texts stands in
     memory several times on either side. A session that sets the number itself keeps it."""

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wakelag.llm.common import drop, gathered, kept, scratch, small_batches, text_slices
+from wakelag.llm.common import collect, drop, gathered, kept, scratch, small_batches, text_slices
 from wakelag.llm.components import components
 
 #: Bits of the smallest and largest bitmap; between, twice as many as a set has shingles, or
@@ -566,7 +566,11 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5,
     small_batches(spark)
     root = scratch(spark, "jaccard")
     hold = lambda what, d: kept(d, f"{root}/{what}")
-    gone = lambda *what: drop(spark, *[f"{root}/{x}" for x in what])
+
+    def gone(*what: str) -> None:
+        drop(spark, *[f"{root}/{x}" for x in what])
+        collect(spark)
+
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     common = common_shingles(rows, "id", "text", size)
     sets = hold("sets", profile(rows, size, percent, common))
