@@ -1,8 +1,16 @@
+import os
+import re
+
+import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from wakelag.llm.common import gathered, small_batches
+from wakelag.llm import jaccard
+from wakelag.llm.common import gathered, mapped, small_batches
+from wakelag.llm.langid import Model
 
 NAME = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def test_gathered_keeps_rows_and_order():
@@ -26,3 +34,59 @@ def test_a_set_batch_size_stays(spark):
         spark.conf.unset(NAME)
         if before is not None:
             spark.conf.set(NAME, before)
+
+
+def test_batches_are_bounded_in_bytes(spark):
+    before = spark.conf.get(BYTES, None)
+    try:
+        spark.conf.unset(BYTES)
+        small_batches(spark)
+        rows = spark.range(0, 100, 1, 1).select(F.expr("repeat('x', 100000)").alias("text"))
+        sizes = rows.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"]) for b in batches), "n long").collect()
+        assert sum(r.n for r in sizes) == 100
+        assert max(r.n for r in sizes) <= 12
+        spark.conf.set(BYTES, "123456")
+        small_batches(spark)
+        assert spark.conf.get(BYTES) == "123456"
+    finally:
+        spark.conf.unset(BYTES)
+        if before is not None:
+            spark.conf.set(BYTES, before)
+
+
+def _own() -> int:
+    """Bytes of this process that no file backs."""
+    with open("/proc/self/smaps_rollup") as f:
+        return 1024 * sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", f.read())))
+
+
+def test_a_worker_keeps_nothing_of_a_task(spark):
+    """Caches go, and so does the heap, when a task has ended."""
+
+    def state() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (os.getpid(), len(jaccard._words), _own())], ["worker", "words", "own"])
+
+    def fill(batches):
+        for _ in batches:
+            jaccard.shingles(" ".join(f"word{i}" for i in range(200_000)), 5)
+            yield state()
+
+    def look(batches):
+        yield from (state() for _ in batches)
+
+    schema = "worker long, words long, own long"
+    full = mapped(spark.range(0, 1, 1, 1), fill, schema, jaccard.forget).collect()[0]
+    after = spark.range(0, 64, 1, 64).mapInArrow(look, schema).collect()  # every waiting worker gets some
+    assert full.words == 200_000 and max(r.words for r in after) == 0
+    assert all(r.own < full.own - (10 << 20) for r in after if r.worker == full.worker)
+
+
+def test_forget_changes_no_score():
+    model = Model.fit([("en", "the cat and the dog"), ("de", "der hund und die katze")], ["the", " the", "hund", " d", "er"])
+    texts = ["the hund", None, "x" * 60 + " der", "und die the cat"]
+    first = model.predict(texts)
+    model.forget()
+    assert not {"_known", "_table", "_scorer", "_index"} & set(model.__dict__)
+    model.forget()
+    assert model.predict(texts) == first
+    assert np.isfinite(first[1]).all()

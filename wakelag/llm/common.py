@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -64,12 +65,38 @@ def collect(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
-    """Arrow batches of `rows` rows between JVM and Python workers, in place of 10,000: a batch of texts stands in
-    memory several times on either side. A session that sets the number itself keeps it."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name, None) is None:
-        spark.conf.set(name, str(rows))
+def small_batches(spark: SparkSession, rows: int = 2_000, most: int = 1 << 20) -> None:
+    """Arrow batches of `rows` rows and about `most` bytes (a larger row stands alone) between JVM and Python workers, in
+    place of 10,000 rows of any size: a batch stands in memory several times on either side, and rows of packed
+    shingles are long. A session that sets a number itself keeps it."""
+    for name, value in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", most)):
+        name = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, str(value))
+
+
+def release() -> None:
+    """Gives the system back what this process holds but does not use: Arrow's pool and, where the C library can
+    do so, its heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, forget: Callable[[], None] | None = None) -> DataFrame:
+    """mapInArrow whose Python worker keeps no memory of a task that has ended. Workers wait for later tasks beside the
+    JVM, and what they hold counts there, in stages without any Python too. forget: clears caches."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            if forget:
+                forget()
+            release()
+
+    return df.mapInArrow(whole, schema)
 
 
 def gathered(batches: Iterator[pa.RecordBatch], rows: int = 10_000) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wakelag.llm.common import collect, drop, gathered, kept, scratch, small_batches, text_slices
+from wakelag.llm.common import collect, drop, gathered, kept, mapped, scratch, small_batches, text_slices
 from wakelag.llm.components import components
 
 #: Bits of the smallest and largest bitmap; between, twice as many as a set has shingles, or
@@ -71,6 +71,11 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     return h[np.concatenate([[True], h[1:] != h[:-1]])]
 
 
+def forget() -> None:
+    """Clears the hashes that a worker keeps."""
+    _words.clear()
+
+
 def least_overlap(a, b, percent: int):
     """Shared shingles that sets of sizes a and b need at least."""
     return -(-percent * (a + b) // (100 + percent))
@@ -125,7 +130,7 @@ def common_shingles(df: DataFrame, key: str, text: str, size: int) -> tuple[np.n
                 h, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
-    counts = picked.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
+    counts = mapped(picked, run, "h long, n long", forget).groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
     path = scratch(df.sparkSession, "common")
     got = kept(counts, path).orderBy(F.col("n").desc(), "h").limit(MOST_COMMON).toArrow()
     drop(df.sparkSession, path)
@@ -152,7 +157,7 @@ def profile(df: DataFrame, size: int, percent: int, common: tuple[np.ndarray, np
                     ["id", "n", "k1", "k2", "bits", "prefix"],
                 )
 
-    return df.mapInArrow(run, "id long, n long, k1 long, k2 long, bits binary, prefix array<long>")
+    return mapped(df, run, "id long, n long, k1 long, k2 long, bits binary, prefix array<long>", forget)
 
 
 def reach(n: np.ndarray, place: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -244,8 +249,8 @@ def matches(classes: DataFrame, buckets: int, percent: int) -> DataFrame:
         if n:
             yield from step(whole)
 
-    packed = classes.select("id", "n", "prefix").mapInArrow(pack, "bucket int, rows binary")
-    return packed.repartition(buckets, "bucket").mapInArrow(group, "h long, leader long, id long")
+    packed = mapped(classes.select("id", "n", "prefix"), pack, "bucket int, rows binary")
+    return mapped(packed.repartition(buckets, "bucket"), group, "h long, leader long, id long")
 
 
 def _room(na, nb, ba: np.ndarray, bb: np.ndarray) -> np.ndarray:
@@ -299,7 +304,7 @@ def bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
                 keep = room >= least_overlap(na, nb, percent)
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).filter(pa.array(keep)) for i in range(2)), pa.array((room / (na + nb - room))[keep])], ["a", "b", "most"])
 
-    return both.mapInArrow(run, "a long, b long, most double")
+    return mapped(both, run, "a long, b long, most double")
 
 
 def arrays(df: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -322,7 +327,7 @@ def arrays(df: DataFrame, ids: DataFrame, size: int) -> DataFrame:
             for piece in text_slices(batch.filter(pa.array(asked.astype(bool))), "text"):
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([shingles(t, size).tobytes() for t in piece.column(2).to_pylist()], pa.binary())], ["id", "set"])
 
-    return df.where("id is not null").withColumn("spot", spot).select("id", "spot", "text").mapInArrow(run, "id long, set binary")
+    return mapped(df.where("id is not null").withColumn("spot", spot).select("id", "spot", "text"), run, "id long, set binary", forget)
 
 
 def verify(pairs: DataFrame, df: DataFrame, size: int, percent: int) -> DataFrame:
@@ -337,7 +342,7 @@ def verify(pairs: DataFrame, df: DataFrame, size: int, percent: int) -> DataFram
             keep = [reaches(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64), percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in range(2)], ["a", "b"])
 
-    return both.mapInArrow(test, "a long, b long")
+    return mapped(both, test, "a long, b long")
 
 
 def reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -408,7 +413,7 @@ def _tiles(df: DataFrame, keys: list[str], work, out: str = "a long, b long") ->
             yield put()
 
     dealt = df.select(*keys, "role", "id", "label", "set").repartition(*keys).sortWithinPartitions(*keys, "role", "id")
-    return dealt.mapInArrow(run, out)
+    return mapped(dealt, run, out)
 
 
 def band(n: Column, percent: int) -> Column:
@@ -538,7 +543,7 @@ def rivals(tiled: DataFrame, percent: int) -> DataFrame:
         if done:
             yield put()
 
-    return dealt.mapInArrow(run, "p long, q long, a long, b long, most double")
+    return mapped(dealt, run, "p long, q long, a long, b long, most double")
 
 
 def relabel(labels: DataFrame, links: DataFrame) -> DataFrame:

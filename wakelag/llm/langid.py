@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from wakelag.llm.common import held_out, small_batches, text_slices
+from wakelag.llm.common import held_out, mapped, small_batches, text_slices
 
 #: Documents a language is learned from, at most: those of the smallest hashes. It bounds what is learned from.
 SAMPLE = 200
@@ -265,6 +265,11 @@ class Model:
         get = self._known.__getitem__
         return [np.fromiter(b.values(), np.float64, len(b)) @ self._table[np.fromiter(map(get, b), np.int64, len(b))] if b else None for b in bags]
 
+    def forget(self) -> None:
+        """Drops what scoring has built; later calls build it again."""
+        for x in ("_index", "_scorer", "_known", "_table"):
+            self.__dict__.pop(x, None)
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         if not self.langs:
             return [UNDETERMINED] * len(texts), [0.0] * len(texts)
@@ -311,7 +316,7 @@ def fit(df: DataFrame, pieces: list[str], key: str = "doc_id", text: str = "text
                 bag = Counter(words_of(text))
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * max(1, len(bag)), pa.string()), pa.array([*bag] or [None], pa.string()), pa.array([*bag.values()] or [0], pa.int64())], ["lang", "word", "n"])
 
-    got = sample(df, key, text, lang).mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
+    got = mapped(sample(df, key, text, lang), run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
     rows = list(zip(*(got.column(i).to_pylist() for i in range(3)), strict=True))
     return Model.learn([r for r in rows if r[1] is not None], pieces, langs=sorted({r[0] for r in rows}))
 
@@ -334,7 +339,7 @@ def identify(df: DataFrame, model: Model, text: str = "text", label: str = "lang
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, label, score])
 
     schema = ", ".join([*(f"`{x.name}` {x.dataType.simpleString()}" for x in kept), f"`{label}` string", f"`{score}` double"])
-    return df.select(*[F.col(f"`{x}`") for x in names]).mapInArrow(run, schema)
+    return mapped(df.select(*[F.col(f"`{x}`") for x in names]), run, schema, model.forget)
 
 
 def default_pieces() -> list[str]:
