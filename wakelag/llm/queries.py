@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wakelag.llm import bpe, decontamination, fingerprints, hardnegatives, jaccard, langid, mixing, resharding, secrets, tokencounts, topk, toxicity
+from wakelag.llm import bpe, conversations, decontamination, fingerprints, hardnegatives, jaccard, langid, mixing, resharding, secrets, tokencounts, topk, toxicity
 from wakelag.llm.common import held_out, table
 
 
@@ -63,14 +63,18 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hardnegatives.mine(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.summary(conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations"))))
+
+
 def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
     return decontamination.digests(decontamination.find(docs, items))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_language_id, op3_secret_scan, op4_top_k, op5_resharding, op6_jaccard_join, op7_mixing, op8_toxicity, op9_token_counts, op10_fingerprints, op11_hard_negatives, op13_decontamination)}
+    return {f.__name__: f for f in (op1_bpe, op2_language_id, op3_secret_scan, op4_top_k, op5_resharding, op6_jaccard_join, op7_mixing, op8_toxicity, op9_token_counts, op10_fingerprints, op11_hard_negatives, op12_conversation_repair, op13_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_secret_scan": secrets.oracle(), "op4_top_k": topk.ORACLE, "op6_jaccard_join": jaccard.oracle(3, 90), "op7_mixing": mixing.oracle(), "op11_hard_negatives": hardnegatives.ORACLE, "op13_decontamination": decontamination.ORACLE}
+    return {"op3_secret_scan": secrets.oracle(), "op4_top_k": topk.ORACLE, "op6_jaccard_join": jaccard.oracle(3, 90), "op7_mixing": mixing.oracle(), "op11_hard_negatives": hardnegatives.ORACLE, "op12_conversation_repair": conversations.ORACLE, "op13_decontamination": decontamination.ORACLE}
