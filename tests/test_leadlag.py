@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from wakelag.operators import intervals, leadlag, overlap, quality, quotes, summary
+from wakelag.operators import intervals, lagged, leadlag, overlap, quality, quotes, summary
 
 MS = 1_000_000
 
@@ -42,23 +42,25 @@ def test_synchronous_intervals_have_unit_correlation(spark):
     assert (r[0]["cov"], r[0]["var_x"], r[0]["var_y"], r[0]["n_overlap"], r[0]["n_x"], r[0]["n_y"]) == (5, 5, 5, 2, 2, 2) and r[0]["corr"] == pytest.approx(1)
 
 
-@pytest.mark.parametrize("seed", range(4))
-@pytest.mark.parametrize("how", ["sweep", "bucketed"])
-def test_random_intervals_against_all_pairs(spark, seed, how):
-    rng = random.Random(seed)
-    data = {}
+def random_intervals(seed):
+    rng, data = random.Random(seed), {}
     for i in ("x", "y", "z"):
         at, out = rng.randrange(-60, 20), []
         while at < 420:
             at += rng.choice([0, 0, 0, 3, 11])
-            to = at + rng.choice([1, 2, 5, 17, 40])
+            to = at + rng.choice([1, 2, 5, 17, 40, 150])
             out.append((at * MS, to * MS, round(rng.uniform(-1, 1), 3)))
             at = to
         data[i] = out
-    rows = [(i, *r) for i, x in data.items() for r in x]
-    a, e, w, lags = 0, 390 * MS, 100 * MS, [-20, -10, 0, 10, 20]
-    join = overlap.sweep if how == "sweep" else lambda x, y, k, _: overlap.bucketed(x, y, k, 7 * MS)
-    d = leadlag.components(frame(spark, rows), pairs(spark, [("x", "y"), ("x", "z")]), lags, a, e, w, join=join)
+    return data, [(i, *r) for i, x in data.items() for r in x]
+
+
+@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("lags", [[-20, -10, 0, 10, 20], [-150, -7, 0, 1, 40], [0], list(range(-30, 31))], ids=["even", "uneven", "zero", "many"])
+def test_random_intervals_against_all_pairs(spark, seed, lags):
+    data, rows = random_intervals(seed)
+    a, e, w = 0, 390 * MS, 100 * MS
+    d = leadlag.components(frame(spark, rows), pairs(spark, [("x", "y"), ("x", "z")]), lags, a, e, w)
     got = {(r["y_instrument_id"], r["lag_ms"], r["win"]): (round(r["cov"], 9), round(r["var_x"], 9), round(r["var_y"], 9), r["n_overlap"], r["n_x"], r["n_y"]) for r in d.collect()}
     want = {(y, lag, n): v for y in "yz" for lag in lags for n, v in brute(data["x"], data[y], lag * MS, a, e, w).items()}
     assert got.keys() == want.keys()
@@ -66,6 +68,36 @@ def test_random_intervals_against_all_pairs(spark, seed, how):
         assert got[k] == pytest.approx(want[k], abs=1e-8), k
 
 
+@pytest.mark.parametrize("seed", range(2))
+@pytest.mark.parametrize("how", ["sweep", "bucketed", "lagged"])
+def test_joins_of_overlaps_agree(spark, seed, how):
+    """Each overlap found once, whatever the slices are as wide as."""
+    data, rows = random_intervals(seed)
+    a, e, w, lags = 0, 390 * MS, 100 * MS, [-20, -10, 0, 10, 20]
+    asked = frame(spark, rows), pairs(spark, [("x", "y"), ("x", "z")]), lags, a, e, w
+    if how == "lagged":
+        d = lagged.covariances(*asked, width_ns=7 * MS)
+    else:
+        d = leadlag.overlaps(*asked, overlap.sweep if how == "sweep" else lambda x, y, k, _: overlap.bucketed(x, y, k, 7 * MS))
+        d = d.groupBy("y_instrument_id", "lag_ms", "win").agg(F.sum(F.col("x_ret") * F.col("y_ret")).alias("cov"), F.count("*").alias("n_overlap"))
+    got = {(r["y_instrument_id"], r["lag_ms"], r["win"]): (r["cov"], r["n_overlap"]) for r in d.collect()}
+    want = {(y, lag, n): (v[0], v[3]) for y in "yz" for lag in lags for n, v in brute(data["x"], data[y], lag * MS, a, e, w).items() if v[3]}
+    assert got.keys() == want.keys()
+    for k in want:
+        assert got[k] == pytest.approx(want[k], abs=1e-8), k
+
+
+def test_plans_have_no_row_for_each_lag(spark):
+    """The rows that a plan makes before its sums do not depend on the number of lags."""
+    _, rows = random_intervals(1)
+    made = []
+    for lags in ([-20, 0, 20], list(range(-20, 21))):
+        x = frame(spark, [(r[0], *r[1:]) for r in rows if r[0] == "x"]).withColumnRenamed("instrument_id", "x_instrument_id").withColumn("y_instrument_id", F.lit("y"))
+        y = frame(spark, [r for r in rows if r[0] == "y"]).withColumnRenamed("instrument_id", "y_instrument_id")
+        made.append(lagged.near_pairs(x, y, lags).count())
+    assert made[0] == made[1]
+
+
 def test_boundaries(spark):
     one = lambda x, y, **k: leadlag.components(frame(spark, [("x", *x), ("y", *y)]), pairs(spark, [("x", "y")]), [0], 0, 40, 20, **k).orderBy("win").collect()
     assert [r["n_overlap"] for r in one((0, 10, 1.0), (10, 20, 1.0))] == [0, 0]  # touching

@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from wakelag.functions import columns as c
+from wakelag.operators.lagged import NS_PER_MS, covariances, floor_div, shifted_squares
 from wakelag.operators.overlap import sweep
 
-NS_PER_MS = 1_000_000
-
 
 def window_of(end: Column, start_ns: int, window_ns: int) -> Column:
     """Index of the left-open, right-closed window that an end after start_ns falls into."""
-    at = end - F.lit(start_ns) - F.lit(1)
-    return F.call_function("div", at - F.pmod(at, F.lit(window_ns)), F.lit(window_ns))
+    return floor_div(end - F.lit(start_ns) - F.lit(1), window_ns)
 
 
 def with_lags(df: DataFrame, lags_ms: list[int]) -> DataFrame:
@@ -80,12 +78,10 @@ def spine(pairs: DataFrame, keys: list[str], lags_ms: list[int], start_ns: int,
     return w.withColumn("lag_ms", F.explode(F.array(*[F.lit(x).cast("long") for x in lags_ms])))
 
 
-def variances(intervals: DataFrame, lags_ms: list[int] | None, start_ns: int, end_ns: int, window_ns: int, name: str) -> DataFrame:
-    """Sum of squared returns and count by instrument and window (and lag): once an instrument, not a pair."""
-    d = with_lags(intervals, lags_ms) if lags_ms is not None else intervals
-    d = d.where((F.col("end_ns") > start_ns) & (F.col("end_ns") <= end_ns)).withColumn("win", window_of(F.col("end_ns"), start_ns, window_ns))
-    by = ["instrument_id", "win", *(["lag_ms"] if lags_ms is not None else [])]
-    return d.groupBy(*by).agg(F.sum(F.col("ret") * F.col("ret")).alias(f"var_{name}"), F.count("*").alias(f"n_{name}")).withColumnRenamed("instrument_id", f"{name}_instrument_id")
+def variances(intervals: DataFrame, start_ns: int, end_ns: int, window_ns: int) -> DataFrame:
+    """Sum of squared returns and count by instrument and window."""
+    d = intervals.where((F.col("end_ns") > start_ns) & (F.col("end_ns") <= end_ns)).withColumn("win", window_of(F.col("end_ns"), start_ns, window_ns))
+    return d.groupBy("instrument_id", "win").agg(F.sum(F.col("ret") * F.col("ret")).alias("var"), F.count("*").alias("n"))
 
 
 def overlaps(intervals: DataFrame, pairs: DataFrame, lags_ms: list[int], start_ns: int, end_ns: int, window_ns: int, join=sweep) -> DataFrame:
@@ -102,7 +98,7 @@ def overlaps(intervals: DataFrame, pairs: DataFrame, lags_ms: list[int], start_n
     return got.withColumn("win", window_of(F.least("x_end", "y_end"), start_ns, window_ns))
 
 
-def components(intervals: DataFrame, pairs: DataFrame, lags_ms: list[int], start_ns: int, end_ns: int, window_ns: int, excluded: DataFrame | None = None, join=sweep) -> DataFrame:
+def components(intervals: DataFrame, pairs: DataFrame, lags_ms: list[int], start_ns: int, end_ns: int, window_ns: int, excluded: DataFrame | None = None) -> DataFrame:
     """A row for each pair, window and lag, also where nothing overlaps: cov, var_x, var_y, counts, corr.
 
     intervals: instrument_id, start_ns, end_ns, ret. pairs: x_instrument_id, y_instrument_id and what else
@@ -110,9 +106,11 @@ def components(intervals: DataFrame, pairs: DataFrame, lags_ms: list[int], start
     """
     keys = ["x_instrument_id", "y_instrument_id"]
     by = [*keys, "win", "lag_ms"]
-    cov = overlaps(intervals, pairs, lags_ms, start_ns, end_ns, window_ns, join).groupBy(*by).agg(F.sum(F.col("x_ret") * F.col("y_ret")).alias("cov"), F.count("*").alias("n_overlap"))
+    cov = covariances(intervals, pairs, lags_ms, start_ns, end_ns, window_ns)
+    named = lambda d, a: d.withColumnsRenamed({"instrument_id": f"{a}_instrument_id", "var": f"var_{a}", "n": f"n_{a}"})
+    x, y = named(shifted_squares(intervals, lags_ms, start_ns, end_ns, window_ns), "x"), named(variances(intervals, start_ns, end_ns, window_ns), "y")
     out = spine(pairs, pairs.columns, lags_ms, start_ns, end_ns, window_ns, excluded)
-    out = out.join(cov, by, "left").join(variances(intervals, lags_ms, start_ns, end_ns, window_ns, "x"), ["x_instrument_id", "win", "lag_ms"], "left").join(variances(intervals, None, start_ns, end_ns, window_ns, "y"), ["y_instrument_id", "win"], "left")
+    out = out.join(cov, by, "left").join(x, ["x_instrument_id", "win", "lag_ms"], "left").join(y, ["y_instrument_id", "win"], "left")
     zero = {n: F.coalesce(n, F.lit(0.0)) for n in ("cov", "var_x", "var_y")} | {n: F.coalesce(n, F.lit(0).cast("long")) for n in ("n_overlap", "n_x", "n_y")}
     out = out.withColumns(zero).withColumn("corr", c.correlation(F.col("cov"), F.col("var_x"), F.col("var_y")))
     return out.withColumn("corr_is_diagnostic", F.lit(True))
