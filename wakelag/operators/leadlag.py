@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from wakelag.functions import columns as c
 from wakelag.operators.lagged import NS_PER_MS, covariances, floor_div, shifted_squares
 from wakelag.operators.overlap import sweep
+from wakelag.session import written
 
 
 def window_of(end: Column, start_ns: int, window_ns: int) -> Column:
@@ -46,11 +49,23 @@ def make_pairs(universe: DataFrame, match: str = "equal", a_group: str = "A", b_
     return out
 
 
-def pair_shard(pairs: DataFrame, offset: int, limit: int | None) -> DataFrame:
-    """Pairs offset + 1 to offset + limit, X by X."""
-    n = F.row_number().over(W.orderBy("x_instrument_id", "y_instrument_id"))
-    out = pairs.withColumn("pair_no", n).where(F.col("pair_no") > offset)
-    return out if limit is None else out.where(F.col("pair_no") <= offset + limit)
+def pair_shard(pairs: DataFrame, offset: int, limit: int | None, order: Sequence[str] = ("x_instrument_id", "y_instrument_id")) -> DataFrame:
+    """Pairs offset + 1 to offset + limit by `order` (an X's pairs together; give the universe's own order as columns), with
+    pair_no. The pairs are dealt out by ranges of that order and written; a pair's number is its place in its range and the
+    sizes of the ranges before, of which there is one row a range. Ranges outside the shard are not read."""
+    ranged = pairs.repartitionByRange(*order).sortWithinPartitions(*order)
+    place = F.monotonically_increasing_id()  # the partition above 33 bits, the row's place below
+    d = written(ranged.withColumns({"__part": F.shiftright(place, 33), "__place": place.bitwiseAND(F.lit((1 << 33) - 1))}), "pairs")
+    sizes = {r["__part"]: r["n"] for r in d.groupBy("__part").agg(F.count("*").alias("n")).collect()}
+    last, before, at = None if limit is None else offset + limit, {}, 0
+    for part in sorted(sizes):
+        if at + sizes[part] > offset and (last is None or at < last):
+            before[part] = at
+        at += sizes[part]
+    ahead = pairs.sparkSession.createDataFrame(list(before.items()), "__part long, __before long")  # a row a range
+    out = d.join(F.broadcast(ahead), "__part").withColumn("pair_no", F.col("__before") + F.col("__place") + 1).drop("__part", "__place", "__before")
+    out = out.where(F.col("pair_no") > offset)
+    return out if last is None else out.where(F.col("pair_no") <= last)
 
 
 def guard(df: DataFrame, most: int, what: str) -> DataFrame:

@@ -151,6 +151,12 @@ def _path(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """A file or folder and what is in it, if it is there."""
+    fs, p = _path(spark, path)
+    fs.delete(p, True)
+
+
 def write_json(spark: SparkSession, data: object, path: str) -> None:
     """Through Hadoop's file system, to a side file that then takes the place of the old one in one step, so
     that there always is the old or the new text."""
