@@ -90,3 +90,21 @@ def test_forget_changes_no_score():
     model.forget()
     assert model.predict(texts) == first
     assert np.isfinite(first[1]).all()
+
+
+def test_row_digest_tells_all_rows_apart(spark):
+    """Below a millisecond, nulls against absent values, columns that swap theirs, maps, structs with odd names, bytes."""
+    from pyspark.sql import functions as F
+
+    from wakelag.llm.common import row_digest
+
+    base = "CAST('2024-01-01 00:00:00.000001' AS TIMESTAMP) AS t, 'a' AS x, CAST(NULL AS STRING) AS y, array(1, NULL) AS l, map('k', 1) AS m, named_struct('a b', 1, 'c`d', CAST(NULL AS INT)) AS s, 1.50BD AS d, DOUBLE('NaN') AS f, X'00' AS b, array(map(1, array(X'FF'))) AS n, '-' AS z"
+    other = ["CAST('2024-01-01 00:00:00.000002' AS TIMESTAMP) AS t", "CAST(NULL AS STRING) AS x", "'a' AS y", "array(1) AS l", "map('k', CAST(NULL AS INT)) AS m", "named_struct('a b', CAST(NULL AS INT), 'c`d', 1) AS s", "1.51BD AS d", "-0.0D AS f", "X'01' AS b", "array(map(1, array(X'FE'))) AS n", "CAST(NULL AS STRING) AS z"]
+    whole = spark.sql(f"SELECT {base}")
+    rows = [whole, whole]
+    for o in other:
+        name = o.rsplit(" ", 1)[1]
+        rows.append(whole.withColumn(name, F.expr(o.rsplit(" AS ", 1)[0])))
+    rows.append(whole.withColumns({"x": F.lit(None).cast("string"), "y": F.lit("a")}))
+    got = [d.select(row_digest(d)).first()[0] for d in rows]
+    assert got[0] == got[1] and len(set(got)) == len(got) - 1

@@ -160,3 +160,11 @@ def test_written_tables_leave_no_shuffle_files(spark, tmp_path):
 def test_brute_force_where_lookups_are_shuffled(spark, monkeypatch):
     monkeypatch.setattr(J, "LOOKUP", 0, raising=False)
     test_brute_force_on_edited_copies(spark, monkeypatch, 3, 90, 1, 4_000_000)
+
+
+def test_ids_that_repeat_without_end(spark):
+    """Two near copies of 10,000 rows each: pairs are made of ids, not of rows."""
+    one, two = " ".join(f"w{n}" for n in range(60)), " ".join(f"w{n}" for n in range(61))
+    d = spark.range(20_000).selectExpr("id % 2 AS doc_id", f"CASE WHEN id % 2 = 0 THEN '{one}' ELSE '{two}' END AS text").repartition(6)
+    got = J.join(d).groupBy("doc_id", "component_id").count().collect()
+    assert sorted(map(tuple, got)) == [(0, 0, 10_000), (1, 0, 10_000)]

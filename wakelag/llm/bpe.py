@@ -15,8 +15,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 
-from wakelag.llm.common import arrow_map
+from wakelag.llm.common import arrow_map, plain, with_fields
 
 #: Code points that one call of the tokenizer sees, if the text has a safe boundary there.
 PIECE = 1 << 16
@@ -109,8 +110,8 @@ def encode_decode(df: DataFrame, codec: Codec, key: str = "doc_id", text: str =
         ids = [codec.encode(x) for x in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), list_column(ids), pa.array([codec.decode(x) for x in ids], type=pa.binary())], ["key", "ids", "decoded"])
 
-    kind = df.schema[key].dataType.simpleString()
-    out = arrow_map(df.select(F.col(key).alias("key"), F.col(text).alias("text")), step, f"key {kind}, ids array<int>, decoded binary", "text")
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    out = arrow_map(rows, step, with_fields([rows.schema["key"]], ids=ArrayType(IntegerType()), decoded=BinaryType()), "text")
     return out.withColumnRenamed("key", key)
 
 
@@ -118,12 +119,12 @@ def encode(df: DataFrame, codec: Codec, text: str = "text", ids: str = "ids") ->
     """df with a column `ids` (array of int); a null text gives an empty array. Row order and count stay."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = list_column([codec.encode(x) for x in batch.column(text).to_pylist()])
-        return pa.RecordBatch.from_arrays([*batch.drop_columns([ids]).columns, made] if ids in batch.schema.names else [*batch.columns, made], [*(x for x in batch.schema.names if x != ids), ids])
+        made = list_column([codec.encode(x) for x in batch.column(at).to_pylist()])
+        return pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, "ids"])
 
-    kept = [x for x in df.schema.fields if x.name != ids]
-    schema = ", ".join([*(f"`{x.name}` {x.dataType.simpleString()}" for x in kept), f"`{ids}` array<int>"])
-    return arrow_map(df, step, schema, text)
+    names = [x for x in df.columns if x != ids]
+    at, rows = names.index(text), plain(df, names)
+    return arrow_map(rows, step, with_fields(rows.schema.fields, ids=ArrayType(IntegerType())), f"c{at}").toDF(*names, ids)
 
 
 def decode(df: DataFrame, codec: Codec, ids: str = "ids", out: str = "decoded") -> DataFrame:

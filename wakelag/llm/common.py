@@ -12,6 +12,7 @@ from contextlib import contextmanager
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, BinaryType, CalendarIntervalType, DataType, MapType, StringType, StructField, StructType, TimestampType, VariantType
 
 #: White space that separates words: blank, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -84,7 +85,7 @@ def release() -> None:
         trim(0)
 
 
-def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, forget: Callable[[], None] | None = None) -> DataFrame:
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType, forget: Callable[[], None] | None = None) -> DataFrame:
     """mapInArrow whose Python worker keeps no memory of a task that has ended. Workers wait for later tasks beside the
     JVM, and what they hold counts there, in stages without any Python too. forget: clears caches."""
 
@@ -180,7 +181,7 @@ def text_slices(batch: pa.RecordBatch, name: str, most: int = 4 << 20) -> Iterat
         yield batch.slice(begin)
 
 
-def arrow_map(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, text: str | None = None) -> DataFrame:
+def arrow_map(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType, text: str | None = None) -> DataFrame:
     """mapInArrow with one output batch for each bounded piece of an input batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,3 +190,49 @@ def arrow_map(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch], s
                 yield step(piece)
 
     return df.mapInArrow(run, schema)
+
+
+def with_fields(fields: Sequence[StructField], **more: DataType) -> StructType:
+    """A schema of fields, of whatever names and types, and further ones; all may be null."""
+    return StructType([*[StructField(f.name, f.dataType) for f in fields], *[StructField(n, t) for n, t in more.items()]])
+
+
+def spelt(value: Column, kind: DataType) -> Column:
+    """A value of any type as text, so that different values are different texts: null apart from everything, times to the
+    microsecond, texts and bytes by their md5, maps by their entries in order."""
+    if isinstance(kind, StructType):
+        text = F.concat(F.lit("("), F.concat_ws(",", *[spelt(value.getField(f.name), f.dataType) for f in kind.fields]), F.lit(")"))
+    elif isinstance(kind, ArrayType):
+        text = F.concat(F.lit("["), F.array_join(F.transform(value, lambda x: spelt(x, kind.elementType)), ","), F.lit("]"))
+    elif isinstance(kind, MapType):
+        pairs = F.transform(F.map_entries(value), lambda e: F.concat(spelt(e["key"], kind.keyType), F.lit("="), spelt(e["value"], kind.valueType)))
+        text = F.concat(F.lit("{"), F.array_join(F.array_sort(pairs), ","), F.lit("}"))
+    elif isinstance(kind, (StringType, BinaryType)):
+        text = F.md5(value.cast("binary"))
+    elif isinstance(kind, TimestampType):
+        text = F.unix_micros(value).cast("string")
+    else:
+        text = F.to_json(value) if isinstance(kind, VariantType) else value.cast("string")
+    return F.when(value.isNull(), "-").otherwise(F.concat(F.lit("+"), text))
+
+
+def quoted(names: Sequence[str]) -> list[Column]:
+    """Columns by their whole names, dots and back quotes included."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
+def orderable(kind: DataType) -> bool:
+    """Whether values of a type can be compared: no map, variant or calendar interval in it."""
+    if isinstance(kind, StructType):
+        return all(orderable(f.dataType) for f in kind.fields)
+    return orderable(kind.elementType) if isinstance(kind, ArrayType) else not isinstance(kind, (MapType, VariantType, CalendarIntervalType))
+
+
+def plain(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The named columns, called by their places: Arrow functions look columns up by name, which dots and back quotes break."""
+    return df.select(*quoted(names)).toDF(*[f"c{n}" for n in range(len(names))])
+
+
+def row_digest(df: DataFrame) -> Column:
+    """A digest of all columns of df, of whatever types and names: rows that differ anywhere have different ones."""
+    return F.md5(F.concat_ws(",", *[spelt(c, f.dataType) for c, f in zip(quoted(df.columns), df.schema.fields, strict=True)]).cast("binary"))

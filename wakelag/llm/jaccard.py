@@ -311,7 +311,7 @@ def arrays(df: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     """(id, set): the sorted shingle array of each row (id, text) whose id may be among ids (id).
 
     Texts stay where they are: a bitmap of the ids (16 bits an id, at most 8 MB) goes to the scan, which
-    passes on the arrays of those that it may hold.
+    passes on the arrays of those that it may hold, each id's once a task however often its row repeats.
     """
     bits = 1 << max(12, min(26, int(16 * ids.count()).bit_length()))
     spot = F.pmod(F.xxhash64("id"), F.lit(bits))
@@ -321,10 +321,20 @@ def arrays(df: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     mask = mask.view(np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, bytes]] = set()  # 16 bytes of text hash for each id that is passed on
+
+        def fresh(id_: int, text: str | None) -> bool:
+            key = (id_, xxhash.xxh128_digest((text or "").encode()))
+            new = key not in seen
+            seen.add(key)
+            return new
+
         for batch in batches:
             at = batch.column(1).to_numpy().astype(np.uint64)
             asked = (mask[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
-            for piece in text_slices(batch.filter(pa.array(asked.astype(bool))), "text"):
+            batch = batch.filter(pa.array(asked.astype(bool)))
+            batch = batch.filter(pa.array([fresh(i, t) for i, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)], pa.bool_()))
+            for piece in text_slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([shingles(t, size).tobytes() for t in piece.column(2).to_pylist()], pa.binary())], ["id", "set"])
 
     return mapped(df.where("id is not null").withColumn("spot", spot).select("id", "spot", "text"), run, "id long, set binary", forget)
@@ -581,7 +591,7 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5,
     sets = hold("sets", profile(rows, size, percent, common))
     same = hold("same", sets.where("n > 0 and id is not null").groupBy("k1", "k2", "n").agg(F.min("id").alias("first")))
     reps = same.select("k1", "k2", F.col("first").alias("id"))
-    classes = hold("classes", sets.join(reps, ["id", "k1", "k2"], "left_semi").select("id", "n", "bits", "prefix"))
+    classes = hold("classes", sets.join(reps, ["id", "k1", "k2"], "left_semi").groupBy("id", "k1", "k2").agg(*[F.first(x).alias(x) for x in ("n", "bits", "prefix")]).drop("k1", "k2"))
     digests = hold("digests", sets.select("id", "n", "k1", "k2"))
     gone("sets")
     total = classes.agg(F.sum(F.size("prefix"))).first()[0] or 0

@@ -15,8 +15,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql.types import DoubleType, StringType
 
-from wakelag.llm.common import held_out, mapped, small_batches, text_slices
+from wakelag.llm.common import held_out, mapped, plain, small_batches, text_slices, with_fields
 
 #: Documents a language is learned from, at most: those of the smallest hashes. It bounds what is learned from.
 SAMPLE = 200
@@ -329,17 +330,17 @@ def identify(df: DataFrame, model: Model, text: str = "text", label: str = "lang
     for one.
     """
     small_batches(df.sparkSession)
-    kept = [x for x in df.schema.fields if x.name not in (label, score)]
-    names = [x.name for x in kept]
+    names = [x for x in df.columns if x not in (label, score)]
+    at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in text_slices(batch, text):
-                langs, scores = model.predict(piece.column(text).to_pylist())
-                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, label, score])
+            for piece in text_slices(batch, f"c{at}"):
+                langs, scores = model.predict(piece.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*piece.schema.names, "lang", "score"])
 
-    schema = ", ".join([*(f"`{x.name}` {x.dataType.simpleString()}" for x in kept), f"`{label}` string", f"`{score}` double"])
-    return mapped(df.select(*[F.col(f"`{x}`") for x in names]), run, schema, model.forget)
+    rows = plain(df, names)
+    return mapped(rows, run, with_fields(rows.schema.fields, lang=StringType(), score=DoubleType()), model.forget).toDF(*names, label, score)
 
 
 def default_pieces() -> list[str]:

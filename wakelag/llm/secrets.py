@@ -7,6 +7,7 @@ regular expression verifies. Rules without mandatory trigrams scan every text. A
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import product
 from re import _constants as C, _parser  # the standard library's own parse tree of a regular expression
@@ -143,6 +144,29 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...], key: str = "key") -> D
     return met.where("n = needed").groupBy(key).agg(F.collect_set("kind").alias("kinds"))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def running(values: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """For each value of an array of int what `step` makes of 0 and all values before it. By blocks as long as their number: n values take n * sqrt(n)
+    short steps and no copies of what is done."""
+    upto = lambda x, n: F.aggregate(F.slice(x, 1, n), F.lit(0), step)
+
+    def blocks(x: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(x))).cast("int")
+        cut = F.transform(F.sequence(F.lit(0), F.ceil(F.size(x) / width).cast("int") - 1), lambda k: F.slice(x, k * width + 1, width))
+        return F.when(F.size(x) == 0, F.array().cast("array<array<int>>")).otherwise(cut)
+
+    def sums(cut: Column) -> Column:
+        whole = F.transform(cut, lambda x: F.aggregate(x, F.lit(0), step))
+        one = lambda x, base: F.transform(x, lambda v, j: step(base, upto(x, j)))
+        return let(whole, lambda w: F.flatten(F.transform(cut, lambda x, k: let(upto(w, k), lambda base: one(x, base)))))
+
+    return let(values, lambda x: let(blocks(x), sums))
+
+
 def rule_spans(text: Column, rule: Rule, rank: int) -> Column:
     """Array of (start, rank, end, kind) of the rule's leftmost non-overlapping matches, in code points.
 
@@ -154,14 +178,14 @@ def rule_spans(text: Column, rule: Rule, rank: int) -> Column:
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(rule.group)) if rule.group else found
     gaps = F.transform(F.split(text, pattern, -1), F.length)
     parts = F.zip_with(gaps, F.zip_with(found, value, lambda a, b: F.struct(F.length(a).alias("n"), F.length(b).alias("v"))), lambda g, m: F.struct(g.alias("g"), m["n"].alias("n"), m["v"].alias("v")))
-    none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
 
-    def step(acc: Column, p: Column) -> Column:
-        start, end = acc["pos"] + p["g"], acc["pos"] + p["g"] + F.coalesce(p["n"], F.lit(0))
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind"))
-        return F.struct(end.alias("pos"), F.when(p["v"] >= rule.least, F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+    def spans(parts: Column, before: Column) -> Column:
+        start = lambda p, i: before[i] + p["g"]
+        each = F.transform(parts, lambda p, i: F.struct(start(p, i).alias("start"), F.lit(rank).alias("rank"), (start(p, i) + p["n"]).alias("end"), F.lit(rule.kind).alias("kind"), p["v"].alias("v")))
+        return F.transform(F.filter(each, lambda x: x["v"] >= rule.least), lambda x: F.struct(x["start"], x["rank"], x["end"], x["kind"]))
 
-    return F.aggregate(parts, F.struct(F.lit(0).alias("pos"), none.alias("spans")), step, lambda acc: acc["spans"])
+    lengths = lambda parts: F.transform(parts, lambda p: p["g"] + F.coalesce(p["n"], F.lit(0)))
+    return let(parts, lambda parts: let(running(lengths(parts), lambda a, x: a + x), lambda before: spans(parts, before)))
 
 
 def scan(df: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES, spans: str = "spans") -> DataFrame:
@@ -189,16 +213,35 @@ def span_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+#: Code points of a block of a text that pieces are taken from.
+BLOCK = 4096
+
+
+def pieces(text: Column, ranges: Column) -> Column:
+    """The texts of ranges (from, to: code points) of a text, which is cut into blocks once: no piece is looked for from its start."""
+
+    def one(blocks: Column, r: Column) -> Column:
+        first, last = F.shiftright(r["from"], 12), F.shiftright(r["to"] - 1, 12)
+        at, upto = r["from"] - first * BLOCK, r["to"] - last * BLOCK
+        inside = F.substring(blocks[first], at + 1, r["to"] - r["from"])
+        over = F.concat(F.substring(blocks[first], at + 1, F.lit(BLOCK)), F.array_join(F.slice(blocks, first + 2, last - first - 1), ""), F.substring(blocks[last], F.lit(1), upto))
+        return F.when(r["to"] <= r["from"], "").when(first == last, inside).otherwise(over)
+
+    return let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)), lambda blocks: F.transform(ranges, lambda r: one(blocks, r)))
+
+
 def redact(df: DataFrame, text: str = "text", mark: str = "[SECRET]", spans: str = "spans") -> DataFrame:
     """`scan`'s rows with every span of the text replaced by `mark`, overlapping spans by one; null texts stay null."""
     whole = F.coalesce(F.col(text), F.lit(""))
+    ends = F.transform(F.col(spans), lambda s: s["end"])
+    between = lambda a, b: F.struct(a.alias("from"), b.alias("to"))
 
-    def step(acc: Column, s: Column) -> Column:
-        new = s["start"] >= acc["pos"]
-        out = F.when(new, F.concat(acc["out"], F.substring(whole, acc["pos"] + 1, s["start"] - acc["pos"]), F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), out.alias("out"))
+    def gaps(before: Column) -> Column:
+        """What lies before each span that begins behind all earlier ones, and behind the last."""
+        each = F.transform(F.col(spans), lambda s, i: between(before[i], s["start"]))
+        return F.concat(F.filter(each, lambda g: g["to"] >= g["from"]), F.array(between(F.array_max(ends), F.length(whole))))
 
-    clean = F.aggregate(spans, F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(whole, acc["pos"] + 1, F.length(whole))))
+    clean = let(running(ends, lambda a, x: F.greatest(a, x)), lambda before: F.array_join(pieces(whole, gaps(before)), mark))
     return df.withColumn(text, F.when(F.size(spans) == 0, F.col(text)).otherwise(clean))
 
 

@@ -15,8 +15,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType
 
-from wakelag.llm.common import held_out, text_slices
+from wakelag.llm.common import held_out, plain, text_slices, with_fields
 from wakelag.llm.langid import words_of
 
 #: Labelled documents that are learned from, at most: those of the smallest hashes of the id, whatever their
@@ -340,13 +341,13 @@ def score(df: DataFrame, net: Network, text: str = "text", out: str = "score") -
     Null texts and texts without a letter get the share of toxic training documents. Only the text is
     looked at. A column of df named like `out` is replaced; rows stay one for one.
     """
-    kept = [x for x in df.schema.fields if x.name != out]
-    names = [x.name for x in kept]
+    names = [x for x in df.columns if x != out]
+    at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in text_slices(batch, text, 2 << 20):
-                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(net.scores(piece.column(text).to_pylist()), pa.float64())], [*names, out])
+            for piece in text_slices(batch, f"c{at}", 2 << 20):
+                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(net.scores(piece.column(at).to_pylist()), pa.float64())], [*piece.schema.names, "score"])
 
-    schema = ", ".join([*(f"`{x.name}` {x.dataType.simpleString()}" for x in kept), f"`{out}` double"])
-    return df.select(*[F.col(f"`{x}`") for x in names]).mapInArrow(run, schema)
+    rows = plain(df, names)
+    return rows.mapInArrow(run, with_fields(rows.schema.fields, score=DoubleType())).toDF(*names, out)
