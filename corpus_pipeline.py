@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wakelag.llm import bpe, jaccard, langid, mixing, secrets
-from wakelag.llm.common import drop, free, scratch, table
+from wakelag.llm.common import drop, free, orderable, quoted, row_digest, scratch, table
 
 #: Posterior probability that a document's language needs.
 LEAST_SCORE = 0.5
@@ -30,22 +30,23 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs, langid.default_pieces())
     found = langid.identify(docs, model, label=label, score=score)
     kept = found.where((F.col(label) != langid.UNDETERMINED) & (F.col(score) >= LEAST_SCORE))
-    return kept.withColumn("lang", F.coalesce("lang", label)).select(*docs.columns)
+    return kept.withColumn("lang", F.coalesce("lang", label)).select(*quoted(docs.columns))
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one of the smallest id, of each group of near copies (five words, 0.8). Documents
     without words or without an id all stay; of rows that repeat an id and its text one stays, the first by its other
-    columns. Other texts under one id are judged apart: id and text together are a document, named by a
+    columns, and by a digest of all where these are alike or have no order. Other texts under one id are judged apart: id and text together are a document, named by a
     64-bit hash."""
     name = free("key", docs.columns)
     named = docs.where("doc_id IS NOT NULL").withColumn(name, F.xxhash64("doc_id", F.coalesce("text", F.lit("")), F.col("text").isNull()))
     groups = jaccard.join(named, key=name).select(name, "component_id").distinct()
     found = named.select(name, "doc_id").distinct().join(groups, name)
     found = found.groupBy("component_id").agg(F.min(F.struct("doc_id", name)).alias("least")).select(f"least.{name}")
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    first = F.min(F.struct(*[F.col(f"`{c}`") for c in others], "text", "doc_id")).alias("first")
-    kept = named.join(found, name, "left_semi").groupBy(name).agg(first)
+    mark = free("mark", named.columns)
+    rows = named.withColumn(mark, row_digest(docs)).join(found, name, "left_semi")
+    others = quoted([f.name for f in docs.schema.fields if f.name not in ("doc_id", "text") and orderable(f.dataType)])
+    kept = rows.groupBy(name).agg(F.min_by(F.struct(*quoted(docs.columns)), F.struct(*others, mark)).alias("first"))
     return kept.select(*[F.col("first").getField(c).alias(c) for c in docs.columns]).unionByName(docs.where("doc_id IS NULL"))
 
 
@@ -54,20 +55,19 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     and empty texts, and texts without secrets, stay as they are; so do other columns, one named spans too."""
     spans = free("spans", docs.columns)
     clean = secrets.redact(secrets.scan(docs, spans=spans), spans=spans)
-    return clean.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(*docs.columns)
+    return clean.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(*quoted(docs.columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes their words, to the nearest whole number of times (0 to 3). Documents
     without words take no part and go. A null source is a source of its own. Counts go by a digest of the
     whole row; rows alike in every column share the sum of theirs, so reruns agree."""
-    others = [c for c in docs.columns if c != "text"]
-    row, times, copy, digest = (free(x, docs.columns) for x in ("row", "times", "copy", "digest"))
-    rows = docs.withColumn(row, F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in others], F.md5(F.col("text").cast("binary")).alias(digest))).cast("binary")))
+    row, times, copy = (free(x, docs.columns) for x in ("row", "times", "copy"))
+    rows = docs.withColumn(row, row_digest(docs))
     shares = mixing.mix(rows.select("doc_id", "source", "text", F.col(row).alias("row_digest")), more=("row_digest",)).where("taken > 0")
     counts = shares.withColumn("n", F.expr("(2 * taken + size) DIV (2 * size)")).groupBy(F.col("row_digest").alias(row)).agg(F.sum("n").alias(times)).where(f"{times} > 0")
     copies = rows.join(counts, row).dropDuplicates([row])
-    return copies.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*docs.columns)
+    return copies.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*quoted(docs.columns))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
