@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from wakelag.functions import columns as c
+from wakelag.operators.lagged import HOUR_NS, floor_div
 from wakelag.operators.quotes import HOUR, INSTRUMENT, by_hour, keep_last, with_previous
 from wakelag.session import lookup
 
@@ -68,6 +69,11 @@ def outside_hours(intervals: DataFrame, excluded: DataFrame, keys: list[str], ho
 
 
 def disorder(intervals: DataFrame, keys: list[str] = INSTRUMENT) -> DataFrame:
-    """Intervals that begin before the one before them ends; empty for a sound cache."""
-    w = W.partitionBy(*keys).orderBy("end_ns", "start_ns")
-    return intervals.withColumn("before", F.lag("end_ns").over(w)).where("before > start_ns")
+    """Intervals that begin before the one before them ends; empty for a sound cache. A window holds an instrument's hour; what the
+    last interval of the hours before left comes from a window over one row an hour."""
+    d = intervals.withColumn(HOUR, floor_div(F.col("end_ns"), HOUR_NS))
+    lasts = d.groupBy(*keys, HOUR).agg(F.max("end_ns").alias("__last"))
+    carried = lasts.select(*keys, HOUR, F.lag("__last").over(W.partitionBy(*keys).orderBy(HOUR)).alias("__carried"))
+    inside = F.lag("end_ns").over(W.partitionBy(*keys, HOUR).orderBy("end_ns", "start_ns"))
+    d = d.withColumn("before", inside).join(carried, [*keys, HOUR]).withColumn("before", F.coalesce("before", "__carried"))
+    return d.where("before > start_ns").select(*intervals.columns, "before")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from wakelag.functions import columns as c
 from wakelag.operators.lagged import NS_PER_MS, covariances, floor_div, shifted_squares
 from wakelag.operators.overlap import sweep
-from wakelag.session import written
+from wakelag.operators.ranked import numbered
 
 
 def window_of(end: Column, start_ns: int, window_ns: int) -> Column:
@@ -50,22 +50,8 @@ def make_pairs(universe: DataFrame, match: str = "equal", a_group: str = "A", b_
 
 
 def pair_shard(pairs: DataFrame, offset: int, limit: int | None, order: Sequence[str] = ("x_instrument_id", "y_instrument_id")) -> DataFrame:
-    """Pairs offset + 1 to offset + limit by `order` (an X's pairs together; give the universe's own order as columns), with
-    pair_no. The pairs are dealt out by ranges of that order and written; a pair's number is its place in its range and the
-    sizes of the ranges before, of which there is one row a range. Ranges outside the shard are not read."""
-    ranged = pairs.repartitionByRange(*order).sortWithinPartitions(*order)
-    place = F.monotonically_increasing_id()  # the partition above 33 bits, the row's place below
-    d = written(ranged.withColumns({"__part": F.shiftright(place, 33), "__place": place.bitwiseAND(F.lit((1 << 33) - 1))}), "pairs")
-    sizes = {r["__part"]: r["n"] for r in d.groupBy("__part").agg(F.count("*").alias("n")).collect()}
-    last, before, at = None if limit is None else offset + limit, {}, 0
-    for part in sorted(sizes):
-        if at + sizes[part] > offset and (last is None or at < last):
-            before[part] = at
-        at += sizes[part]
-    ahead = pairs.sparkSession.createDataFrame(list(before.items()), "__part long, __before long")  # a row a range
-    out = d.join(F.broadcast(ahead), "__part").withColumn("pair_no", F.col("__before") + F.col("__place") + 1).drop("__part", "__place", "__before")
-    out = out.where(F.col("pair_no") > offset)
-    return out if last is None else out.where(F.col("pair_no") <= last)
+    """Pairs offset + 1 to offset + limit by `order` (an X's pairs together; give the universe's own order as columns), with pair_no."""
+    return numbered(pairs, order, "pair_no", offset, limit)
 
 
 def guard(df: DataFrame, most: int, what: str) -> DataFrame:
@@ -113,14 +99,20 @@ def overlaps(intervals: DataFrame, pairs: DataFrame, lags_ms: list[int], start_n
     return got.withColumn("win", window_of(F.least("x_end", "y_end"), start_ns, window_ns))
 
 
-def components(intervals: DataFrame, pairs: DataFrame, lags_ms: list[int], start_ns: int, end_ns: int, window_ns: int, excluded: DataFrame | None = None) -> DataFrame:
+def components(intervals: DataFrame, pairs: DataFrame, lags_ms: list[int], start_ns: int, end_ns: int, window_ns: int, excluded: DataFrame | None = None, most_lags: int | None = None, most_rows: int | None = None) -> DataFrame:
     """A row for each pair, window and lag, also where nothing overlaps: cov, var_x, var_y, counts, corr.
 
+    More than most_lags lags raise, and so do more than most_rows rows, before anything is computed but the number of pairs.
+
     intervals: instrument_id, start_ns, end_ns, ret. pairs: x_instrument_id, y_instrument_id and what else
     is to be carried along. A positive lag moves X forward, so a peak there says that X leads.
     """
     keys = ["x_instrument_id", "y_instrument_id"]
     by = [*keys, "win", "lag_ms"]
+    if most_lags is not None and len(lags_ms) > most_lags:
+        raise ValueError(f"{len(lags_ms)} lags, {most_lags} at most")
+    if most_rows is not None:
+        guard(pairs, most_rows // max(1, len(lags_ms) * -(-(end_ns - start_ns) // window_ns)), f"pairs for {most_rows} rows")
     cov = covariances(intervals, pairs, lags_ms, start_ns, end_ns, window_ns)
     named = lambda d, a: d.withColumnsRenamed({"instrument_id": f"{a}_instrument_id", "var": f"var_{a}", "n": f"n_{a}"})
     x, y = named(shifted_squares(intervals, lags_ms, start_ns, end_ns, window_ns), "x"), named(variances(intervals, start_ns, end_ns, window_ns), "y")
@@ -140,6 +132,20 @@ def with_cache_identity(components: DataFrame, manifest: dict[str, object], layo
     return components.withColumns({f"{a}_{n}": v for n, v in held.items() for a in "xy"})
 
 
+#: What an instrument's cache says of itself, carried to either side of a pair.
+IDENTITY = ("feed", "cache_layout", "max_interval_ms", "cache_config_version", "drop_zero_returns", "cache_config_hash")
+
+
+def with_pair_identity(pairs: DataFrame, identities: DataFrame, run_id: str, config_hash: str) -> DataFrame:
+    """pairs with run_id, config_hash and x_ and y_ of IDENTITY, from a row an instrument (instrument_id, IDENTITY); an instrument without one
+    has nulls."""
+    out = pairs.withColumns({"run_id": F.lit(run_id), "config_hash": F.lit(config_hash)})
+    for a in "xy":
+        of = identities.select(F.col("instrument_id").alias(f"{a}_instrument_id"), *[F.col(n).alias(f"{a}_{n}") for n in IDENTITY])
+        out = out.join(of, f"{a}_instrument_id", "left")
+    return out
+
+
 def pair_lag_summary(components: DataFrame, keys: list[str]) -> DataFrame:
     """Sums over the windows of each pair and lag, with the correlation of the sums."""
     d = components.groupBy(*keys, "lag_ms").agg(

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from wakelag.functions import columns as c
 from wakelag.functions.scalars import version
+from wakelag.operators.lagged import floor_div
 from wakelag.operators.summary import CACHE, GROUP
 
 log = logging.getLogger(__name__)
@@ -118,20 +119,29 @@ def uneven_windows(components: DataFrame, group: Sequence[str] = GROUP) -> DataF
     return d.groupBy(*group).agg(F.min("n").alias("min_windows"), F.max("n").alias("max_windows")).where("min_windows <> max_windows")
 
 
+def _with_far(spans: DataFrame, keys: Sequence[str], slice_ns: int = 86_400 * 10**9) -> DataFrame:
+    """spans with `far`: how far those before one (by start, then end) reach, null for the first. Windows hold a slice of time;
+    what slices before reach comes from a window over one row a slice."""
+    d = spans.withColumn("__slice", floor_div(F.col("start_ns"), slice_ns))
+    before = F.max("end_ns").over(W.partitionBy(*keys, "__slice").orderBy("start_ns", "end_ns").rowsBetween(W.unboundedPreceding, -1))
+    reach = d.groupBy(*keys, "__slice").agg(F.max("end_ns").alias("__reach"))
+    carried = reach.select(*keys, "__slice", F.max("__reach").over(W.partitionBy(*keys).orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)).alias("__carried"))
+    d = d.withColumn("far", before).join(carried, [*keys, "__slice"])
+    return d.withColumn("far", F.greatest("far", "__carried")).drop("__slice", "__carried")
+
+
 def coverage_gaps(spans: DataFrame, keys: Sequence[str], start_ns: int, end_ns: int, excluded: DataFrame | None = None) -> DataFrame:
     """Where the spans (keys, start_ns, end_ns) of a group leave [start, end) uncovered, overlap or repeat:
     keys, problem, from_ns, to_ns. A gap that excluded ranges (keys, from_ns, to_ns) fill is none."""
     edge = spans.select(*keys).distinct()
     ends = edge.select(*keys, F.lit(start_ns).alias("start_ns"), F.lit(start_ns).alias("end_ns")).unionByName(edge.select(*keys, F.lit(end_ns).alias("start_ns"), F.lit(end_ns).alias("end_ns")))
     real = spans.where((F.col("end_ns") > start_ns) & (F.col("start_ns") < end_ns)).select(*keys, "start_ns", "end_ns", F.lit(1).alias("real"))
-    w = W.partitionBy(*keys).orderBy("start_ns", "end_ns")
-    far = F.max("end_ns").over(w.rowsBetween(W.unboundedPreceding, -1))
-    d = real.withColumn("far", far).where(F.col("far") > F.col("start_ns"))
+    d = _with_far(real, keys).where(F.col("far") > F.col("start_ns"))
     overlap = d.select(*keys, F.lit("overlap").alias("problem"), F.col("start_ns").alias("from_ns"), F.least("far", "end_ns").alias("to_ns"))
     cover = real.unionByName(ends.withColumn("real", F.lit(0)))
     if excluded is not None:
         cover = cover.unionByName(excluded.select(*keys, F.col("from_ns").alias("start_ns"), F.col("to_ns").alias("end_ns"), F.lit(0).alias("real")))
-    g = cover.withColumn("far", far).where((F.col("far") < F.col("start_ns")) & (F.col("start_ns") <= end_ns) & (F.col("far") >= start_ns))
+    g = _with_far(cover, keys).where((F.col("far") < F.col("start_ns")) & (F.col("start_ns") <= end_ns) & (F.col("far") >= start_ns))
     return g.select(*keys, F.lit("gap").alias("problem"), F.col("far").alias("from_ns"), F.col("start_ns").alias("to_ns")).unionByName(overlap)
 
 

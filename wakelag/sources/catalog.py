@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wakelag.functions import columns as c
 from wakelag.functions.clock import CLOCKS
+from wakelag.sources import tables
 from wakelag.sources.tables import footers
 
 _PATH = r"([^/]+)/([^/]+)/([^/]+)/symbol=([^/]+)/date=([^/]+)/hour=([^/]+)/[^/]+\.parquet$"
@@ -134,6 +135,18 @@ def task_config(root: str, out: str, basis: str = "receive", feed: str = "bbo")
     }
 
 
+def write_universe(made: dict[str, DataFrame], root: str, out: str, basis: str = "receive", feed: str = "bbo") -> dict[str, object]:
+    """The tables of `universe` as CSV below out and, last, task_config.json with what they were made of and their rows."""
+    spark = made["universe"].sparkSession
+    rows = {}
+    for name, d in made.items():
+        tables.write_csv(d, f"{out}/{name}.csv")
+        rows[name] = spark.read.option("header", "true").csv(f"{out}/{name}.csv").count()
+    told = task_config(root, out, basis, feed) | {"rows": rows}
+    tables.write_json(spark, told, f"{out}/task_config.json")
+    return told
+
+
 def universe(spark: SparkSession, root: str, basis: str = "receive", feed: str = "bbo", targets: DataFrame | None = None, **chosen: Sequence[str]) -> dict[str, DataFrame]:
     """Tables universe, excluded_hours, ignored_instruments and pairs of a tree.
 

@@ -126,6 +126,14 @@ def schema_problems(found: DataFrame, required: Sequence[str]) -> DataFrame:
     return found.withColumn("missing", gone).where("size(missing) > 0")
 
 
+def presence(found: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(name, n_files, in_all, in_any): whether all files and whether any file of `footers` has a column."""
+    each = F.explode(F.array(*map(F.lit, names))).alias("name")
+    d = found.select("columns", each)
+    held = F.array_contains("columns", F.col("name"))
+    return d.groupBy("name").agg(F.count("*").alias("n_files"), F.bool_and(held).alias("in_all"), F.bool_or(held).alias("in_any"))
+
+
 def write_parquet(df: DataFrame, path: str, order: Sequence[str] = (), by: Sequence[str] = (), mode: str = "overwrite") -> None:
     """Compressed by zstd; sorted within files if an order is given. The commit protocol publishes whole."""
     w = (df.sortWithinPartitions(*order) if order else df).write.mode(mode).option("compression", "zstd")
@@ -212,7 +220,8 @@ def write_cache(intervals: DataFrame, root: str, config: dict[str, object], rebu
         raise IntegrityError(f"the cache differs in {bad}")
     if rebuild and fs.exists(at):
         fs.delete(at, True)
-    w = intervals.repartition(*CACHE_PARTITIONS).sortWithinPartitions(*CACHE_PARTITIONS, "end_ns").write
+    part = F.expr("end_ns DIV 21600000000000")  # a busy instrument's day is four tasks and files
+    w = intervals.repartition(*CACHE_PARTITIONS, part).sortWithinPartitions(*CACHE_PARTITIONS, "end_ns").write
     w.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*CACHE_PARTITIONS).parquet(f"{root}/intervals")
     write_json(spark, wanted | {"config_hash": config_hash(wanted)}, f"{root}/_cache.json")
 
