@@ -144,6 +144,10 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...], key: str = "key") -> D
     return met.where("n = needed").groupBy(key).agg(F.collect_set("kind").alias("kinds"))
 
 
+#: Gaps and matches of a text that are walked through at a time: a span is added to a list of as many at most.
+PARTS = 4096
+
+
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
     """f of a value that is computed once, however often f names it."""
     return F.transform(F.array(value), f)[0]
@@ -179,13 +183,23 @@ def rule_spans(text: Column, rule: Rule, rank: int) -> Column:
     gaps = F.transform(F.split(text, pattern, -1), F.length)
     parts = F.zip_with(gaps, F.zip_with(found, value, lambda a, b: F.struct(F.length(a).alias("n"), F.length(b).alias("v"))), lambda g, m: F.struct(g.alias("g"), m["n"].alias("n"), m["v"].alias("v")))
 
-    def spans(parts: Column, before: Column) -> Column:
-        start = lambda p, i: before[i] + p["g"]
-        each = F.transform(parts, lambda p, i: F.struct(start(p, i).alias("start"), F.lit(rank).alias("rank"), (start(p, i) + p["n"]).alias("end"), F.lit(rule.kind).alias("kind"), p["v"].alias("v")))
-        return F.transform(F.filter(each, lambda x: x["v"] >= rule.least), lambda x: F.struct(x["start"], x["rank"], x["end"], x["kind"]))
+    none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
+
+    def step(acc: Column, p: Column) -> Column:
+        start, end = acc["pos"] + p["g"], acc["pos"] + p["g"] + F.coalesce(p["n"], F.lit(0))
+        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind"))
+        return F.struct(end.alias("pos"), F.when(p["v"] >= rule.least, F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+
+    walk = lambda parts, begin: F.aggregate(parts, F.struct(begin.alias("pos"), none.alias("spans")), step, lambda acc: acc["spans"])
+    add = lambda a, p: a + p["g"] + F.coalesce(p["n"], F.lit(0))
+
+    def by_parts(parts: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.ceil(F.size(parts) / PARTS).cast("int") - 1), lambda k: F.slice(parts, k * PARTS + 1, PARTS))
+        sums = lambda cut: F.transform(cut, lambda x: F.aggregate(x, F.lit(0), add))
+        each = lambda cut, sums: F.flatten(F.transform(cut, lambda x, k: walk(x, F.aggregate(F.slice(sums, 1, k), F.lit(0), lambda a, n: a + n))))
+        return let(cut, lambda cut: let(sums(cut), lambda sums: each(cut, sums)))
 
-    lengths = lambda parts: F.transform(parts, lambda p: p["g"] + F.coalesce(p["n"], F.lit(0)))
-    return let(parts, lambda parts: let(running(lengths(parts), lambda a, x: a + x), lambda before: spans(parts, before)))
+    return let(parts, lambda parts: F.when(F.size(parts) <= PARTS, walk(parts, F.lit(0))).otherwise(by_parts(parts)))
 
 
 def scan(df: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES, spans: str = "spans") -> DataFrame:
