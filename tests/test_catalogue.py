@@ -42,6 +42,19 @@ def test_lag_grid_is_checked_in_every_window(spark, monkeypatch):
     assert got and all((r["n_lags"], r["has_zero"], r["n_windows"]) == (12, 1, 1) for r in got)
 
 
+@pytest.mark.parametrize("of", ["component_files"])
+def test_components_are_computed_once(spark, monkeypatch, of):
+    from pyspark.sql import functions as F
+
+    from wakelag.plans import inventory
+
+    rows, made = catalogue._runs(spark, SF).localCheckpoint(), spark.sparkContext.accumulator(0)
+    counted = F.udf(lambda x: (made.add(1), x)[1], "long").asNondeterministic()
+    monkeypatch.setattr(catalogue, "_runs", lambda *_: rows.withColumn("n_x", counted("n_x")))
+    assert getattr(inventory if of == "component_files" else catalogue, of)(spark, SF).count()
+    assert made.value == rows.count()
+
+
 def test_contract(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(catalogue.queries()) <= set(entry.queries())

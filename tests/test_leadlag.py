@@ -98,6 +98,44 @@ def test_plans_have_no_row_for_each_lag(spark):
     assert made[0] == made[1]
 
 
+def most_rows(df):
+    """The most rows that any operator of df's plan gave out."""
+    df.collect()
+
+    def walk(p):
+        name = p.getClass().getSimpleName()
+        inner = [p.executedPlan()] if name == "AdaptiveSparkPlanExec" else [p.plan()] if name.endswith("QueryStageExec") else [p.children().apply(i) for i in range(p.children().size())]
+        found = p.metrics().get("numOutputRows")
+        return max([found.get().value() if found.isDefined() else 0, *map(walk, inner)])
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_work_grows_with_intervals_not_with_pairs_near_each_other(spark):
+    """Twice as many intervals in the same time: twice as many rows, where all that are near each other would be four times as many."""
+    made = []
+    for n in (600, 1200):
+        step = 3_600_000 // n * MS
+        rows = frame(spark, [(i, k * step, (k + 1) * step, 0.1) for i in "xy" for k in range(n)])
+        asked = rows, pairs(spark, [("x", "y")]), [-600_000, 0, 600_000], 0, 3_600_000 * MS, 3_600_000 * MS
+        assert {r["lag_ms"]: r["n_overlap"] for r in lagged.covariances(*asked).collect()} == {-600_000: n - n // 6, 0: n, 600_000: n - n // 6}
+        made.append(most_rows(lagged.covariances(*asked)))
+    assert made[1] <= 2.2 * made[0]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_intervals_that_overlap_within_an_instrument(spark, seed):
+    rng = random.Random(seed)
+    data = {i: [(s, s + rng.choice([1, 9, 70, 200]) * MS, round(rng.uniform(-1, 1), 3)) for s in (rng.randrange(-60, 400) * MS for _ in range(40))] for i in "xy"}
+    a, e, w, lags = 0, 390 * MS, 100 * MS, [-30, 0, 7]
+    d = lagged.covariances(frame(spark, [(i, *r) for i, x in data.items() for r in x]), pairs(spark, [("x", "y")]), lags, a, e, w, 50 * MS)
+    got = {(r["lag_ms"], r["win"]): (r["cov"], r["n_overlap"]) for r in d.collect()}
+    want = {(lag, n): (v[0], v[3]) for lag in lags for n, v in brute(data["x"], data["y"], lag * MS, a, e, w).items() if v[3]}
+    assert got.keys() == want.keys()
+    for k in want:
+        assert got[k] == pytest.approx(want[k], abs=1e-8), k
+
+
 def test_boundaries(spark):
     one = lambda x, y, **k: leadlag.components(frame(spark, [("x", *x), ("y", *y)]), pairs(spark, [("x", "y")]), [0], 0, 40, 20, **k).orderBy("win").collect()
     assert [r["n_overlap"] for r in one((0, 10, 1.0), (10, 20, 1.0))] == [0, 0]  # touching

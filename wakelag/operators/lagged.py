@@ -1,20 +1,26 @@
-"""Sums over a grid of lags without a row for each lag: difference arrays and prefix sums.
+"""Sums over a grid of lags without a row for each lag: binary searches and prefix sums.
 
-Two intervals overlap for one contiguous run of lags, and an overlap's window changes only where its end
-passes a window's edge. So a pair of intervals is joined once, adds its product where a run begins and takes it off behind the
-run's end; the sum over the lags up to one then is that lag's. Squares of one instrument are prefix sums over time,
-looked up at the windows' edges.
+An overlap is found where it ends, by a search in the other side's starts and ends, within a slice of time; so the work grows with the
+intervals (and lags), not with the pairs of intervals that are near each other. Squares of one instrument are prefix sums over
+time, looked up at the windows' edges.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+if TYPE_CHECKING:
+    import numpy as np
+    import pyarrow as pa
+
 NS_PER_MS = 1_000_000
 #: Nanoseconds of an hour: rows of an instrument are dealt out by it.
 HOUR_NS = 3600 * 10**9
+#: Slices of time in which overlaps are searched are as wide as the grid of lags, and at least this.
+LEAST_SLICE_NS = 60 * 10**9
 
 
 def floor_div(a: Column, b: int) -> Column:
@@ -22,24 +28,16 @@ def floor_div(a: Column, b: int) -> Column:
     return F.call_function("div", a - F.pmod(a, F.lit(b)), F.lit(b))
 
 
-def lags_up_to(value: Column, lags_ms: Sequence[int]) -> Column:
-    """How many lags of an ascending grid are at most `value` nanoseconds: by division where the grid is even."""
-    first, step = lags_ms[0], (lags_ms[1] - lags_ms[0] if len(lags_ms) > 1 else 1)
-    if all(b - a == step for a, b in zip(lags_ms, lags_ms[1:], strict=False)):
-        n = floor_div(value - F.lit(first * NS_PER_MS), step * NS_PER_MS) + 1
-        return F.least(F.greatest(n, F.lit(0)), F.lit(len(lags_ms))).cast("int")
-    return F.size(F.filter(F.array(*[F.lit(x * NS_PER_MS) for x in lags_ms]), lambda x: x <= value))
-
-
 def near_pairs(x: DataFrame, y: DataFrame, lags_ms: Sequence[int], width_ns: int | None = None) -> DataFrame:
     """Pairs of intervals that overlap for a lag of X between the least and the greatest, each once: the ids, x_start, x_end, x_ret,
     y_start, y_end, y_ret. x: both instrument ids, start_ns, end_ns, ret; y: y_instrument_id and these.
 
     An equality join on slices of time as wide as the grid, in whose conditions the range search is. X's interval, widened by the grid,
-    is sent to each slice it touches, and so is Y's; the pair counts in the slice where both first are.
+    is sent to each slice it touches, and so is Y's; the pair counts in the slice where both first are. The pairs grow with the square of
+    the intervals in a span of time: `covariances` does without them.
     """
     low, high = lags_ms[0] * NS_PER_MS, lags_ms[-1] * NS_PER_MS
-    width = width_ns or max(high - low, 60 * 10**9)
+    width = width_ns or max(high - low, LEAST_SLICE_NS)
     first = F.col("start_ns") + low
     spread = lambda a, b: F.explode(F.sequence(floor_div(a, width), floor_div(b, width))).alias("slice")
     one = lambda d, a, *more: d.where("end_ns > start_ns").select(*more, *[F.col(n).alias(f"{a}_{m}") for n, m in (("start_ns", "start"), ("end_ns", "end"), ("ret", "ret"))])
@@ -51,41 +49,82 @@ def near_pairs(x: DataFrame, y: DataFrame, lags_ms: Sequence[int], width_ns: int
     return both.where(near & (F.col("slice") == home)).drop("slice")
 
 
-def runs(near: DataFrame, lags_ms: Sequence[int], start_ns: int, end_ns: int, window_ns: int) -> DataFrame:
-    """Differences of n_overlap and cov by pair, window (of the overlap's end) and place in the grid: each pair of intervals and window
-    adds one where its lags begin and takes it off behind their end."""
-    x_end, y_end = F.col("x_end"), F.col("y_end")
-    start, width = F.lit(start_ns), F.lit(window_ns)
-    window = lambda e: floor_div(e - start - 1, window_ns)
-    last = window(y_end)
-    d = near.withColumn("win", F.explode(F.sequence(window(F.greatest(F.col("y_start") + 1, start + 1)), last)))
-    opens = start + F.col("win") * width  # the window is open here and closed a width further on
-    above = F.greatest(F.col("y_start"), opens) - x_end  # the first lag is above, the last one at most this
-    most = F.when(F.col("win") < last, opens + width - x_end).otherwise(F.least(y_end - F.col("x_start") - 1, F.lit(end_ns) - x_end))
-    d = d.select("x_instrument_id", "y_instrument_id", "win", lags_up_to(above, lags_ms).alias("from"), lags_up_to(most, lags_ms).alias("to"), (F.col("x_ret") * F.col("y_ret")).alias("product"))
-    steps = F.array(F.struct(F.col("from").alias("place"), F.lit(1).cast("long").alias("n"), F.col("product").alias("cov")), F.struct(F.col("to").alias("place"), F.lit(-1).cast("long").alias("n"), (-F.col("product")).alias("cov")))
-    d = d.where(F.col("from") < F.col("to")).select("x_instrument_id", "y_instrument_id", "win", F.explode(steps).alias("s"))
-    return d.where(F.col("s.place") < len(lags_ms)).groupBy("x_instrument_id", "y_instrument_id", "win", F.col("s.place").alias("place")).agg(F.sum("s.n").alias("dn"), F.sum("s.cov").alias("dcov"))
+def slice_sums(lags_ms: Sequence[int], width_ns: int, start_ns: int, end_ns: int, window_ns: int) -> Callable:
+    """For the intervals of one pair in one slice of time: n_overlap and cov by window and lag, of the overlaps that end in the slice.
+
+    An overlap ends where X's moved interval or Y's does; there the other side is open. What is open at a time is what has started
+    before it less what has ended, so a binary search in starts and ends and their prefix sums finds it, whatever stands between.
+    """
+    move_ns = NS_PER_MS
+
+    def sums(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        import numpy as np
+        import pyarrow as pa
+
+        def side(t: pa.Table, a: str) -> tuple:
+            start, end, ret = (t.column(f"{a}_{n}").to_numpy() for n in ("start", "end", "ret"))
+            by = np.argsort(end, kind="stable")
+            return start[by], end[by], ret[by]
+
+        def added(at: np.ndarray, ret: np.ndarray) -> tuple:
+            by = np.argsort(at, kind="stable")
+            return at[by], np.concatenate(([0.0], np.cumsum(ret[by])))
+
+        (x_start, x_end, x_ret), (y_start, y_end, y_ret) = side(left, "x"), side(right, "y")
+        first, last = max(key[2].as_py() * width_ns, start_ns + 1), min((key[2].as_py() + 1) * width_ns - 1, end_ns)
+        out: list[tuple] = []
+        if len(x_end) and len(y_end) and first <= last:
+            (_, x_ended), (y_starts, y_started), (_, y_ended) = added(x_end, x_ret), added(y_start, y_ret), added(y_end, y_ret)
+            own = slice(np.searchsorted(y_end, first), np.searchsorted(y_end, last, "right"))
+            for lag in lags_ms:
+                move = lag * move_ns
+                # X ends, with or before the Y that is open
+                part = slice(np.searchsorted(x_end, first - move), np.searchsorted(x_end, last - move, "right"))
+                at = x_end[part] + move
+                a, b = np.searchsorted(y_starts, at), np.searchsorted(y_end, at)
+                ends, ns, covs = [at], [a - b], [x_ret[part] * (y_started[a] - y_ended[b])]
+                # Y ends, before the X that is open, of those that end by end_ns
+                most = np.searchsorted(x_end, end_ns - move, "right")
+                x_starts, x_started = added(x_start[:most], x_ret[:most])
+                at = y_end[own] - move
+                a, b = np.searchsorted(x_starts, at), np.searchsorted(x_end[:most], at, "right")
+                n, ret = np.concatenate([*ns, a - b]), np.concatenate([*covs, y_ret[own] * (x_started[a] - x_ended[b])])
+                win = (np.concatenate([*ends, y_end[own]]) - start_ns - 1) // window_ns
+                if not n.any():
+                    continue
+                low = int(win.min())
+                counts, total = np.bincount(win - low, n).astype("int64"), np.bincount(win - low, np.where(n > 0, ret, 0.0))
+                out += [(low + int(w), lag, int(counts[w]), float(total[w])) for w in np.flatnonzero(counts)]
+        columns = list(zip(*out, strict=True)) or [(), (), (), ()]
+        made = [pa.array([k.as_py()] * len(out), k.type) for k in key[:2]] + [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)]
+        return pa.Table.from_arrays(made, ["x_instrument_id", "y_instrument_id", "win", "lag_ms", "n_overlap", "cov"])
+
+    return sums
 
 
 def covariances(intervals: DataFrame, pairs: DataFrame, lags_ms: Sequence[int], start_ns: int, end_ns: int, window_ns: int, width_ns: int | None = None) -> DataFrame:
-    """n_overlap and cov for each pair, window and lag, for windows in which any lag has an overlap. intervals: instrument_id,
-    start_ns, end_ns, ret, those of one instrument without overlaps. What is shuffled is a row a slice that
-    an interval touches; lags come in with the sums, as many as the result has."""
-    lags_ms = sorted(lags_ms)
+    """n_overlap and cov for each pair, window and lag, where there is an overlap. intervals: instrument_id, start_ns, end_ns, ret.
+
+    Shuffled is a row a pair and slice of time that an interval touches: X's moved by any lag, Y's as it is. A slice, as
+    wide as the grid, is searched by `slice_sums`: each end of an interval once a lag, however many intervals the grid spans. Slices give
+    a row a window and lag.
+    """
+    lags_ms = sorted(set(lags_ms))
     ids = pairs.select("x_instrument_id", "y_instrument_id").distinct()
-    core = intervals.select("instrument_id", "start_ns", "end_ns", "ret")
+    core = intervals.where("end_ns > start_ns").select("instrument_id", "start_ns", "end_ns", F.coalesce(F.col("ret").cast("double"), F.lit(0.0)).alias("ret"))
     low, high = lags_ms[0] * NS_PER_MS, lags_ms[-1] * NS_PER_MS
-    x = core.where((F.col("end_ns") + high > start_ns) & (F.col("end_ns") + low <= end_ns)).withColumnRenamed("instrument_id", "x_instrument_id").join(ids, "x_instrument_id")
-    y = core.where((F.col("end_ns") > start_ns) & (F.col("end_ns") <= end_ns)).withColumnRenamed("instrument_id", "y_instrument_id")
-    steps = runs(near_pairs(x, y, lags_ms, width_ns), lags_ms, start_ns, end_ns, window_ns)
-    keys = ["x_instrument_id", "y_instrument_id", "win"]
-    held = steps.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("place", F.struct("dn", "dcov")))).alias("steps"))  # at most a step a lag
-    every = held.select(*keys, "steps", F.posexplode(F.array(*[F.lit(x).cast("long") for x in lags_ms])).alias("place", "lag_ms"))
-    step = F.col("steps")[F.col("place")]
-    upto = W.partitionBy(*keys).orderBy("place").rowsBetween(W.unboundedPreceding, W.currentRow)
-    n = F.sum(F.coalesce(step["dn"], F.lit(0).cast("long"))).over(upto)
-    return every.select(*keys, "lag_ms", n.alias("n_overlap"), F.sum(F.coalesce(step["dcov"], F.lit(0.0))).over(upto).alias("cov")).where("n_overlap > 0")
+    width = width_ns or max(high - low, LEAST_SLICE_NS)
+    keys = ["x_instrument_id", "y_instrument_id", "slice"]
+
+    def side(d: DataFrame, a: str, least: int, most: int) -> DataFrame:
+        reach = F.sequence(floor_div(F.greatest(F.col("start_ns") + least, F.lit(start_ns)), width), floor_div(F.least(F.col("end_ns") + most, F.lit(end_ns)), width))
+        d = d.where((F.col("end_ns") + most > start_ns) & (F.col("end_ns") + least <= end_ns))
+        return d.withColumnRenamed("instrument_id", f"{a}_instrument_id").join(ids, f"{a}_instrument_id").select(*keys[:2], *[F.col(n).alias(f"{a}_{m}") for n, m in (("start_ns", "start"), ("end_ns", "end"), ("ret", "ret"))], F.explode(reach).alias("slice"))
+
+    x, y = side(core, "x", low, high), side(core, "y", 0, 0)
+    shown = ", ".join(f"{n} {t}" for n, t in ids.dtypes) + ", win long, lag_ms long, n_overlap long, cov double"
+    found = x.groupBy(*keys).cogroup(y.groupBy(*keys)).applyInArrow(slice_sums(lags_ms, width, start_ns, end_ns, window_ns), shown)
+    return found.groupBy(*keys[:2], "win", "lag_ms").agg(F.sum("n_overlap").alias("n_overlap"), F.sum("cov").alias("cov"))
 
 
 def shifted_squares(intervals: DataFrame, lags_ms: Sequence[int], start_ns: int, end_ns: int, window_ns: int) -> DataFrame:

@@ -266,7 +266,7 @@ def interval_disorder(spark: SparkSession, sf_dir: str) -> DataFrame:
 def component_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S21, S4, K2, U-b: component files found at a path, each row with its file and what its cache was made by."""
     at = folder(spark, "components")
-    d = leadlag.with_cache_identity(k._runs(spark, sf_dir), {"max_interval_ms": v.CAP_MS, "version": 4, "drop_zero_returns": True, "config_hash": "c"})
+    d = written(leadlag.with_cache_identity(k._runs(spark, sf_dir), {"max_interval_ms": v.CAP_MS, "version": 4, "drop_zero_returns": True, "config_hash": "c"}), "runs")  # one computation for both files
     for f in ("f0", "f1"):
         tables.write_parquet(d.where(F.col("filename") == f).drop("filename"), f"{at}/{f}")
     found = tables.components(spark, f"{at}/*")

@@ -11,7 +11,7 @@ from wakelag.plans.catalogue import long, query, r6
 
 @query(f"""{k._COMP} SELECT xs AS x_symbol, ys AS y_symbol, CAST(win AS BIGINT) AS win, lag_ms, n_overlap, round(cov, 6) AS cov FROM cv""")
 def candidate_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Interval pairs near each other joined once, their runs of lags as differences."""
+    """Each end of an interval searched, once a lag, among the intervals of the other side in its slice of time."""
     d = lagged.covariances(k._iv(spark, sf_dir), k._pairs(spark, sf_dir), v.LAGS_MS, v.START_NS, v.END_NS, v.WINDOW_NS)
     return d.select(F.col("x_instrument_id").alias("x_symbol"), F.col("y_instrument_id").alias("y_symbol"), "win", "lag_ms", "n_overlap", r6("cov", "cov"))
 
