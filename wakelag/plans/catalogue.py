@@ -346,7 +346,7 @@ def best_positive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component rows with keys, cache identities and a few faults of each kind."""
-    d = _runs(spark, sf_dir)
+    d = written(_runs(spark, sf_dir), "runs")  # read twice
     bad = F.col("x_symbol") == "U1_click"
     d = d.withColumn("n_overlap", F.when(bad & (F.col("win") == 3) & (F.col("lag_ms") == 0), -1).otherwise(F.col("n_overlap")))
     twice = d.where(bad & (F.col("win") == 5))
