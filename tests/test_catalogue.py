@@ -55,6 +55,21 @@ def test_components_are_computed_once(spark, monkeypatch, of):
     assert made.value == rows.count()
 
 
+def test_best_lags_of_busier_quotes(spark, tmp_path):
+    """Six times the events in the same month: six times the rows, where pairs of intervals near each other would be 36 times as many."""
+    from pyspark.sql import functions as F
+
+    from tests.test_leadlag import most_rows
+
+    e = spark.read.parquet(f"{SF}/events.parquet")
+    for n in (1, 6):
+        moved = F.timestamp_micros(F.lit(1_704_067_200_000_000) + (F.unix_micros(F.col("ts").cast("timestamp")) - 1_704_067_200_000_000 + F.col("k") * 7_919_023_757) % 2_592_000_000_000)
+        copies = e.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumns({"event_id": F.col("event_id") + F.col("k") * 10_000, "ts": moved.cast("timestamp_ntz")})
+        copies.drop("k").write.parquet(f"{tmp_path}/{n}/events.parquet")
+    few, many = (most_rows(catalogue.best_abs(spark, f"{tmp_path}/{n}")) for n in (1, 6))
+    assert many <= 8 * few
+
+
 def test_contract(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(catalogue.queries()) <= set(entry.queries())
