@@ -42,7 +42,7 @@ def test_lag_grid_is_checked_in_every_window(spark, monkeypatch):
     assert got and all((r["n_lags"], r["has_zero"], r["n_windows"]) == (12, 1, 1) for r in got)
 
 
-@pytest.mark.parametrize("of", ["component_files", "lag_grid_complete", "cache_identity_check", "uneven_windows"])
+@pytest.mark.parametrize("of", ["component_files", "lag_grid_complete", "cache_identity_check", "uneven_windows", "component_integrity"])
 def test_components_are_computed_once(spark, monkeypatch, of):
     from pyspark.sql import functions as F
 
