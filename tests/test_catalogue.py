@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from wakelag.plans import catalogue
+from wakelag.session import written
 
 SF = "/root/testdata/sf0.01"  # as the driver compares
 
@@ -55,6 +56,21 @@ def test_components_are_computed_once(spark, monkeypatch, of):
     assert made.value == rows.count()
 
 
+@pytest.mark.parametrize("of", ["cache_identity_check"])
+def test_intervals_read_their_quotes_once(spark, monkeypatch, of):
+    scans = []
+
+    def seen(df, what):
+        if what == "intervals":
+            df.collect()
+            scans.append(df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("FileScan parquet"))
+        return written(df, what)
+
+    monkeypatch.setattr(catalogue, "written", seen)
+    getattr(catalogue, of)(spark, SF)
+    assert scans == [1]
+
+
 def test_best_lags_of_busier_quotes(spark, tmp_path):
     """Six times the events in the same month: six times the rows, where pairs of intervals near each other would be 36 times as many."""
     from pyspark.sql import functions as F

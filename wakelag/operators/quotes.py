@@ -74,10 +74,11 @@ def with_previous(rows: DataFrame, keys: list[str], columns: dict[str, str], ts:
     """rows (keys, HOUR, ts) with columns of the row before by ts, under new names, null for the first.
 
     Within an hour the row before is the window's; an hour's first row takes what the last hour before it
-    left, which a window over one row an hour carries on. So no window holds an instrument's history.
+    left, which a window over one row an hour carries on. So no window holds an instrument's history. Both sides of
+    the join name the hour as not null, as the join does for one of them: so their plans are alike down to `by_hour`, which is read and shuffled once.
     """
     take = F.struct(*[F.col(a).alias(b) for a, b in columns.items()])
-    lasts = rows.groupBy(*keys, HOUR).agg(F.max_by(take, F.col(ts)).alias("__last"))
+    lasts = rows.where(F.col(HOUR).isNotNull()).groupBy(*keys, HOUR).agg(F.struct(*[F.max_by(F.col(a), F.col(ts)).alias(b) for a, b in columns.items()]).alias("__last"))  # of a struct, rows would be sorted again
     carried = lasts.select(*keys, HOUR, F.lag("__last").over(W.partitionBy(*keys).orderBy(HOUR)).alias("__carried"))
     before = F.lag(take).over(W.partitionBy(*keys, HOUR).orderBy(ts))
     out = rows.withColumn("__before", before).join(carried, [*keys, HOUR])
