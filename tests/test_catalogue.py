@@ -56,7 +56,7 @@ def test_components_are_computed_once(spark, monkeypatch, of):
     assert made.value == rows.count()
 
 
-@pytest.mark.parametrize("of", ["cache_identity_check", "best_abs", "uneven_windows"])
+@pytest.mark.parametrize("of", ["cache_identity_check", "best_abs", "uneven_windows", "component_integrity"])
 def test_intervals_read_their_quotes_once(spark, monkeypatch, of):
     scans = []
 
